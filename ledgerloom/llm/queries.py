@@ -25,9 +25,105 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", size.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.line_dedup import remove_repeated_lines
+
+    kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return remove_repeated_lines(_read(spark, sf_dir, "documents")).select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"), kept.alias("kept_sha256"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.html_extract import extract
+
+    return extract(_read(spark, sf_dir, "pages"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.chunk_dedup import remove_repeated_chunks
+
+    size = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return remove_repeated_chunks(_read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_chunks", size.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.mixing import taken
+
+    return taken(_read(spark, sf_dir, "documents"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.kdshard import tree_shards
+
+    return tree_shards(_read(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.decontaminate import contaminated
+
+    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.repetition import quality
+
+    return quality(_read(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.ordinal import classify
+
+    return classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_html_extraction": op4_html_extraction,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_mixing": op6_mixing,
+    "op7_sharding": op7_sharding,
+    "op8_decontamination": op8_decontamination,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_quality_classifier": op10_quality_classifier,
+    "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Windows of three lines that came before go; what is left is joined again.
+LINE_DEDUP_SQL = """
+WITH l AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS ls FROM documents),
+w AS (SELECT doc_id, ls, unnest(range(0, greatest(len(ls) - 2, 0))) AS pos FROM l),
+k AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY ls[pos + 1] || chr(10) || ls[pos + 2] || chr(10) || ls[pos + 3] ORDER BY doc_id, pos) AS turn FROM w),
+c AS (SELECT DISTINCT doc_id, pos + j AS line FROM k, (SELECT unnest([0, 1, 2]) AS j) WHERE turn > 1),
+g AS (SELECT doc_id, list(line ORDER BY line) AS gone FROM c GROUP BY doc_id),
+e AS (SELECT doc_id, unnest(ls) AS body, unnest(range(0, len(ls))) AS line FROM l),
+t AS (SELECT doc_id, string_agg(body, chr(10) ORDER BY line) AS text FROM e ANTI JOIN c USING (doc_id, line) GROUP BY doc_id)
+SELECT l.doc_id, len(l.ls) AS n_lines, coalesce(len(g.gone), 0) AS n_removed, coalesce(array_to_string(g.gone, ','), '') AS removed_lines, sha256(coalesce(t.text, '')) AS kept_sha256
+FROM l LEFT JOIN g USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+#: The target line by line, then one slot of the schedule after another. The block size follows the operator's rule.
+MIXING_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 'a' || source END AS src, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(doc_id || ':0') AS mark FROM documents),
+s AS (SELECT src, sum(size)::BIGINT AS source_size, [3, 1, 2][1 + (row_number() OVER (ORDER BY src) - 1) % 3] AS w FROM d GROUP BY src),
+r AS (SELECT *, 2.0::DOUBLE * source_size / w AS ratio FROM s),
+v AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - 2 * coalesce(sum(source_size) OVER p, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER p, 0)) AS level FROM r WINDOW p AS (ORDER BY ratio, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT src, source_size, CASE WHEN ratio <= level THEN 2.0::DOUBLE * source_size ELSE w * max(CASE WHEN ratio > level THEN level END) OVER () END AS target FROM v),
+b AS (SELECT greatest(16, (sum(source_size) // 1048576)::BIGINT) AS block FROM s),
+n AS (SELECT t.*, block, floor(target)::BIGINT AS want, ceil(source_size / block)::BIGINT AS blocks, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS epochs FROM t, b),
+m AS (SELECT *, epochs * blocks + ceil((want - epochs * source_size) / block)::BIGINT AS slots FROM n),
+e AS (SELECT *, unnest(range(0, slots)) AS rank FROM m),
+q AS (SELECT src, rank % blocks AS bl, sum(least((rank % blocks + 1) * block, source_size, want - (rank // blocks) * source_size) - (rank % blocks) * block)::BIGINT AS words, max(block) AS block, list(least((rank % blocks + 1) * block, source_size, want - (rank // blocks) * source_size)) AS stops FROM e GROUP BY src, rank % blocks),
+o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY src ORDER BY mark, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d),
+h AS (SELECT o.*, unnest(range(start // block, (start + size - 1) // block + 1)) AS bl FROM o, b WHERE size > 0),
+g AS (SELECT h.doc_id, h.src, h.start, sum(list_sum([greatest(0, least(h.start + h.size, x) - greatest(h.start, h.bl * q.block)) FOR x IN q.stops])) AS taken FROM h JOIN q USING (src, bl) GROUP BY ALL)
+SELECT o.doc_id, o.size, t.source_size, t.target, coalesce(g.taken, 0)::BIGINT AS taken FROM o JOIN t USING (src) LEFT JOIN g ON g.doc_id = o.doc_id AND g.src = o.src AND g.start = o.start AND o.size > 0
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL, "op6_mixing": MIXING_SQL}

@@ -86,3 +86,14 @@ def find(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
         return np.full(len(keys), -1, np.int64)
     at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
     return np.where(table[at] == keys, at, -1)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Fixed-size records as bytes, all first bytes before all second ones, which compresses well."""
+    return values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: np.dtype | str) -> np.ndarray:
+    kind = np.dtype(kind)
+    n = len(data) // kind.itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, n).T).view(kind).reshape(n)

@@ -25,16 +25,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import find, known_id, parts_for, runs_of, text_bytes, total_bytes
+from ledgerloom.llm.common import find, from_planes, known_id, parts_for, planes, runs_of, text_bytes, total_bytes
 
 LENGTH, GRAM = 50, 16
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 #: Starts whose keys are held at once.
 BLOCK = 1 << 19
 #: A longer stretch of starts with one key is cut here.
 LONGEST = 4096
 
-WINDOW = np.dtype([("key", "<u8"), ("hash", "<u8"), ("least", "<i8"), ("most", "<i8"), ("starts", "<u2"), ("size", "<u2")])
+#: Bits of a key that parts and buckets speak of; a key is only a meeting point, so fewer bits cost no exactness.
+KEY_BITS = 48
+WINDOW = np.dtype([("key", "<u8"), ("least", "<i8"), ("beyond", "<i8"), ("starts", "<u2")])  # beyond: the largest doc_id less the smallest
 ANSWER = np.dtype([("key", "<u8"), ("hash", "<u8"), ("least", "<i8"), ("from", "<u2"), ("to", "<u2")])
 
 
@@ -81,7 +83,7 @@ def windows(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.nd
         change[1:] = k[1:] != k[:-1]
         change[cut - at] = True
         first = np.flatnonzero(change)
-        keys.append(k[first])
+        keys.append(k[first] >> np.uint64(64 - KEY_BITS))
         places.append(first + at)
     if not keys:
         return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
@@ -103,7 +105,16 @@ def _column(table: pa.Table, name: str) -> list:
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
-    return ((key >> np.uint64(17)) % np.uint64(buckets)).astype(np.int64)
+    return (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)).astype(np.int64) % buckets
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Sorted keys as steps from one to the next, whose high bytes are mostly zero."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _keys(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data, "<u8"), dtype=np.uint64)
 
 
 def _split(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -126,14 +137,14 @@ def ask(table: pa.Table, buckets: int, length: int = LENGTH) -> pa.Table:
     out = []
     for flag in (False, True):
         at, lists = _split(key[several == flag], _bucket(key[several == flag], buckets))
-        out += [(int(b), flag, x.tobytes()) for b, x in zip(at, lists, strict=True)]
+        out += [(int(b), flag, _steps(x)) for b, x in zip(at, lists, strict=True)]
     part = table.column("part")[0].as_py() if table.num_rows else 0
     return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "part": pa.array([part] * len(out), pa.int64()), "several": pa.array([x[1] for x in out], pa.bool_()), "keys": pa.array([x[2] for x in out], pa.binary())})
 
 
 def tell(table: pa.Table) -> pa.Table:
     """Step 1 in a bucket: for each part those of its keys that two documents have."""
-    lists = [np.frombuffer(x, "<u8") for x in _column(table, "keys")]
+    lists = [_keys(x) for x in _column(table, "keys")]
     sizes = [len(x) for x in lists]
     key, part = np.concatenate(lists), np.repeat(_column(table, "part"), sizes)
     several = np.repeat(_column(table, "several"), sizes)
@@ -143,7 +154,7 @@ def tell(table: pa.Table) -> pa.Table:
     shared = (np.diff(np.append(s, len(key))) > 1) | np.logical_or.reduceat(several, s)
     keep = np.repeat(shared, np.diff(np.append(s, len(key))))
     parts, keys = _split(key[keep], part[keep])
-    return pa.table({"part": pa.array(parts, pa.int64()), "keys": pa.array([x.tobytes() for x in keys], pa.binary())})
+    return pa.table({"part": pa.array(parts, pa.int64()), "keys": pa.array([_steps(x) for x in keys], pa.binary())})
 
 
 def send(docs: pa.Table, told: pa.Table, buckets: int, length: int = LENGTH) -> pa.Table:
@@ -153,7 +164,7 @@ def send(docs: pa.Table, told: pa.Table, buckets: int, length: int = LENGTH) ->
     if docs.num_rows and told.num_rows:
         part = docs.column("part")[0].as_py()
         ids, texts = np.array(_column(docs, "did"), np.int64), _column(docs, "text")
-        known = np.sort(np.concatenate([np.frombuffer(x, "<u8") for x in _column(told, "keys")]))
+        known = np.sort(np.concatenate([_keys(x) for x in _column(told, "keys")]))
         key, doc, start, count = windows(texts, length)
         keep = find(key, known) >= 0
         key, doc, start, count = key[keep], doc[keep], start[keep], count[keep]
@@ -167,8 +178,8 @@ def send(docs: pa.Table, told: pa.Table, buckets: int, length: int = LENGTH) ->
                     was[0], was[1] = min(was[0], i), max(was[1], i)
                 else:
                     seen[h] = [i, i, k, c, text]
-            head = np.array([(k, h, a, z, c, len(t)) for h, (a, z, k, c, t) in seen.items()], WINDOW)
-            out.append((b, head.tobytes(), b"".join(x[4] for x in seen.values())))
+            head = np.array([(k, a, z - a, c) for a, z, k, c, _ in seen.values()], WINDOW)
+            out.append((b, planes(head), pa.compress(b"".join(x[4] for x in seen.values()), codec="zstd", asbytes=True)))
     return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "part": pa.array([part] * len(out), pa.int64()), "head": pa.array([x[1] for x in out], pa.binary()), "bytes": pa.array([x[2] for x in out], pa.binary())})
 
 
@@ -272,19 +283,26 @@ def common_prefixes(words: np.ndarray, array: np.ndarray, length: int) -> np.nda
 
 def meet(table: pa.Table, length: int = LENGTH) -> pa.Table:
     """Step 3: by suffix array, for each window the smallest doc_id that has the string at each start."""
-    heads = [np.frombuffer(x, WINDOW) for x in _column(table, "head")]
+    heads = [from_planes(x, WINDOW) for x in _column(table, "head")]
     head, part = np.concatenate(heads), np.repeat(_column(table, "part"), [len(x) for x in heads])
-    text = np.frombuffer(b"".join(_column(table, "bytes")), np.uint8)
-    text_at = np.cumsum(head["size"].astype(np.int64)) - head["size"]
+    starts = head["starts"].astype(np.int64)
+    size = starts + length - 1
+    text_at = np.cumsum(size) - size
+    sizes = [int(x.sum()) for x in np.split(size, np.cumsum([len(x) for x in heads])[:-1])]
+    raw = b"".join(pa.decompress(x, n, codec="zstd", asbytes=True) for x, n in zip(_column(table, "bytes"), sizes, strict=True))
+    digest = xxhash.xxh3_64_intdigest
+    hashes = np.array([digest(raw[a:b]) for a, b in zip(text_at.tolist(), (text_at + size).tolist(), strict=True)], np.uint64)
+    text = np.frombuffer(raw, np.uint8)
     # one copy of each window is sorted
-    order = np.argsort(head["hash"], kind="stable")
-    s = order[runs_of(head["hash"][order])]
-    which = np.searchsorted(head["hash"][s], head["hash"])
+    order = np.argsort(hashes, kind="stable")
+    s = order[runs_of(hashes[order])]
+    which = np.searchsorted(hashes[s], hashes)
     least = np.full(len(s), np.iinfo(np.int64).max)
     np.minimum.at(least, which, head["least"])
-    size, starts = head["size"][s].astype(np.int64), head["starts"][s].astype(np.int64)
+    starts, size = starts[s], size[s]
     begins = np.cumsum(size) - size
     data = text[np.repeat(text_at[s] - begins, size) + np.arange(int(size.sum()))]
+    del raw, text
     turn = np.arange(int(starts.sum())) - np.repeat(np.cumsum(starts) - starts, starts)
     place = np.repeat(begins, starts) + turn
     of = np.repeat(np.arange(len(s)), starts)
@@ -307,12 +325,12 @@ def meet(table: pa.Table, length: int = LENGTH) -> pa.Table:
     many = by_window[which + 1] - by_window[which]
     row = np.repeat(np.arange(len(head)), many)
     run = np.repeat(by_window[which], many) + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    keep = run_low[run] < head["most"][row]
+    keep = run_low[run] < (head["least"] + head["beyond"])[row]
     row, run = row[keep], run[keep]
     answer = np.zeros(len(row), ANSWER)
-    answer["key"], answer["hash"], answer["least"], answer["from"], answer["to"] = head["key"][row], head["hash"][row], run_low[run], run_from[run], run_to[run]
+    answer["key"], answer["hash"], answer["least"], answer["from"], answer["to"] = head["key"][row], hashes[row], run_low[run], run_from[run], run_to[run]
     parts, lists = _split(answer, part[row])
-    return pa.table({"part": pa.array(parts, pa.int64()), "answers": pa.array([x.tobytes() for x in lists], pa.binary())})
+    return pa.table({"part": pa.array(parts, pa.int64()), "answers": pa.array([planes(x) for x in lists], pa.binary())})
 
 
 def covered(docs: pa.Table, answers: pa.Table, length: int = LENGTH) -> list[np.ndarray]:
@@ -321,7 +339,7 @@ def covered(docs: pa.Table, answers: pa.Table, length: int = LENGTH) -> list[np.
     none = np.zeros((0, 2), np.int64)
     if not answers.num_rows:
         return [none] * len(texts)
-    answer = np.concatenate([np.frombuffer(x, ANSWER) for x in _column(answers, "answers")])
+    answer = np.concatenate([from_planes(x, ANSWER) for x in _column(answers, "answers")])
     key, doc, start, count = windows(texts, length)
     keep = find(key, np.unique(answer["key"])) >= 0
     doc, start, count = doc[keep], start[keep], count[keep]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ from ledgerloom.operators.coverage import Range
 from ledgerloom.plans import display, presets
 from ledgerloom.plans.query import Ledger
 from ledgerloom.sources.exports import files_of, overlapping
+from ledgerloom.storage import shared_dir
+from ledgerloom.streaming.live import LedgerStore, follow
 from ledgerloom.views import sql, sql_ether, sql_gwei, sql_price, sql_usd, sql_wide
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -680,12 +683,8 @@ def j7_decoded_calls(spark, sf_dir):
 @query(sql(f"SELECT block_number, count(DISTINCT tx_hash) AS txs, coalesce(any_value(n_logs), 0) AS logs, coalesce(any_value(n_swaps), 0) AS swaps FROM t_tx LEFT JOIN (SELECT block_number, count(*) AS n_logs, count(swap0) AS n_swaps FROM t_logs GROUP BY block_number) USING (block_number) WHERE block_number > (SELECT max(block_number) FROM t_blocks) - 600 GROUP BY block_number"))
 def k1_k2_k3_live(spark, sf_dir):
     """The exports as files of 250 blocks, followed as a stream with retention, and the first files delivered again."""
-    import uuid
-
-    from ledgerloom.streaming.live import LedgerStore, follow
-
     e = views.exports(spark, sf_dir)
-    root = f"{work_dir(spark)}/live-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
     methods, events = views.named(spark, views.METHODS), views.named(spark, views.EVENTS)
     write_exports(spark, e, f"{root}/exports", 250)
     store = LedgerStore(spark, f"{root}/store")
@@ -711,11 +710,3 @@ def write_exports(spark: SparkSession, e: views.Exports, folder: str, size: int)
                     if f.getPath().getName().startswith("part-"):
                         fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(f"{folder}/ethereum__{name}__{k * size:08d}_to_{k * size + size - 1:08d}.parquet"))
         fs.delete(path, True)
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local session without one gets a temporary folder."""
-    import tempfile
-
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return at.rstrip("/") if at else tempfile.mkdtemp(prefix="ledgerloom-")

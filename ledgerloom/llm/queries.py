@@ -72,7 +72,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.ordinal import classify
 
-    return classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).withColumnRenamed("selected", "kept")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +95,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
+#: Every 50-byte string (100 hex digits) with the first document that has it, and each byte's last start before it. Documents are cut into parts of 256 bytes first.
+SUFFIX_DEDUP_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+q AS (SELECT doc_id, o, n, substr(hx, 2 * o + 1, 610) AS part FROM (SELECT doc_id, hx, n, unnest(range(0, n, 256)) AS o FROM d)),
+b AS (SELECT doc_id, o + i AS p, n, substr(part, 2 * i + 1, 100) AS g FROM (SELECT *, unnest(range(0, least(256, n - o))) AS i FROM q)),
+k AS (SELECT doc_id, p, g FROM b WHERE p + 50 <= n),
+f AS (SELECT g, min(doc_id) AS first FROM k GROUP BY g HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT doc_id, p FROM k JOIN f USING (g) WHERE first < doc_id),
+m AS (SELECT doc_id, p, left(g, 2) AS byte, max(c.p) OVER (PARTITION BY b.doc_id ORDER BY b.p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM b LEFT JOIN c USING (doc_id, p)),
+r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM m),
+t AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, string_agg(byte, '' ORDER BY p) FILTER (WHERE NOT gone) AS kept FROM r GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)
+"""
+
 #: Windows of three lines that came before go; what is left is joined again.
 LINE_DEDUP_SQL = """
 WITH l AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS ls FROM documents),
@@ -126,4 +140,4 @@ g AS (SELECT h.doc_id, h.src, h.start, sum(list_sum([greatest(0, least(h.start +
 SELECT o.doc_id, o.size, t.source_size, t.target, coalesce(g.taken, 0)::BIGINT AS taken FROM o JOIN t USING (src) LEFT JOIN g ON g.doc_id = o.doc_id AND g.src = o.src AND g.start = o.start AND o.size > 0
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL, "op6_mixing": MIXING_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": SUFFIX_DEDUP_SQL, "op3_line_dedup": LINE_DEDUP_SQL, "op6_mixing": MIXING_SQL}

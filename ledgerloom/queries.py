@@ -17,6 +17,7 @@ from ledgerloom.operators import events as ev
 from ledgerloom.operators.coverage import Range
 from ledgerloom.plans import display, presets
 from ledgerloom.plans.query import Ledger
+from ledgerloom.sources import sinks
 from ledgerloom.sources.exports import files_of, overlapping
 from ledgerloom.storage import shared_dir
 from ledgerloom.streaming.live import LedgerStore, follow
@@ -104,6 +105,26 @@ def a7_append_without_duplicates(spark, sf_dir):
     return out
 
 
+def _written(spark, folder: str) -> str:
+    return f"{shared_dir(spark)}/{folder}-{uuid.uuid4().hex}"
+
+
+@query(sql("SELECT block_number || ',' || tx_index || ',0x' || tx_hash || ',' || coalesce('0x' || to_address, '') || ',' || coalesce(CASE WHEN contains(signature, ',') THEN '\"' || signature || '\"' ELSE signature END, '') AS line FROM t_tx"))
+def a8_csv_lines(spark, sf_dir):
+    """The lines of a CSV sink, without the headers."""
+    at = _written(spark, "csv")
+    sinks.write_csv(views.tables(spark, sf_dir).transactions.select("block_number", "tx_index", "tx_hash", "to_address", "signature"), at)
+    return spark.read.text(at).select(F.col("value").alias("line")).where("line <> 'block_number,tx_index,tx_hash,to_address,signature'")
+
+
+@query(sql("SELECT '{\"block_number\":' || block_number || ',\"tx_hash\":\"0x' || tx_hash || '\",\"to_address\":' || coalesce('\"0x' || to_address || '\"', 'null') || ',\"signature\":' || coalesce('\"' || signature || '\"', 'null') || '}' AS line FROM t_tx"))
+def a9_json_lines(spark, sf_dir):
+    """The lines of a JSON sink."""
+    at = _written(spark, "json")
+    sinks.write_json(views.tables(spark, sf_dir).transactions.select("block_number", "tx_hash", "to_address", "signature"), at)
+    return spark.read.text(at).select(F.col("value").alias("line"))
+
+
 @query(sql(f"SELECT {RANGE.first}::BIGINT AS first, {RANGE.last}::BIGINT AS last, 701::BIGINT AS total, 701 - count(*) AS new_blocks, count(*) AS cached_blocks FROM t_blocks WHERE block_number BETWEEN {RANGE.first} AND {RANGE.last} AND block_number % 3 <> 0"))
 def a10_run_summary(spark, sf_dir):
     return coverage.run_summary(views.tables(spark, sf_dir).blocks.where("block_number % 3 <> 0"), RANGE).select(*[F.col(c).cast("long").alias(c) for c in ("first", "last", "total", "new_blocks", "cached_blocks")])
@@ -333,6 +354,21 @@ def e7_incremental_populate(spark, sf_dir):
     return have.agg(F.count("*").alias("before")).crossJoin(added.agg(F.count("*").alias("added"))).crossJoin(again.agg(F.count("*").alias("again")))  # one row each
 
 
+@query(sql(f"SELECT 'created,unchanged,refused' AS steps, block_number, count(*) AS n FROM t_logs WHERE topic0 = '{views.SWAP}' GROUP BY block_number"))
+def e8_sync(spark, sf_dir):
+    """A table made, found unchanged, and refused under another declaration; then made anew."""
+    logs = views.tables(spark, sf_dir).logs
+    store = ev.EventStore(spark, _written(spark, "events"))
+    steps = [store.sync(SWAPS, logs), store.sync(SWAPS, logs)]
+    other = ev.EventTable("swaps", SWAPS.topic0, SWAPS.columns[:1])
+    try:
+        store.sync(other, logs)
+    except ValueError:
+        steps.append("refused")
+    store.rebuild([other], logs)
+    return store.table("swaps").groupBy("block_number").agg(F.count("*").alias("n")).select(F.lit(",".join(steps)).alias("steps"), "block_number", "n")
+
+
 TRANSFERS = ev.EventTable("transfers", views.TRANSFER, (ev.EventColumn("sender", "topic1", "address"), ev.EventColumn("amount", "data[0:32]", "uint256")))
 
 
@@ -508,11 +544,12 @@ def h8_chain_attributes(spark, sf_dir):
     return display.with_chain(views.read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("chain_id")), chains)
 
 
-@query("SELECT n_nationkey AS id, n_name AS name, left(n_name, 2) AS short_name, left(n_name, 3) AS currency_symbol, 'https://' || n_name AS explorer_url FROM nation WHERE contains(lower(n_name), 'an') OR contains(lower(left(n_name, 2)), 'an') ORDER BY n_nationkey LIMIT 5")
+@query("SELECT s_suppkey AS id, s_name AS name, left(s_name, 2) || s_nationkey AS short_name, 'C' || s_nationkey AS currency_symbol, 'https://' || s_suppkey AS explorer_url FROM supplier WHERE contains(lower(s_name), '7') OR contains(lower(left(s_name, 2) || s_nationkey), '7') ORDER BY s_suppkey LIMIT 5")
 def h9_chain_search(spark, sf_dir):
-    n = views.read(spark, sf_dir, "nation")
-    chains = n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.left("n_name", F.lit(2)).alias("short_name"), F.left("n_name", F.lit(3)).alias("currency_symbol"), F.array(F.concat(F.lit("https://"), "n_name"), F.lit("other")).alias("explorers"))
-    return display.find_chains(chains, "AN", limit=5)
+    n = views.read(spark, sf_dir, "supplier")
+    short = F.concat(F.left("s_name", F.lit(2)), F.col("s_nationkey").cast("string"))
+    chains = n.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), short.alias("short_name"), F.concat(F.lit("C"), "s_nationkey").alias("currency_symbol"), F.array(F.concat(F.lit("https://"), "s_suppkey"), F.lit("other")).alias("explorers"))
+    return display.find_chains(chains, "7", limit=5)
 
 
 # --- I: presets ---
@@ -680,20 +717,31 @@ def j7_decoded_calls(spark, sf_dir):
 # --- K: live ---
 
 
-@query(sql(f"SELECT block_number, count(DISTINCT tx_hash) AS txs, coalesce(any_value(n_logs), 0) AS logs, coalesce(any_value(n_swaps), 0) AS swaps FROM t_tx LEFT JOIN (SELECT block_number, count(*) AS n_logs, count(swap0) AS n_swaps FROM t_logs GROUP BY block_number) USING (block_number) WHERE block_number > (SELECT max(block_number) FROM t_blocks) - 600 GROUP BY block_number"))
-def k1_k2_k3_live(spark, sf_dir):
-    """The exports as files of 250 blocks, followed as a stream with retention, and the first files delivered again."""
-    e = views.exports(spark, sf_dir)
-    root = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+def _follow(spark, sf_dir, keep: int | None, again: bool) -> LedgerStore:
+    """The exports as files of 250 blocks, followed as a stream; again: all files delivered a second time, in other batches."""
+    e, root = views.exports(spark, sf_dir), _written(spark, "live")
     methods, events = views.named(spark, views.METHODS), views.named(spark, views.EVENTS)
     write_exports(spark, e, f"{root}/exports", 250)
     store = LedgerStore(spark, f"{root}/store")
-    follow(store, f"{root}/exports", f"{root}/checkpoint", methods, events, [SWAPS], keep=600, files_per_batch=4).awaitTermination()
-    follow(store, f"{root}/exports", f"{root}/checkpoint2", methods, events, [SWAPS], keep=600, files_per_batch=100).awaitTermination()
+    for turn in range(1 + again):
+        follow(store, f"{root}/exports", f"{root}/checkpoint{turn}", methods, events, [SWAPS], keep=keep, files_per_batch=4 + 96 * turn).awaitTermination()
+    return store
+
+
+@query(sql(f"SELECT block_number, count(DISTINCT tx_hash) AS txs, coalesce(any_value(n_logs), 0) AS logs, coalesce(any_value(n_swaps), 0) AS swaps FROM t_tx LEFT JOIN (SELECT block_number, count(*) AS n_logs, count(swap0) AS n_swaps FROM t_logs GROUP BY block_number) USING (block_number) WHERE block_number > (SELECT max(block_number) FROM t_blocks) - 600 GROUP BY block_number"))
+def k1_k2_k3_live(spark, sf_dir):
+    store = _follow(spark, sf_dir, keep=600, again=True)
     counts = [store.table("transactions").groupBy("block_number").agg(F.count("*").alias("txs")), store.table("logs").groupBy("block_number").agg(F.count("*").alias("logs")), store.events.table("swaps").groupBy("block_number").agg(F.count("*").alias("swaps"))]
     return store.table("blocks").select("block_number").join(counts[0], "block_number", "left").join(counts[1], "block_number", "left").join(counts[2], "block_number", "left").select("block_number", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("txs", "logs", "swaps")])
 
 
+@query(sql("SELECT min(block_number) AS first, max(block_number) AS last, count(*)::BIGINT AS new_blocks, 0::BIGINT AS cached_blocks FROM t_blocks"))
+def k4_progress(spark, sf_dir):
+    """What the follower's batches report, added up."""
+    rounds = _follow(spark, sf_dir, keep=None, again=False).progress()
+    return rounds.agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("new_blocks").alias("new_blocks"), F.sum("cached_blocks").alias("cached_blocks"))
+
+
 def write_exports(spark: SparkSession, e: views.Exports, folder: str, size: int) -> None:
     """Export files named by their block ranges, one for `size` blocks: written by partitions, then renamed."""
     jvm = spark.sparkContext._jvm

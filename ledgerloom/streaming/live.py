@@ -13,6 +13,9 @@ from ledgerloom.operators.coverage import BUCKET, Range, cutoff, in_range
 from ledgerloom.sources.exports import read_range
 
 
+PROGRESS = "batch long, first long, last long, new_blocks long, cached_blocks long"
+
+
 class LedgerStore:
     """The three tables as Parquet, partitioned by buckets of BUCKET blocks, under one root."""
 
@@ -38,6 +41,10 @@ class LedgerStore:
             df = in_range(df.where(F.col("bucket").between(r.first // BUCKET, r.last // BUCKET)), r)
         return df.select(*kinds.fieldNames())
 
+    def progress(self) -> DataFrame:
+        """A row for each batch that brought blocks: batch, first, last, new_blocks, cached_blocks."""
+        return self.spark.read.schema(PROGRESS).json(f"{self.root}/_progress")
+
     def append(self, name: str, rows: DataFrame, r: Range) -> None:
         """Add the rows whose key isn't there; rows: of blocks in r."""
         fresh = ingest.new_rows(rows, self.table(name, r), name)
@@ -99,9 +106,6 @@ def index_blocks(store: LedgerStore, exports: str, fresh_blocks: DataFrame, meth
     return low, high, total - cached, cached
 
 
-PROGRESS = "batch long, first long, last long, new_blocks long, cached_blocks long"
-
-
 def follow(store: LedgerStore, exports: str, checkpoint: str, methods: DataFrame, events: DataFrame, tables: list[ev.EventTable] | None = None, keep: int | None = None, every: int = 1, files_per_batch: int = 16, available_now: bool = True) -> StreamingQuery:
     """Index each new blocks file of a folder, with the transactions and logs of its blocks, whose files must be there first.
 

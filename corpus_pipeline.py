@@ -61,7 +61,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = scratch.cut(docs)
+            docs = scratch.cut(docs, "zstd")
             if before is not None:
                 scratch.drop(before)
             before = docs

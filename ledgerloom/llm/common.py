@@ -23,11 +23,14 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/ledgerloom/{uuid.uuid4().hex}"
         self.count = 0
 
-    def cut(self, df: DataFrame) -> DataFrame:
-        """Write df and read it back, so that what follows neither recomputes it nor depends on an executor's files."""
+    def cut(self, df: DataFrame, compression: str = "none") -> DataFrame:
+        """Write df and read it back, so that what follows neither recomputes it nor depends on an executor's files.
+
+        Narrow tables are read several times in a row: uncompressed, they need no buffers outside the heap,
+        which pile up until a collection. Give a codec for tables with texts."""
         self.count += 1
         at = f"{self.root}/{self.count}"
-        df.write.parquet(at)
+        df.write.option("compression", compression).parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._ledgerloom_at = at
         return out

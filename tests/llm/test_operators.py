@@ -200,6 +200,19 @@ def test_html_extraction_held_out(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_html_training_sample(spark):
+    rng = random.Random(4)
+    data = [(i, "u", site(rng)) for i in range(12)] + [(50, "u", "<p>no article</p>"), (51, "u", None)]
+    pages = spark.createDataFrame(data + data[:3], "page_id long, url string, html string").repartition(4)
+    got = html_extract.sample(pages, 5)
+    assert len(got) == 5 == len(set(got)) and got == html_extract.sample(pages.repartition(2), 5)
+    assert set(html_extract.sample(pages)) == {h for i, _, h in data if i < 12}
+    assert html_extract.sample(pages.where("page_id > 49")) == []
+    texts = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert all(texts[i] == "\n".join(b.text for b in html_extract.leaf_blocks(h) if ("article", ()) in b.path) for i, _, h in data[:12])
+    assert set(html_extract.extract(pages.where("page_id > 49")).select("text").distinct().collect()[0]) == {""}
+
+
 def test_viterbi_is_best_path():
     import itertools
 

@@ -463,14 +463,41 @@ def test_empty_tables(empty, docs):
 
 
 def test_pipeline(spark, tmp_path):
+    """Stage by stage, each against brute force on what the stage before kept."""
     import corpus_pipeline
 
-    spark.createDataFrame(rows(), SCHEMA).drop("part", "component_id", "__times", "shard").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, "the long river runs through seven green valleys before it meets the cold sea")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rng = random.Random(9)
+    item = "the long river runs through seven green valleys before it meets the cold sea"
+    far = [prose(rng, rng.randint(60, 200)) for _ in range(30)]
+    texts = [*far, *far[:4], far[5] + " more.", f"{prose(rng, 40)}\n{item} {prose(rng, 30)}", " ".join(far[6].split()[:20] * 6), prose(rng, 10), None, ""]
+    table = [(i, t, "en", f"s{i % 4}", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    out = corpus_pipeline.run(spark, str(tmp_path))
-    assert out.columns == [*docs.columns, "shard", "slot"]
-    good = {r.doc_id for r in repetition.quality(docs).where("kept").collect()}
-    got = out.collect()
-    assert got and {r.doc_id for r in got} <= good
-    assert len({(r.shard, r.slot) for r in got}) == len(got)
+    after, now = [], docs
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        after.append(now)
+    assert all(d.columns == docs.columns for d in after[:-1])
+    ids = [sorted(r.doc_id for r in d.collect()) for d in after]
+
+    def good(text):
+        n, _, _, _, repeated, covered, longest = brute_quality(text)
+        return n >= 50 and 100 * repeated <= 50 * n and covered <= 0.3 * n and longest <= repetition.MAX_LONGEST
+
+    assert ids[0] == [i for i, t in enumerate(texts) if good(t)]
+    fps = {i: brute_fingerprint(texts[i]) for i in ids[0]}
+    root = {i: i for i in ids[0]}
+    for _ in ids[0]:
+        root = {i: min(root[j] for j in ids[0] if (fps[i] ^ fps[j]).bit_count() <= 4) for i in ids[0]}
+    assert ids[1] == [i for i in ids[0] if root[i] == i] and len(ids[1]) < len(ids[0])
+    assert ids[2] == [i for i in ids[1] if item not in texts[i]] and len(ids[2]) < len(ids[1])
+    taken = {r.doc_id: r for r in mixing.taken(after[2]).collect()}
+    times = {i: ids[3].count(i) for i in ids[2]}
+    assert set(ids[3]) <= set(ids[2]) and all(abs(times[i] - taken[i].taken / taken[i].size) <= 1 for i in ids[2])
+    assert ids[4] == ids[3] and after[4].columns == [*docs.columns, "shard", "slot"]
+    places = [(r.shard, r.slot) for r in after[4].collect()]
+    assert len(set(places)) == len(places) and {s for s, _ in places} <= set(range(24))
+    run = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(map(str, run.collect())) == sorted(map(str, after[4].collect()))

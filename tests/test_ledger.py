@@ -305,3 +305,23 @@ def test_display_lookups(spark, ledger):
     rows = display.block_rows(ledger.tables["blocks"], t).orderBy("block_number").collect()
     assert [(b.block_number, b.txs_count, b.display_base_fee_per_gas) for b in rows] == [(4, 0, None), (5, 1, None)]
     assert display.with_logs(t, spark.createDataFrame([], schema.LOGS)).first().logs == []
+
+
+def test_export_files(spark, tmp_path):
+    rows = [(n, b"h", b"m", 1, n, None) for n in range(100, 120)]
+    text = spark.createDataFrame([("0x" + "ab" * 32, "0x" + "cd" * 20, n, 1, n, None) for n, *_ in rows], schema.BLOCK_EXPORT)
+    for low in (100, 110):
+        text.where(f"block_number BETWEEN {low} AND {low + 9}").coalesce(1).write.parquet(f"{tmp_path}/w{low}")
+        part = next(p for p in (tmp_path / f"w{low}").iterdir() if p.name.startswith("part-"))
+        (tmp_path / "exports").mkdir(exist_ok=True)
+        part.rename(tmp_path / "exports" / f"ethereum__blocks__{low:08d}_to_{low + 9:08d}.parquet")
+    folder = f"{tmp_path}/exports"
+    files = exports.manifest(spark, folder)
+    assert files.count() == 2 and coverage.stored_bytes(spark, folder) == sum(r.length for r in files.collect()) > 0
+    got = exports.read_range(spark, folder, "blocks", 105, 108)
+    assert sorted(r.block_number for r in ingest.blocks(got).collect()) == [105, 106, 107, 108]
+    assert len(got.inputFiles()) == 1 and exports.read_range(spark, folder, "logs", 0, 9).count() == 0
+    spark.createDataFrame([(b"1234", b"a" * 32, "f()"), (None, b"a" * 32, "g()")], exports.SIGNATURES).write.parquet(f"{tmp_path}/sigs")
+    spark.createDataFrame([(b"a" * 32, "function"), (b"a" * 32, None)], exports.COMPILED).write.parquet(f"{tmp_path}/kinds")
+    methods, events, skipped = signatures.dictionary(exports.read_signatures(spark, f"{tmp_path}/sigs"), exports.read_compiled(spark, f"{tmp_path}/kinds"))
+    assert [r.signature for r in methods.collect()] == ["f()"] and events.count() == skipped.count() == 0

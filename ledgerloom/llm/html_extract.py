@@ -343,10 +343,16 @@ def train(pages: list[tuple[list[list[str]], list[bool]]], rounds: int = ROUNDS)
 
 
 def sample(pages: DataFrame, max_train: int = MAX_TRAIN) -> list[str]:
-    """At most max_train pages that name their article, the first ones by a hash of the whole row (a bounded top-k)."""
-    named = pages.where(F.col("html").rlike(r"(?i)<(article|main)\b"))
+    """At most max_train pages that name their article, those with the least hashes of the whole row, each once.
+
+    Hashes alone are ranked; then only the pages under the last of these come to the driver."""
     key = F.xxhash64(F.coalesce(F.col("page_id").cast("long"), F.lit(-1)), "html")
-    return [r["html"] for r in named.select("html", key.alias("key")).orderBy("key", "html").limit(max_train).collect()]
+    named = pages.where(F.col("html").rlike(r"(?i)<(article|main)\b")).select(key.alias("key"), "html")
+    least = [r["key"] for r in named.select("key").distinct().orderBy("key").limit(max_train).collect()]
+    if not least:
+        return []
+    rows = named.where(F.col("key") <= least[-1]).groupBy("key").agg(F.min("html").alias("html")).collect()  # max_train rows
+    return [r["html"] for r in sorted(rows, key=lambda r: r["key"])]
 
 
 def main_text(page: str, field: Field) -> str:

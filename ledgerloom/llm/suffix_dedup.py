@@ -17,7 +17,6 @@ documents share costs one entry a part. Buckets hold keys of about one part's te
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 import xxhash

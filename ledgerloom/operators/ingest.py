@@ -20,9 +20,10 @@ MOST = 2**63 - 1
 def to_bytes(column: Column | str) -> Column:
     """Hex text, with or without 0x, as bytes; null is empty; odd or bad hex raises."""
     c = F.col(column) if isinstance(column, str) else column
-    digits = F.regexp_replace(F.coalesce(c, F.lit("")), "^0x", "")
-    good = (F.length(digits) % 2 == 0) & digits.rlike("^[0-9a-fA-F]*$")
-    return F.when(good, F.unhex(digits)).otherwise(F.raise_error(F.concat(F.lit("bad hex: "), c)).cast("binary"))
+    text = F.coalesce(c, F.lit(""))
+    digits = F.when(F.startswith(text, F.lit("0x")), F.substring(text, 3, 2**31 - 1)).otherwise(text)
+    raw = F.unhex(digits)  # null for bad digits
+    return F.when((F.length(digits) % 2 == 0) & raw.isNotNull(), raw).otherwise(F.raise_error(F.concat(F.lit("bad hex: "), c)).cast("binary"))
 
 
 def or_null(b: Column) -> Column:

@@ -116,7 +116,7 @@ def populate(logs: DataFrame, table: EventTable, existing: DataFrame | None, r:
 
 def several(logs: DataFrame, tables: list[EventTable]) -> DataFrame:
     """The logs that belong to any of the tables, each with the names of its tables: one scan for all of them."""
-    names = F.filter(F.array(*[F.when(t.where(), F.lit(t.name)) for t in tables]), lambda n: n.isNotNull())
+    names = F.array_except(F.array(*[F.when(t.where(), F.lit(t.name)) for t in tables]), F.array(F.lit(None).cast("string")))
     wanted = tables[0].where()
     for t in tables[1:]:
         wanted = wanted | t.where()

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.common import Scratch
 from ledgerloom.llm.decontaminate import decontaminated
+from ledgerloom.llm.jaccard import keep_first_similar
 from ledgerloom.llm.kdshard import sharded
 from ledgerloom.llm.mixing import mixed
 from ledgerloom.llm.repetition import keep_good
-from ledgerloom.llm.simhash import keep_first
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    return keep_first(docs)
+    return keep_first_similar(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("sharding", sharding),
 ]
 
-#: SimHash groups and word suffix arrays aren't SQL; tests compare the stages with brute force.
+#: Shingle groups and word suffix arrays aren't SQL; tests compare the stages with brute force.
 ORACLE_SQL: str | None = None
 
 

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chunk_dedup, decontaminate, html_extract, kdshard, line_dedup, mixing, ordinal, repetition, simhash, suffix_dedup
+from ledgerloom.llm import chunk_dedup, decontaminate, html_extract, jaccard, kdshard, line_dedup, mixing, ordinal, repetition, simhash, suffix_dedup
 
 WORDS = [f"{a}{b}" for a in "ka lo mi su te ra no".split() for b in "n r s t l m v z d".split()]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, part int, component_id string, __times int, shard string"
@@ -108,6 +108,38 @@ def test_keep_first(docs):
     assert sorted(no_id(r.doc_id) for r in stay.collect()) == sorted(no_id(r[0]) for r in rows() if groups[no_id(r[0])] == no_id(r[0]) or r[0] is None)
 
 
+def test_keep_first_similar(spark):
+    """Against brute-force Jaccard: copies with changed words, which lie more than four bits apart, chains, one large group, rows without an id."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(40):
+        words = prose(rng, rng.randint(60, 300)).split()
+        texts.append(" ".join(words))
+        for _ in range(rng.choice((1, 1, 2, 5))):
+            for _ in range(max(1, len(words) // 60)):
+                words[rng.randrange(len(words))] = f"own{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    base = prose(rng, 150).split()
+    texts += [" ".join(w if rng.random() > 0.015 else f"x{rng.randrange(10**6)}" for w in base) for _ in range(60)]
+    texts += [texts[0].upper(), "two words", "Two  words", "", None, " \n"]
+    table = [(i, t, 0) for i, t in enumerate(texts)]
+    rng.shuffle(table)
+    table.append((None, texts[1], 0))
+    got = sorted(r.doc_id for r in jaccard.keep_first_similar(spark.createDataFrame(table, "doc_id long, text string, __gone_ int").repartition(5)).collect() if r.doc_id is not None)
+    sets = []
+    for t in texts:
+        words = (t or "").lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    near = [(a, b) for b in range(len(texts)) for a in range(b) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+    bits = {(a, b) for b in range(len(texts)) for a in range(b) if (brute_fingerprint(texts[a]) ^ brute_fingerprint(texts[b])).bit_count() <= 4}
+    assert len(set(near) - bits) > 20
+    root = list(range(len(texts)))
+    for _ in range(20):
+        for a, b in [*near, *bits]:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == [i for i in range(len(texts)) if root[i] == i]
+
+
 # --- 2 ---
 
 

@@ -5,6 +5,9 @@ case without marks around them. Windows of WINDOW template words are hashed, and
 those of benchmark items on the hash. A window with placeholders counts only if its slots are filled consistently:
 within a document and an item, a value of the item stands for one value in the document.
 
+Windows of few literal words would meet everywhere as templates. They count where a document has them word for word,
+where they continue a window that was found, or where the document has the whole item with its slots filled consistently.
+
 Benchmarks are small beside a corpus: their windows go to all tasks, in blocks of at most BLOCK_BYTES of
 benchmark text, one pass over the documents for each block, so no block outgrows memory.
 """
@@ -113,71 +116,130 @@ def window_hashes(words: np.ndarray, kind: np.ndarray, size: int) -> tuple[np.nd
     return h, upto[size:] - upto[:-size] >= min(LEAST_LITERAL, size)
 
 
+def verbatim_hashes(literal: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all windows of `size` words in their literal form."""
+    return window_hashes(literal, np.zeros(len(literal), np.int64), size)[0]
+
+
+def _table(hashes: list, owners: list, places: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different hashes, sorted, where the entries of each begin, and the entries' items and places."""
+    h, o, p = np.array(hashes, np.uint64), np.array(owners, np.int64), np.array(places, np.int64)
+    order = np.argsort(h, kind="stable")
+    h, o, p = h[order], o[order], p[order]
+    s = runs_of(h)
+    return h[s], np.append(s, len(h)), o, p
+
+
 class Items:
     """The windows of a block of benchmark items. Items shorter than a window are a window as they are."""
 
     def __init__(self, rows: list[tuple[int, bytes]], size: int):
         known = _Words()
-        self.ids, hashes, owners, places = [], defaultdict(list), defaultdict(list), defaultdict(list)
-        self.literal, self.kind = [], []
+        self.ids, self.words, self.literal, self.kind, self.tells = [], [], [], [], []
+        entries: dict[int, tuple] = defaultdict(lambda: tuple(([], [], []) for _ in range(3)))
         for item, text in rows:
             words, literal, kind = template(text, known)
             own = min(size, len(words))
             if not own:
                 continue
             h, tells = window_hashes(words, kind, own)
-            at = np.flatnonzero(tells)
-            hashes[own].append(h[at])
-            places[own].append(at)
-            owners[own].append(np.full(len(at), len(self.ids)))
+            low = np.flatnonzero(~tells)
+            found = [(h, np.flatnonzero(tells)), (verbatim_hashes(literal, own), low), (h, low[:0])]
+            if not tells.any() and (kind == LITERAL).sum() >= LEAST_LITERAL:
+                upto = np.append(0, np.cumsum(kind == LITERAL))
+                found[2] = (h, np.array([np.argmax(upto[own:] - upto[:-own])]))
+            for (hashes, at), lists in zip(found, entries[own], strict=True):
+                lists[0].extend(hashes[at].tolist())
+                lists[1].extend([len(self.ids)] * len(at))
+                lists[2].extend(at.tolist())
             self.ids.append(item)
+            self.words.append(words)
             self.literal.append(literal)
             self.kind.append(kind)
-        self.by_size = {}
-        for own, h in hashes.items():
-            h, o, p = np.concatenate(h), np.concatenate(owners[own]), np.concatenate(places[own])
-            order = np.argsort(h, kind="stable")
-            h, o, p = h[order], o[order], p[order]
-            s = runs_of(h)
-            self.by_size[own] = (h[s], np.append(s, len(h)), o, p)
+            self.tells.append(tells)
+        #: By size: windows of enough literal words by template, others by their literal form, and one of each item that has none of the first kind.
+        self.by_size = {own: tuple(_table(*x) for x in lists) for own, lists in entries.items()}
 
     def matches(self, text: bytes, known: _Words, least: float) -> list[tuple[int, int, float, int, bool]]:
         """Items that the text holds: item_id, windows, the share of the item's words covered, slots in them, and whether a slot is filled otherwise."""
         words, literal, kind = template(text, known)
-        hits: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for size, (table, cuts, owners, places) in self.by_size.items():
+        hits: dict[int, dict[tuple[int, int], None]] = defaultdict(dict)
+        for size, (full, verbatim, whole) in self.by_size.items():
             h, tells = window_hashes(words, kind, size)
-            at = find(h, table)
-            for d in np.flatnonzero((at >= 0) & tells).tolist():
-                for k in range(cuts[at[d]], cuts[at[d] + 1]):
-                    hits[int(owners[k])].append((d, int(places[k]), size))
+            for (table, cuts, owners, places), hashes in ((full, h), (verbatim, verbatim_hashes(literal, size) if len(verbatim[0]) else h[:0]), (whole, h)):
+                if not len(table):
+                    continue
+                at = find(hashes, table)
+                for d in np.flatnonzero((at >= 0) & tells if table is full[0] else at >= 0).tolist():
+                    for k in range(cuts[at[d]], cuts[at[d] + 1]):
+                        item, p = int(owners[k]), int(places[k])
+                        if table is not whole[0]:
+                            hits[item][d, p] = None
+                        elif self._whole(item, d - p, words, literal):
+                            hits[item] |= {(d - p + q, q): None for q in range(len(self.tells[item]))}
         out = []
         for item, found in hits.items():
-            there, kinds = self.literal[item], self.kind[item]
-            votes: dict[tuple[int, int], Counter] = defaultdict(Counter)
-            for d, p, size in found:
-                for j in range(size):
-                    if kinds[p + j] != LITERAL:
-                        votes[int(kinds[p + j]), int(there[p + j])][int(literal[d + j])] += 1
-            stands = {k: min(c, key=lambda v: (-c[v], v)) for k, c in votes.items()}
-            good = [(d, p, size) for d, p, size in found if all(kinds[p + j] == LITERAL or stands[int(kinds[p + j]), int(there[p + j])] == int(literal[d + j]) for j in range(size))]
-            covered = np.zeros(len(there), bool)
-            for _, p, size in good:
-                covered[p : p + size] = True
-            share = float(covered.mean())
-            if good and share >= least:
-                slots = {(int(k), int(v)) for k, v in zip(kinds[covered], there[covered], strict=True) if k != LITERAL}
-                out.append((self.ids[item], len(good), share, len(slots), any(stands[s] != s[1] for s in slots)))
+            if not self.tells[item].all():
+                self._continued(item, found, words)
+            if best := self._best(item, list(found), literal, least):
+                out.append((self.ids[item], *best))
         return out
 
+    def _whole(self, item: int, begin: int, words: np.ndarray, literal: np.ndarray) -> bool:
+        """Whether the text has the item's whole template at `begin`, each value of the item standing for one value."""
+        own, there, kinds = self.words[item], self.literal[item].tolist(), self.kind[item].tolist()
+        if begin < 0 or not np.array_equal(words[begin : begin + len(own)], own):
+            return False
+        stands: dict[tuple[int, int], int] = {}
+        return all(k == LITERAL or stands.setdefault((k, v), w) == w for k, v, w in zip(kinds, there, literal[begin : begin + len(own)].tolist(), strict=True))
+
+    def _continued(self, item: int, found: dict[tuple[int, int], None], words: np.ndarray) -> None:
+        """Adds the windows of few literal words that continue one that was found: the template agrees all the way from there."""
+        own, tells = self.words[item], self.tells[item]
+        size = len(own) - len(tells) + 1
+        by: dict[int, list[int]] = defaultdict(list)
+        for d, p in found:
+            by[d - p].append(p)
+        for begin, places in by.items():
+            low = max(0, -begin)
+            same = np.zeros(len(own), bool)
+            part = words[begin + low : begin + len(own)]
+            same[low : low + len(part)] = part == own[low : low + len(part)]
+            breaks = np.append(0, np.cumsum(~same))
+            fits = np.flatnonzero((breaks[size:] == breaks[:-size]) & ~tells)
+            reached = np.isin(breaks[fits], [breaks[p] for p in places if breaks[p] == breaks[p + size]])
+            found |= {(begin + p, p): None for p in fits[reached].tolist()}
+
+    def _best(self, item: int, found: list[tuple[int, int]], literal: np.ndarray, least: float) -> tuple[int, float, int, bool] | None:
+        """What the text covers, with slots judged in all places together."""
+        measured = self._measure(item, found, literal)
+        return measured if measured[0] and measured[1] >= least else None
+
+    def _measure(self, item: int, found: list[tuple[int, int]], literal: np.ndarray) -> tuple[int, float, int, bool]:
+        """Windows, share, slots and whether a slot is filled otherwise, in windows whose slots hold what most have."""
+        there, kinds = self.literal[item], self.kind[item]
+        size = len(there) - len(self.tells[item]) + 1
+        votes: dict[tuple[int, int], Counter] = defaultdict(Counter)
+        for d, p in found:
+            for j in range(size):
+                if kinds[p + j] != LITERAL:
+                    votes[int(kinds[p + j]), int(there[p + j])][int(literal[d + j])] += 1
+        stands = {k: min(c, key=lambda v: (-c[v], v)) for k, c in votes.items()}
+        good = [(d, p) for d, p in found if all(kinds[p + j] == LITERAL or stands[int(kinds[p + j]), int(there[p + j])] == int(literal[d + j]) for j in range(size))]
+        covered = np.zeros(len(there), bool)
+        for _, p in good:
+            covered[p : p + size] = True
+        slots = {(int(k), int(v)) for k, v in zip(kinds[covered], there[covered], strict=True) if k != LITERAL}
+        return len(good), float(covered.mean()), len(slots), any(stands[s] != s[1] for s in slots)
+
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_covered: float = LEAST_COVERED) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds: at least least_covered of the item's words lie in shared windows.
 
     docs: doc_id, text; benchmark: item_id, text. Returns doc_id, item_id, n_windows, covered (share of the
     item's words), n_slots (different slot values in them) and reparameterised (a slot has another value here), one row a pair; of rows
-    that repeat a doc_id or an item_id the best match counts. Null and empty texts, and windows of too few
-    literal words, match nothing; an item shorter than a window is one window; null ids are reported as null; empty tables give an
+    that repeat a doc_id or an item_id the best match counts. Null and empty texts match nothing; windows of too few
+    literal words match as the module text says, an item of fewer than LEAST_LITERAL of them word for word only; an item shorter than a window is one window; null ids are reported as null; empty tables give an
     empty result; other columns aren't read."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_bytes().alias("text"))

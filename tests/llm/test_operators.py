@@ -406,6 +406,23 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contaminated(empty, bench).count() == decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_few_literal_words():
+    ran = b"Tom ran 5 km in 20 minutes, Ann ran 6 km in 25 minutes, Bob ran 7 km in 30 minutes."
+    cost = b"If 3 kg cost 12 dollars and 5 kg cost 20 dollars, 8 kg cost 32 dollars."
+    items, known = decontaminate.Items([(1, ran), (2, cost), (3, b"1 2 3 4 5 6 7 8 9 10")], 8), decontaminate._Words()
+    found = lambda t: {m[0]: m for m in items.matches(t, known, 0.5)}
+    assert found(b"words before. " + ran + b" After.")[1][2] == 1.0 and not found(ran)[1][4]
+    assert found(b"so, " + cost)[2][2] == 1.0
+    other = b"If 4 lb cost 10 euros and 6 lb cost 15 euros, 9 lb cost 25 euros."
+    assert found(b"words before. " + other)[2][2:] == (1.0, 8, True)
+    assert not found(other.replace(b"9 lb", b"9 oz"))  # one unit stands for two
+    assert not found(b"3 4 5 6 7 8 9 11 12 13") and set(found(b"0 1 2 3 4 5 6 7 8 9 10")) == {3}
+    # windows of few literal words behind one that tells
+    long = b"the farmer then carries every full basket and sells 5 kg for 20 dollars, 6 kg for 25 dollars, 7 kg for 30 dollars, 8 kg for 35 dollars"
+    items = decontaminate.Items([(1, long)], 8)
+    assert found(long.replace(b"25", b"99").replace(b"35", b"88"))[1][2] == 1.0
+
+
 # --- 9 ---
 
 

@@ -3,7 +3,7 @@
 A text becomes a template: numbers, names and units turn into typed placeholders, other words into lower
 case without marks around them. Windows of WINDOW template words are hashed, and windows of documents join
 those of benchmark items on the hash. A window with placeholders counts only if its slots are filled consistently:
-within a document and an item, a value of the item stands for one value in the document.
+within an occurrence of an item, a value of the item stands for one value in the document.
 
 Windows of few literal words would meet everywhere as templates. They count where a document has them word for word,
 where they continue a window that was found, or where the document has the whole item with its slots filled consistently.
@@ -211,12 +211,23 @@ class Items:
             found |= {(begin + p, p): None for p in fits[reached].tolist()}
 
     def _best(self, item: int, found: list[tuple[int, int]], literal: np.ndarray, least: float) -> tuple[int, float, int, bool] | None:
-        """What the text covers, with slots judged in all places together."""
-        measured = self._measure(item, found, literal)
+        """What the best occurrence covers. Slots are judged in all places together and, unless these agree, in each alignment and in alignments near one another."""
+        measured, agree = self._measure(item, found, literal)
+        if not agree:
+            by: dict[int, list[tuple[int, int]]] = defaultdict(list)
+            for d, p in found:
+                by[d - p].append((d, p))
+            begins = sorted(by)
+            near = [[]]
+            for a, b in zip([begins[0], *begins], begins, strict=False):
+                if b - a > len(self.words[item]) // 2:
+                    near.append([])
+                near[-1] += by[b]
+            measured = max([measured, *(self._measure(item, x, literal)[0] for x in [*by.values(), *near])], key=lambda m: (m[1], not m[3], m[0]))
         return measured if measured[0] and measured[1] >= least else None
 
-    def _measure(self, item: int, found: list[tuple[int, int]], literal: np.ndarray) -> tuple[int, float, int, bool]:
-        """Windows, share, slots and whether a slot is filled otherwise, in windows whose slots hold what most have."""
+    def _measure(self, item: int, found: list[tuple[int, int]], literal: np.ndarray) -> tuple[tuple[int, float, int, bool], bool]:
+        """Windows, share, slots and whether a slot is filled otherwise, in windows whose slots hold what most have; and whether all do."""
         there, kinds = self.literal[item], self.kind[item]
         size = len(there) - len(self.tells[item]) + 1
         votes: dict[tuple[int, int], Counter] = defaultdict(Counter)
@@ -230,7 +241,7 @@ class Items:
         for _, p in good:
             covered[p : p + size] = True
         slots = {(int(k), int(v)) for k, v in zip(kinds[covered], there[covered], strict=True) if k != LITERAL}
-        return len(good), float(covered.mean()), len(slots), any(stands[s] != s[1] for s in slots)
+        return (len(good), float(covered.mean()), len(slots), any(stands[s] != s[1] for s in slots)), len(good) == len(found)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_covered: float = LEAST_COVERED) -> DataFrame:

@@ -423,6 +423,22 @@ def test_decontamination_of_few_literal_words():
     assert found(long.replace(b"25", b"99").replace(b"35", b"88"))[1][2] == 1.0
 
 
+def test_decontamination_judges_each_occurrence():
+    """A worksheet holds the item word for word and with other values, so that no one value is elected for both slots."""
+    item = "If Tom buys 12 apples and each apple costs 3 dollars then how much money does Tom need in total"
+    items, known = decontaminate.Items([(1, item.encode())], 8), decontaminate._Words()
+    copies = [item.replace("12", a).replace("3 d", f"{b} d").replace("Tom", c) for a, b, c in (("12", "3", "Tom"), ("40", "7", "Anna"), ("55", "8", "Beth"))]
+    for seed in range(20):
+        texts = copies[:2] + copies[2:] * (seed % 2)
+        random.Random(seed).shuffle(texts)
+        # pieces that sway the votes: of one copy the first half, of another the second
+        pieces = [" ".join(copies[1].split()[:10]), " ".join(copies[2].split()[-14:])] * (1 + seed % 3)
+        found = items.matches("\n\n".join(texts + pieces).encode(), known, 0.5)
+        assert [(m[0], m[2], m[4]) for m in found] == [(1, 1.0, False)]
+    two = f"{copies[1]}. {' '.join(copies[2].split()[:10])} {copies[2]}. {' '.join(copies[1].split()[-14:])}"
+    assert items.matches(two.encode(), known, 0.5)[0][2] == 1.0
+
+
 # --- 9 ---
 
 

@@ -66,19 +66,23 @@ def start_keys(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
 
 
 def windows(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches of starts with one key: key, document's place in texts, first start within it, number of starts."""
+    """Stretches of starts with one key: key, document's place in texts, first start within it, number of starts.
+
+    They depend on the document alone: not on what stands beside it, nor on where a block begins, as rows may come in another order next time."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
     begins = np.append(0, ends[:-1]) if len(ends) else ends
     stops = np.maximum(ends - length + 1, begins)  # one past the last start
     keys, places = [], []
     n = len(data) - length + 1
+    before = None
     for at in range(0, max(n, 0), BLOCK):
         k = start_keys(data[at : min(at + BLOCK, n) + length - 1], length)
         cut = np.concatenate([b[np.searchsorted(b, at) : np.searchsorted(b, at + len(k))] for b in (begins, stops)])
         change = np.zeros(len(k), bool)
-        change[0] = True
+        change[0] = before is None or k[0] != before
         change[1:] = k[1:] != k[:-1]
+        before = k[-1]
         change[cut - at] = True
         first = np.flatnonzero(change)
         keys.append(k[first] >> np.uint64(64 - KEY_BITS))

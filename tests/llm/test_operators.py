@@ -161,6 +161,24 @@ def test_suffix_dedup(docs, length):
     assert got == sorted(want)
 
 
+def test_windows_depend_on_the_document_alone(monkeypatch):
+    """Wherever blocks begin and in whatever order the rows of a part come."""
+    rng = random.Random(7)
+    texts = [prose(rng, n).encode() for n in (40, 3, 90, 0, 200)] + [b"z" * 9000, b"", b"ab" * 300]
+
+    def found(texts):
+        key, doc, start, count = suffix_dedup.windows(texts)
+        return sorted((texts[d], k, s, c) for k, d, s, c in zip(key.tolist(), doc.tolist(), start.tolist(), count.tolist(), strict=True))
+
+    want = sorted(w for t in texts for w in found([t]))
+    assert found(texts) == want
+    for block in (64, 97, 1000):
+        monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+        for _ in range(4):
+            rng.shuffle(texts)
+            assert found(texts) == want
+
+
 def test_suffix_sort_is_sorted():
     import numpy as np
 

@@ -28,7 +28,9 @@ LEAST_COUNT = 3
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ANY_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+MAY_HIDE = re.compile(r"hidden|display", re.I)
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
 
@@ -51,15 +53,17 @@ class Block(NamedTuple):
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order. Markup that is cut off or not closed is read as browsers do, nearly; hidden elements give none."""
+    """The leaf blocks of a page in order. Markup that is cut off or not closed is read as browsers do, nearly; hidden elements give none
+    and end as others do, with their end tag, their parent or what else closes them."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     pieces: list[str] = []
     linked, links, at, n = 0, 0, 0, len(page)
+    dark: int | None = None  # where in the stack a hidden element is, whose content gives no text
 
     def text(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and dark is None:
             raw = html.unescape(raw) if "&" in raw else raw
             pieces.append(raw)
             if links:
@@ -67,6 +71,8 @@ def leaf_blocks(page: str) -> list[Block]:
 
     def close() -> None:
         nonlocal linked
+        if dark is not None:
+            return
         if pieces:
             if whole := SPACE.sub(" ", "".join(pieces)).strip():
                 out.append(Block(whole, tuple(stack), linked))
@@ -74,10 +80,18 @@ def leaf_blocks(page: str) -> list[Block]:
         linked = 0
 
     def pop(upto: int) -> None:
-        nonlocal links
-        close()
+        if dark is None or upto < dark:  # text goes on behind a hidden element
+            if dark is not None:
+                cut(dark)
+            close()
+        cut(upto)
+
+    def cut(upto: int) -> None:
+        nonlocal links, dark
         links -= sum(t == "a" for t, _ in stack[upto:])
         del stack[upto:]
+        if dark is not None and len(stack) <= dark:
+            dark = None
 
     while at < n:
         m = TOKEN.search(page, at)
@@ -90,21 +104,20 @@ def leaf_blocks(page: str) -> list[Block]:
         if not tag:
             continue
         if m[1]:  # an end tag
-            if tag == "br":
+            if tag == "br" and dark is None:
                 pieces.append(" ")
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     if any(t in BLOCK for t, _ in stack[i:]):
                         pop(i)
                     else:
-                        links -= sum(t == "a" for t, _ in stack[i:])
-                        del stack[i:]
+                        cut(i)
                     break
                 if tag not in BLOCK and stack[i][0] in BLOCK:
                     break  # an inline element ends only inside its block
             continue
         attributes = m[3] or ""
-        if tag in RAW or (HIDDEN.search(attributes) and tag not in VOID):
+        if tag in RAW:
             if tag == "head":  # ends with its end tag or where the body begins
                 m = re.compile(r"</head\s*>|<body\b", re.I).search(page, at)
                 at = n if not m else m.start() if m[0][1] != "/" else m.end()
@@ -112,30 +125,47 @@ def leaf_blocks(page: str) -> list[Block]:
                 at = _after(page, at, tag)
             continue
         if tag in VOID:
-            if tag in ("br", "wbr", "img"):
+            if tag in ("br", "wbr", "img") and dark is None:
                 pieces.append("" if tag == "wbr" else " ")
             elif tag in BLOCK:
                 close()
             continue
+        hides = bool(attributes) and hidden(attributes)
         if tag in BLOCK:
-            close()
+            if not hides:
+                close()
             if tag in CLOSES_P:
                 _leave(stack, ("p",), SCOPES, pop)
             if ends := SIBLINGS.get(tag):
                 _leave(stack, tuple(ends.split()), frozenset(("ul", "ol", "dl", "table", "select")), pop)
             if tag[0] == "h" and tag[1:].isdigit() and stack and stack[-1][0][0] == "h" and stack[-1][0][1:].isdigit():
                 pop(len(stack) - 1)
-            while stack and stack[-1][0] not in BLOCK:  # formatting that was left open doesn't hold further blocks
-                links -= stack[-1][0] == "a"
-                stack.pop()
+            while stack and stack[-1][0] not in BLOCK and len(stack) - 1 != dark:  # formatting that was left open doesn't hold further blocks, unless it hides them
+                cut(len(stack) - 1)
+            if not hides:
+                close()  # what stands before a hidden element that ended here
         if tag == "a":
             links += 1
         names = tuple(w.lower() for a in ATTRIBUTE.finditer(attributes) for w in NAME_PART.findall(a[2] or a[3] or a[4] or "")) if attributes else ()
+        if hides and dark is None:
+            dark = len(stack)
         stack.append((tag, names))
+    pop(0)
     close()
     return out
 
 
+def hidden(attributes: str) -> bool:
+    """Whether an element's attributes hide it: hidden itself, aria-hidden="true", or a style without display. The words in other attributes' names and values say nothing."""
+    if not MAY_HIDE.search(attributes):
+        return False
+    for m in ANY_ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and NO_DISPLAY.search(value)):
+            return True
+    return False
+
+
 def _leave(stack: list, tags: tuple[str, ...], walls: frozenset, pop) -> None:
     for i in range(len(stack) - 1, -1, -1):
         if stack[i][0] in tags:
@@ -149,16 +179,9 @@ def _leave(stack: list, tags: tuple[str, ...], walls: frozenset, pop) -> None:
 
 
 def _after(page: str, at: int, tag: str) -> int:
-    """Where what follows an element that gives no text begins; elements of the same tag may nest in it unless its content is raw."""
-    depth = 1
-    for m in re.compile(rf"<(/?){tag}\b[^>]*>", re.I).finditer(page, at):
-        if m[1]:
-            depth -= 1
-            if not depth:
-                return m.end()
-        elif tag not in RAW:
-            depth += 1
-    return len(page)
+    """Where what follows an element of raw content begins."""
+    m = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+    return m.end() if m else len(page)
 
 
 def block_features(blocks: list[Block]) -> list[list[str]]:

@@ -233,6 +233,18 @@ def test_html_blocks():
     assert html_extract.leaf_blocks("") == html_extract.leaf_blocks("<p") == html_extract.leaf_blocks("<!-- open") == []
 
 
+def test_html_hidden():
+    texts = lambda page: [b.text for b in html_extract.leaf_blocks(page)]
+    for attribute in ('class="overflow-hidden"', 'aria-hidden="false"', 'title="The hidden valley"', 'id="hidden-gems"', 'href="/hidden-lake"', "data-hidden", 'title="display: none"', 'title=" hidden "', 'style="display: block"'):
+        assert texts(f"<article {attribute}><p>a <a {attribute}>b</a></p></article>c") == ["a b", "c"]
+    for attribute in ("hidden", 'hidden=""', "class=x HIDDEN", 'aria-hidden="true"', "aria-hidden=true", 'style="color: red; display:none"', "style='DISPLAY : NONE'"):
+        assert texts(f"<p>a<span {attribute}>b<br>c</span>d</p><div {attribute}><p>e<div>f</div></div>g") == ["ad", "g"]
+        assert texts(f"<p {attribute}>a<p>b<ul>c<li {attribute}>d<li>e</ul><div>f<p {attribute}>g</div>h<p>i") == ["b", "c", "e", "f", "h", "i"]
+        assert texts(f"<div>a<div {attribute}>b</div>c</div><a {attribute}><div>d</div>e</a>f<section {attribute}>g<script>'</section>'</script>") == ["ac", "f"]
+    path = html_extract.leaf_blocks("<main>a<div hidden>b")[0].path
+    assert path == (("main", ()),)
+
+
 def test_html_extraction_held_out(spark):
     """Blocks of pages in layouts that the field wasn't trained on one by one: nearly all labels are right."""
     rng = random.Random(2)

@@ -312,6 +312,17 @@ def test_chunk_dedup(docs):
     assert any(spans for *_, spans, _ in want)
 
 
+def test_chunk_dedup_of_short_texts(spark):
+    """Short copies of whole texts and of whole lines go, pieces of a line stay."""
+    rng = random.Random(3)
+    left, right = prose(rng, 30), prose(rng, 30)
+    texts = ["That it.", "That it.", "That it. And more", "", "That it.", "x" * 50, "x" * 50]
+    got = {r.doc_id: r.text for r in chunk_dedup.remove_repeated_chunks(spark.createDataFrame(list(enumerate([*texts, left + "\n" + right])), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(7)] == ["That it.", "", "That it. And more", "", "", "x" * 50, ""] and got[7] == left + "\n" + right
+    assert chunk_dedup.whole_lines(b"ab\ncd\nef", 3, 5) and chunk_dedup.whole_lines(b"ab\ncd\nef", 2, 6) and chunk_dedup.whole_lines(b"ab", 0, 2)
+    assert not chunk_dedup.whole_lines(b"ab\ncd\nef", 3, 4) and not chunk_dedup.whole_lines(b"ab\ncd\nef", 1, 5)
+
+
 def test_chunks_follow_the_text():
     rng = random.Random(4)
     text = prose(rng, 4000).encode()

@@ -52,6 +52,22 @@ def known_id(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """For each name one like it that df has no column of."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while (name := f"_{name}") in taken:
+            pass
+        out.append(name)
+        taken.add(name)
+    return out
+
+
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by their names, whatever marks these have in them."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
 def total_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
 
@@ -64,7 +80,6 @@ def parts_for(spark: SparkSession, n_bytes: int, part_bytes: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // size), 1)
 
 
-
 def runs_of(values: np.ndarray) -> np.ndarray:
     """Where runs of equal values start."""
     if not len(values):

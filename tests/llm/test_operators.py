@@ -378,46 +378,90 @@ def test_mixed_rows(docs):
 # --- 7 ---
 
 
-@pytest.mark.parametrize("shards", [24, 5, 1])
-def test_sharding(docs, shards):
-    got = kdshard.tree_shards(docs, shards).collect()
-    assert sorted((no_id(r.doc_id), r.size, r.text_crc32) for r in got) == sorted((no_id(r[0]), len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in rows())
+def brute_groups(table: list[tuple]) -> dict[str, list]:
+    """Of each text: bytes and the least coordinates of its rows."""
+    digest = lambda x: -1.0 if x is None else float(int(hashlib.md5(x.encode()).hexdigest()[:8], 16))
+    out: dict[str, list] = {}
+    for r in table:
+        at = (digest(r[2]), digest(r[3]), -1.0 if r[4] is None else float(r[4]))
+        g = out.setdefault(r[1] or "", [0, at])
+        g[0] += len((r[1] or "").encode()) + 8
+        g[1] = tuple(map(min, g[1], at))
+    return out
+
+
+def brute_tree(table: list[tuple], shards: int) -> dict[str, int]:
+    """The shard of each text."""
+    groups = [(size, at, hashlib.md5(t.encode()).digest(), t) for t, (size, at) in brute_groups(table).items()]
+    spread = [max(1.0, max(g[1][d] for g in groups) - min(g[1][d] for g in groups)) for d in range(3)]
+    out: dict[str, int] = {}
+    groups.sort(key=lambda g: (-g[0], g[2]))
+    left = shards
+    while groups and groups[0][0] * left >= sum(g[0] for g in groups):
+        left -= 1
+        out[groups.pop(0)[3]] = left
+
+    def split(part: list, first: int, m: int) -> None:
+        if m == 1 or not part:
+            return out.update({g[3]: first for g in part})
+        wide = max(range(3), key=lambda d: (max(g[1][d] for g in part) - min(g[1][d] for g in part)) / spread[d])
+        part = sorted(part, key=lambda g: (g[1][wide], g[2]))
+        total, few = sum(g[0] for g in part), m // 2
+        small = [g[0] * m * kdshard.SMALL <= total for g in part]
+        before, sides = 0, {}
+        for g, s in zip(part, small, strict=True):
+            if not s:
+                sides[g[3]] = (2 * before + g[0]) * m >= 2 * total * few
+            before += g[0]
+        below, want = 0, total * few - m * sum(g[0] for g in part if sides.get(g[3]) is False)
+        for g, s in zip(part, small, strict=True):
+            if s:
+                sides[g[3]] = (2 * below + g[0]) * m >= 2 * want
+                below += g[0]
+        split([g for g in part if not sides[g[3]]], first, few)
+        split([g for g in part if sides[g[3]]], first + few, m - few)
+
+    split(groups, 0, left)
+    return out
+
+
+def many_rows() -> list[tuple]:
+    """Many small texts beside larger ones, copies with other metadata, and copies that hold a third of all rows."""
+    rng = random.Random(21)
+    texts = [prose(rng, rng.choice((1, 2, 4, 9, 60, 200))) for _ in range(700)]
+    texts += [rng.choice(texts[:200]) for _ in range(100)] + ["one very common text, " * 9] * 400
+    return [(rng.randrange(500) if i % 50 else None, t, rng.choice(("en", "fr", None)), rng.choice("abc"), rng.choice((len(t), None)), 1, "c", 2, "s") for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("shards,table", [(24, rows()), (5, rows()), (1, rows()), (24, many_rows()), (7, many_rows())])
+def test_sharding(spark, shards, table):
+    got = kdshard.tree_shards(spark.createDataFrame(table, SCHEMA).repartition(5), shards).collect()
+    assert sorted((no_id(r.doc_id), r.size, r.text_crc32) for r in got) == sorted((no_id(r[0]), len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in table)
     by: dict[int, list] = {}
     for r in got:
         by.setdefault(r.shard, []).append(r)
     assert all(sorted(r.slot for r in v) == list(range(len(v))) for v in by.values())
-    assert brute_tree(shards) == {k: sorted((no_id(r.doc_id), r.text_crc32) for r in v) for k, v in by.items()}
+    tree = brute_tree(table, shards)
+    want = {zlib.crc32(t.encode()): s for t, s in tree.items()}
+    assert {(r.text_crc32, r.shard) for r in got} == set(want.items()) and set(by) <= set(range(shards))  # equal texts are in one shard
 
 
-def brute_tree(shards: int) -> dict[int, list]:
-    digest = lambda x: -1.0 if x is None else float(int(hashlib.md5(x.encode()).hexdigest()[:8], 16))
-    all_rows = [(no_id(r[0]), len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode()), (digest(r[2]), digest(r[3]), -1.0 if r[4] is None else float(r[4]))) for r in rows()]
-    spread = [max(1.0, max(r[3][d] for r in all_rows) - min(r[3][d] for r in all_rows)) for d in range(3)]
-    out = {}
-
-    def split(part: list, first: int, m: int) -> None:
-        if not part:
-            return
-        if m == 1:
-            out[first] = sorted((r[0], r[2]) for r in part)
-            return
-        wide = max(range(3), key=lambda d: (max(r[3][d] for r in part) - min(r[3][d] for r in part)) / spread[d])
-        part = sorted(part, key=lambda r: (r[3][wide], r[2], r[0], r[1]))
-        total, before, sides = sum(r[1] for r in part), 0, ([], [])
-        for r in part:
-            sides[(2 * before + r[1]) * m >= 2 * total * (m // 2)].append(r)
-            before += r[1]
-        split(sides[0], first, m // 2)
-        split(sides[1], first + m // 2, m - m // 2)
-
-    split(all_rows, 0, shards)
-    return out
+def test_shards_are_even(spark):
+    """Small texts make up for large ones, and a group over the mean leaves the others even."""
+    got = kdshard.tree_shards(spark.createDataFrame(many_rows(), SCHEMA), 7)
+    sizes = sorted(r[1] for r in got.groupBy("shard").agg(F.sum("size")).collect())
+    largest = max(x[0] for x in brute_groups(many_rows()).values())
+    assert sizes[-1] == largest and max(sizes[:-1]) <= 1.02 * sum(sizes[:-1]) / 6 and min(sizes) >= 0.98 * sum(sizes[:-1]) / 6
 
 
-def test_sharded_rows(docs):
-    out = kdshard.sharded(docs)
-    assert out.columns == [c for c in docs.columns if c != "shard"] + ["shard", "slot"] and out.count() == docs.count()
+def test_sharded_rows(spark, docs, empty):
+    clash = docs.withColumns({"_row": F.lit(1), "_turn": F.lit(2), "mark": F.lit(3), "__id": F.lit(4), "node": F.lit(5), "Slot": F.lit(6), "a.b": F.lit(7)})
+    out = kdshard.sharded(clash)
+    assert out.columns == [c for c in clash.columns if c.lower() not in ("shard", "slot")] + ["shard", "slot"] and out.count() == docs.count()
     assert out.select("shard", "slot").distinct().count() == docs.count()
+    places = lambda df: sorted((no_id(r[0]), *r[1:]) for r in df.collect())
+    assert places(out.select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")), "shard", "slot")) == places(kdshard.tree_shards(docs).select("doc_id", "text_crc32", "shard", "slot"))
+    assert kdshard.sharded(empty).count() == 0
 
 
 # --- 8 ---

@@ -52,6 +52,16 @@ def known_id(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 
 
+def row_digest(key: str = "doc_id", column: str = "text") -> Column:
+    """A digest of an id and a text, which rows have in common only if they agree in both. A null text counts as empty."""
+    return row_digest_of(key, F.unhex(F.md5(text_bytes(column))))
+
+
+def row_digest_of(key: str, mark: Column) -> Column:
+    """row_digest() by the 16 bytes of the text's MD5."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(key).cast("long").cast("string"), F.lit("none")).cast("binary"), mark)))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """For each name one like it that df has no column of."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -8,8 +8,10 @@ within an occurrence of an item, a value of the item stands for one value in the
 Windows of few literal words would meet everywhere as templates. They count where a document has them word for word,
 where they continue a window that was found, or where the document has the whole item with its slots filled consistently.
 
-Benchmarks are small beside a corpus: their windows go to all tasks, in blocks of at most BLOCK_BYTES of
-benchmark text, one pass over the documents for each block, so no block outgrows memory.
+The windows of the benchmark are made once, as a table. A bitmap of their hashes, of a bounded size, goes to all tasks, where each
+document is read once and passed on only if some window of it may be among them; its windows then join the table on
+the hash, and each pair of a document and an item that met is compared word by word. Neither the benchmark nor what a document
+meets has to fit into a task; tables below a checked size are broadcast, others shuffled.
 """
 
 from __future__ import annotations
@@ -17,22 +19,30 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import find, runs_of, text_bytes, total_bytes
+from ledgerloom.llm.common import Scratch, fresh, quoted, row_digest, runs_of, text_bytes
 
 WINDOW, LEAST_LITERAL = 8, 4
 #: The share of an item's words that a document must hold.
 LEAST_COVERED = 0.5
-BLOCK_BYTES = 16 << 20
+#: Words whose forms are held.
 HELD = 1 << 20
-#: Words that are looked at together.
-BATCH = 1 << 18
+#: Words that are looked at together; a longer text is looked at alone.
+BATCH = 1 << 17
+#: Bits of the bitmap a window of the benchmark, and all of them at most; how many of them a window sets.
+BITS_EACH, MOST_BITS, PROBES = 64, 1 << 29, 4
+#: The bitmap is summed in pieces.
+PIECES = 16
+#: Tables of at most so many rows (of some 30 bytes) are broadcast, and benchmark texts of at most so many bytes.
+FEW_ROWS, FEW_BYTES = 1 << 20, 16 << 20
 
 #: Unit words, in lower case.
 UNITS = frozenset(
@@ -52,12 +62,29 @@ CAPITAL, ENDS, EMPTY = 4, 8, 16
 SLOT = np.array([0, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
 
-class _Words(dict):
-    """For each word as it stands: the hash of its literal form, and its type and bits."""
+class Words:
+    """For each word as it stands a number, and for each number the hash of the word's literal form and its type and bits."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self) > HELD:
-            self.clear()
+    def __init__(self):
+        self.number: dict[bytes, int] = {}
+        self.literal, self.bits = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int64)
+
+    def numbers(self, words: list[bytes]) -> list[int]:
+        known = self.number
+        try:
+            return [known[w] for w in words]
+        except KeyError:
+            return [known[w] if w in known else self._add(w) for w in words]
+
+    def forget(self) -> None:
+        """Call between batches: numbers are given anew once HELD words are held."""
+        if len(self.number) > HELD:
+            self.number = {}
+
+    def _add(self, word: bytes) -> int:
+        n = len(self.number)
+        if n == len(self.literal):
+            self.literal, self.bits = (np.append(x, np.zeros_like(x)) for x in (self.literal, self.bits))
         core = word.strip(MARKS)
         bits = ENDS if word.endswith(STOP) else 0
         low = core.lower()
@@ -72,131 +99,121 @@ class _Words(dict):
             low = text.lower().encode()
             if len(text) > 1 and text[0].isupper() and not text[1:].isupper():
                 bits |= CAPITAL
-        self[word] = found = (xxhash.xxh3_64_intdigest(low), bits)
-        return found
+        self.number[word] = n
+        self.literal[n], self.bits[n] = xxhash.xxh3_64_intdigest(low), bits
+        return n
+
+
+class Template(NamedTuple):
+    words: np.ndarray  # hashes of the template words
+    literal: np.ndarray  # hashes of their literal forms
+    kind: np.ndarray
+    of: np.ndarray  # the text that each belongs to
 
 
-def template(text: bytes, known: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each template word: its hash as a template word, the hash of its literal form, its type.
+def templates(texts: list[bytes], known: Words) -> Template:
+    """The template words of all texts, one text after another.
 
     A unit is one only after a number. A name is a word with a capital that no sentence or line starts with."""
-    pairs, first = [], []
-    for line in text.split(b"\n"):
-        if words := line.split():
-            first.append(len(pairs))
-            pairs += [known[w] for w in words]
-    if not pairs:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    literal = np.array([x[0] for x in pairs], np.uint64)
-    bits = np.fromiter((x[1] for x in pairs), np.int64, len(pairs))
-    starts = np.append(False, bits[:-1] & ENDS > 0)
+    numbers: list[int] = []
+    first: list[int] = []
+    upto = [0]
+    for text in texts:
+        for line in text.split(b"\n"):
+            if words := line.split():
+                first.append(len(numbers))
+                numbers += known.numbers(words)
+        upto.append(len(numbers))
+    at = np.array(numbers, np.int64)
+    of = np.repeat(np.arange(len(texts)), np.diff(upto))
+    literal, bits = known.literal[at], known.bits[at]
+    starts = np.zeros(len(at), bool)
+    starts[1:] = bits[:-1] & ENDS > 0
     starts[first] = True
-    full = bits & EMPTY == 0
+    full = np.flatnonzero(bits & EMPTY == 0)
     # a sentence that starts with mere marks starts with the word after them
-    for i in np.flatnonzero(~full & starts).tolist():
-        if i + 1 < len(starts):
-            starts[i + 1] = True
-    literal, bits, starts = literal[full], bits[full], starts[full]
+    seen = np.cumsum(starts)[full]
+    starts = np.diff(seen, prepend=0) > 0
+    literal, bits, of = literal[full], bits[full], of[full]
     kind = bits & 3
-    kind = np.where((kind == UNIT) & ~np.append(False, kind[:-1] == NUM)[: len(kind)], LITERAL, kind)
+    after = np.zeros(len(kind), bool)
+    after[1:] = (kind[:-1] == NUM) & (of[1:] == of[:-1])
+    kind = np.where((kind == UNIT) & ~after, LITERAL, kind)
     kind = np.where((bits & CAPITAL > 0) & ~starts, NAME, kind)
-    return np.where(kind == LITERAL, literal, SLOT[kind]), literal, kind
+    return Template(np.where(kind == LITERAL, literal, SLOT[kind]), literal, kind, of)
 
 
-def window_hashes(words: np.ndarray, kind: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows of `size` template words, and whether they have enough literal words to tell."""
-    n = len(words) - size + 1
-    if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    h = np.full(n, size, np.uint64)
-    for j in range(size):
-        h = (h ^ words[j : j + n]) * np.uint64(0x9DDFEA08EB382D69)
+def window_hashes(words: np.ndarray, sizes: set[int]) -> dict[int, np.ndarray]:
+    """Hashes of all windows of so many words, by size."""
+    out, h = {}, np.full(len(words), 0x1B873593, np.uint64)
+    for j in range(max(sizes, default=0)):
+        h = (h[: max(0, len(words) - j)] ^ words[j:]) * np.uint64(0x9DDFEA08EB382D69)
         h ^= h >> np.uint64(29)
+        if j + 1 in sizes:
+            out[j + 1] = h * np.uint64(2 * j + 3)
+    return out
+
+
+def enough(kind: np.ndarray, size: int) -> np.ndarray:
+    """Whether the windows of a size have enough literal words to tell by their template."""
     upto = np.append(0, np.cumsum(kind == LITERAL))
-    return h, upto[size:] - upto[:-size] >= min(LEAST_LITERAL, size)
-
-
-def verbatim_hashes(literal: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all windows of `size` words in their literal form."""
-    return window_hashes(literal, np.zeros(len(literal), np.int64), size)[0]
-
-
-def _table(hashes: list, owners: list, places: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Different hashes, sorted, where the entries of each begin, and the entries' items and places."""
-    h, o, p = np.array(hashes, np.uint64), np.array(owners, np.int64), np.array(places, np.int64)
-    order = np.argsort(h, kind="stable")
-    h, o, p = h[order], o[order], p[order]
-    s = runs_of(h)
-    return h[s], np.append(s, len(h)), o, p
-
-
-class Items:
-    """The windows of a block of benchmark items. Items shorter than a window are a window as they are."""
-
-    def __init__(self, rows: list[tuple[int, bytes]], size: int):
-        known = _Words()
-        self.ids, self.words, self.literal, self.kind, self.tells = [], [], [], [], []
-        entries: dict[int, tuple] = defaultdict(lambda: tuple(([], [], []) for _ in range(3)))
-        for item, text in rows:
-            words, literal, kind = template(text, known)
-            own = min(size, len(words))
-            if not own:
-                continue
-            h, tells = window_hashes(words, kind, own)
-            low = np.flatnonzero(~tells)
-            found = [(h, np.flatnonzero(tells)), (verbatim_hashes(literal, own), low), (h, low[:0])]
-            if not tells.any() and (kind == LITERAL).sum() >= LEAST_LITERAL:
-                upto = np.append(0, np.cumsum(kind == LITERAL))
-                found[2] = (h, np.array([np.argmax(upto[own:] - upto[:-own])]))
-            for (hashes, at), lists in zip(found, entries[own], strict=True):
-                lists[0].extend(hashes[at].tolist())
-                lists[1].extend([len(self.ids)] * len(at))
-                lists[2].extend(at.tolist())
-            self.ids.append(item)
-            self.words.append(words)
-            self.literal.append(literal)
-            self.kind.append(kind)
-            self.tells.append(tells)
-        #: By size: windows of enough literal words by template, others by their literal form, and one of each item that has none of the first kind.
-        self.by_size = {own: tuple(_table(*x) for x in lists) for own, lists in entries.items()}
-
-    def matches(self, text: bytes, known: _Words, least: float) -> list[tuple[int, int, float, int, bool]]:
-        """Items that the text holds: item_id, windows, the share of the item's words covered, slots in them, and whether a slot is filled otherwise."""
-        words, literal, kind = template(text, known)
-        hits: dict[int, dict[tuple[int, int], None]] = defaultdict(dict)
-        for size, (full, verbatim, whole) in self.by_size.items():
-            h, tells = window_hashes(words, kind, size)
-            for (table, cuts, owners, places), hashes in ((full, h), (verbatim, verbatim_hashes(literal, size) if len(verbatim[0]) else h[:0]), (whole, h)):
-                if not len(table):
-                    continue
-                at = find(hashes, table)
-                for d in np.flatnonzero((at >= 0) & tells if table is full[0] else at >= 0).tolist():
-                    for k in range(cuts[at[d]], cuts[at[d] + 1]):
-                        item, p = int(owners[k]), int(places[k])
-                        if table is not whole[0]:
-                            hits[item][d, p] = None
-                        elif self._whole(item, d - p, words, literal):
-                            hits[item] |= {(d - p + q, q): None for q in range(len(self.tells[item]))}
-        out = []
-        for item, found in hits.items():
-            if not self.tells[item].all():
-                self._continued(item, found, words)
-            if best := self._best(item, list(found), literal, least):
-                out.append((self.ids[item], *best))
-        return out
-
-    def _whole(self, item: int, begin: int, words: np.ndarray, literal: np.ndarray) -> bool:
+    return upto[size:] - upto[:-size] >= min(LEAST_LITERAL, size) if size < len(upto) else np.zeros(0, bool)
+
+
+#: What a window is looked up by, and what is added to its hash for that: the template of one that tells, the literal form of one that
+#: doesn't, or the template of one that stands for its whole item.
+TELLS, VERBATIM, WHOLE = 0, 1, 2
+SALT = np.array([0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D], np.uint64)
+
+
+class Item:
+    """A benchmark item. One shorter than a window is a window as it is."""
+
+    def __init__(self, text: bytes, size: int, known: Words):
+        self.words, self.literal, self.kind, _ = templates([text], known)
+        self.size = min(size, len(self.words))
+        self.tells = enough(self.kind, self.size) if self.size else np.zeros(0, bool)
+
+    def entries(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """How its windows are looked up: what by, hashes, places."""
+        if not self.size:
+            return []
+        h = window_hashes(self.words, {self.size})[self.size]
+        own = window_hashes(self.literal, {self.size})[self.size]
+        low = np.flatnonzero(~self.tells)
+        out = [(TELLS, h, np.flatnonzero(self.tells)), (VERBATIM, own, low)]
+        if not self.tells.any() and (self.kind == LITERAL).sum() >= LEAST_LITERAL:
+            upto = np.append(0, np.cumsum(self.kind == LITERAL))
+            out.append((WHOLE, h, np.array([np.argmax(upto[self.size :] - upto[: -self.size])])))
+        return [(k, x[at] ^ SALT[k], at) for k, x, at in out if len(at)]
+
+    def match(self, doc: Document, least: float) -> tuple[int, float, int, bool] | None:
+        """Windows that the document has, the share of the item's words covered, slots in them, and whether a slot is filled otherwise; None if that isn't enough."""
+        found: dict[tuple[int, int], None] = {}
+        for k, hashes, places in self.entries():
+            for d, h in doc.having(self.size, k, hashes):
+                for p in places[hashes == h].tolist():
+                    if k != WHOLE:
+                        found[d, p] = None
+                    elif self._whole(d - p, doc.words, doc.literal):
+                        found |= {(d - p + q, q): None for q in range(len(self.tells))}
+        if not found:
+            return None
+        if not self.tells.all():
+            self._continued(found, doc.words)
+        return self._best(list(found), doc.literal, least)
+
+    def _whole(self, begin: int, words: np.ndarray, literal: np.ndarray) -> bool:
         """Whether the text has the item's whole template at `begin`, each value of the item standing for one value."""
-        own, there, kinds = self.words[item], self.literal[item].tolist(), self.kind[item].tolist()
+        own, there, kinds = self.words, self.literal.tolist(), self.kind.tolist()
         if begin < 0 or not np.array_equal(words[begin : begin + len(own)], own):
             return False
         stands: dict[tuple[int, int], int] = {}
         return all(k == LITERAL or stands.setdefault((k, v), w) == w for k, v, w in zip(kinds, there, literal[begin : begin + len(own)].tolist(), strict=True))
 
-    def _continued(self, item: int, found: dict[tuple[int, int], None], words: np.ndarray) -> None:
+    def _continued(self, found: dict[tuple[int, int], None], words: np.ndarray) -> None:
         """Adds the windows of few literal words that continue one that was found: the template agrees all the way from there."""
-        own, tells = self.words[item], self.tells[item]
-        size = len(own) - len(tells) + 1
+        own, tells, size = self.words, self.tells, self.size
         by: dict[int, list[int]] = defaultdict(list)
         for d, p in found:
             by[d - p].append(p)
@@ -210,9 +227,9 @@ class Items:
             reached = np.isin(breaks[fits], [breaks[p] for p in places if breaks[p] == breaks[p + size]])
             found |= {(begin + p, p): None for p in fits[reached].tolist()}
 
-    def _best(self, item: int, found: list[tuple[int, int]], literal: np.ndarray, least: float) -> tuple[int, float, int, bool] | None:
+    def _best(self, found: list[tuple[int, int]], literal: np.ndarray, least: float) -> tuple[int, float, int, bool] | None:
         """What the best occurrence covers. Slots are judged in all places together and, unless these agree, in each alignment and in alignments near one another."""
-        measured, agree = self._measure(item, found, literal)
+        measured, agree = self._measure(found, literal)
         if not agree:
             by: dict[int, list[tuple[int, int]]] = defaultdict(list)
             for d, p in found:
@@ -220,16 +237,15 @@ class Items:
             begins = sorted(by)
             near = [[]]
             for a, b in zip([begins[0], *begins], begins, strict=False):
-                if b - a > len(self.words[item]) // 2:
+                if b - a > len(self.words) // 2:
                     near.append([])
                 near[-1] += by[b]
-            measured = max([measured, *(self._measure(item, x, literal)[0] for x in [*by.values(), *near])], key=lambda m: (m[1], not m[3], m[0]))
+            measured = max([measured, *(self._measure(x, literal)[0] for x in [*by.values(), *near])], key=lambda m: (m[1], not m[3], m[0]))
         return measured if measured[0] and measured[1] >= least else None
 
-    def _measure(self, item: int, found: list[tuple[int, int]], literal: np.ndarray) -> tuple[tuple[int, float, int, bool], bool]:
+    def _measure(self, found: list[tuple[int, int]], literal: np.ndarray) -> tuple[tuple[int, float, int, bool], bool]:
         """Windows, share, slots and whether a slot is filled otherwise, in windows whose slots hold what most have; and whether all do."""
-        there, kinds = self.literal[item], self.kind[item]
-        size = len(there) - len(self.tells[item]) + 1
+        there, kinds, size = self.literal, self.kind, self.size
         votes: dict[tuple[int, int], Counter] = defaultdict(Counter)
         for d, p in found:
             for j in range(size):
@@ -244,38 +260,167 @@ class Items:
         return (len(good), float(covered.mean()), len(slots), any(stands[s] != s[1] for s in slots)), len(good) == len(found)
 
 
+class Document:
+    """A document's template and, by size, its windows."""
+
+    def __init__(self, text: bytes, known: Words):
+        self.words, self.literal, self.kind, _ = templates([text], known)
+        self.held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    def having(self, size: int, by: int, wanted: np.ndarray) -> list[tuple[int, np.uint64]]:
+        """Places and hashes of the windows that are among the wanted."""
+        if (size, by) not in self.held:
+            h = window_hashes(self.literal if by == VERBATIM else self.words, {size})[size] ^ SALT[by]
+            at = np.flatnonzero(enough(self.kind, size)) if by == TELLS else np.arange(len(h))
+            self.held[size, by] = h[at], at
+        h, at = self.held[size, by]
+        good = np.flatnonzero(np.isin(h, wanted))
+        return list(zip(at[good].tolist(), h[good], strict=True))
+
+
+def cell(hashes: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    """One of the bits that each hash sets."""
+    step = hashes >> np.uint64(32) | np.uint64(1)
+    return ((hashes + np.uint64(probe) * step) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64) & (bits - 1)
+
+
+def may_be(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Places of the hashes all of whose bits are set."""
+    at = np.arange(len(hashes))
+    for i in range(PROBES):
+        place = cell(hashes[at], i, 8 * len(table))
+        at = at[table[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0]
+    return at
+
+
+def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
+    """item, size, by, hash of each window of the items by which it is looked up. items: item (a digest of the row), text."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for batch in batches:
+            known.forget()
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                item = Item(text, window, known)
+                for by, h, _ in item.entries():
+                    h = np.unique(h)
+                    yield pa.record_batch([pa.array([key] * len(h), pa.binary()), pa.array([item.size] * len(h), pa.int32()), pa.array([by] * len(h), pa.int32()), pa.array(h.view(np.int64))], ["item", "size", "by", "hash"])
+
+    return items.select("item", "text").mapInArrow(work, "item binary, size int, by int, hash long")
+
+
+def bitmap(windows: DataFrame, n: int) -> np.ndarray:
+    """The bits of all hashes, eight to a byte: at most MOST_BITS of them, whatever the benchmark's size."""
+    bits = int(min(MOST_BITS, max(1 << 13, 1 << (BITS_EACH * n - 1).bit_length())))
+    piece = bits // 8 // PIECES
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            for i in range(PROBES):
+                at = cell(batch.column(0).to_numpy().view(np.uint64), i, bits)
+                np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pa.record_batch([pa.array(range(PIECES), pa.int32()), pa.array([pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in np.split(own, PIECES)], pa.binary())], ["piece", "bits"])
+
+    def add(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(piece, np.uint8)
+        for batch in tables:
+            for x in batch.column(1):
+                total |= np.frombuffer(pa.decompress(x.as_py(), piece, codec="zstd", asbytes=True), np.uint8)
+        yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["piece", "bits"])
+
+    parts = max(1, min(64, n >> 16))
+    found = windows.select("hash").coalesce(parts).mapInArrow(work, "piece int, bits binary").groupBy("piece").applyInArrow(add, "piece int, bits binary").collect()  # MOST_BITS at most
+    return np.frombuffer(b"".join(bytes(r["bits"]) for r in sorted(found)), np.uint8)
+
+
+def candidates(docs: DataFrame, bits: np.ndarray, lookups: list[tuple[int, int]]) -> DataFrame:
+    """row, doc_id, text and hashes (of windows that may be the benchmark's) of the documents that have some. lookups: what by and of what size."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False)) // (6 * BATCH)
+            cuts = runs_of(part).tolist()
+            for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
+                yield batch.slice(a, b - a)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, known = shared.value, Words()
+        by_template, by_literal = ({s for b, s in lookups if (b == VERBATIM) == v} for v in (False, True))
+        for batch in blocks(batches):
+            known.forget()
+            t = templates(batch.column(2).to_pylist(), known)
+            hashes = {False: window_hashes(t.words, by_template), True: window_hashes(t.literal, by_literal)}
+            found, owners = [], []
+            for by, size in lookups:
+                h = hashes[by == VERBATIM][size]
+                at = np.flatnonzero(t.of[: len(h)] == t.of[size - 1 :])
+                if by != VERBATIM and len(h):
+                    tells = enough(t.kind, size)
+                    at = at[tells[at] if by == TELLS else ~tells[at]]
+                h = h[at] ^ SALT[by]
+                may = may_be(h, table)
+                found.append(h[may])
+                owners.append(t.of[at[may]])
+            h, owner = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found, owners))
+            own = np.unique(owner)
+            lists = [np.unique(h[owner == i]).view(np.int64) for i in own.tolist()]
+            taken = batch.take(pa.array(own, pa.int64()))
+            yield pa.record_batch([*taken.columns, pa.array(lists, pa.list_(pa.int64()))], ["row", "doc_id", "text", "hashes"])
+
+    return docs.select(row_digest().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(work, "row binary, doc_id long, text binary, hashes array<long>")
+
+
+def matched_rows(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int = WINDOW, least_covered: float = LEAST_COVERED) -> DataFrame:
+    """row (of common.row_digest), doc_id, item_id, n_windows, covered, n_slots, reparameterised of each pair of different rows that match."""
+    schema = "row binary, doc_id long, item_id long, n_windows long, covered double, n_slots long, reparameterised boolean"
+    items = benchmark.select(row_digest("item_id").alias("item"), F.col("item_id").cast("long").alias("item_id"), text_bytes().alias("item_text")).dropDuplicates(["item"])
+    items = scratch.cut(items)
+    windows = scratch.cut(benchmark_windows(items.withColumnRenamed("item_text", "text"), window))
+    n = windows.count()
+    lookups = sorted((r["by"], r["size"]) for r in windows.select("by", "size").distinct().collect())  # a few for each size up to a window
+    if not n:
+        return docs.sparkSession.createDataFrame([], schema)
+    found = scratch.cut(candidates(docs, bitmap(windows, n), lookups), "zstd")
+    small = F.broadcast if n <= FEW_ROWS else lambda df: df
+    light = F.broadcast if items.agg(F.sum(F.octet_length("item_text"))).first()[0] <= FEW_BYTES else lambda df: df
+    pairs = found.select("row", F.explode("hashes").alias("hash")).join(small(windows.select("item", "hash").distinct()), "hash").select("row", "item").distinct()
+    pairs = scratch.cut(pairs.join(light(items), "item").select("row", "item_id", "item_text"), "zstd")
+    met = pairs.join(found.select("row", "doc_id", "text").dropDuplicates(["row"]), "row").select("row", "doc_id", "text", "item_id", "item_text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, row, doc = Words(), None, None
+        for batch in batches:
+            known.forget()
+            out = []
+            for i in range(batch.num_rows):
+                if (key := batch.column(0)[i].as_py()) != row:
+                    row, doc = key, Document(batch.column(2)[i].as_py(), known)
+                if m := Item(batch.column(4)[i].as_py(), window, known).match(doc, least_covered):
+                    out.append((row, batch.column(1)[i].as_py(), batch.column(3)[i].as_py(), *m))
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_()]
+            yield pa.record_batch([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], [c.split()[0] for c in schema.split(", ")])
+
+    return scratch.cut(met.mapInArrow(work, schema))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_covered: float = LEAST_COVERED) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds: at least least_covered of the item's words lie in shared windows.
 
     docs: doc_id, text; benchmark: item_id, text. Returns doc_id, item_id, n_windows, covered (share of the
     item's words), n_slots (different slot values in them) and reparameterised (a slot has another value here), one row a pair; of rows
-    that repeat a doc_id or an item_id the best match counts. Null and empty texts match nothing; windows of too few
-    literal words match as the module text says, an item of fewer than LEAST_LITERAL of them word for word only; an item shorter than a window is one window; null ids are reported as null; empty tables give an
+    that repeat a doc_id or an item_id the best match counts: the most covered, then the most windows, then the most slots. Null and empty texts match nothing; windows of too few
+    literal words match as the module text says, an item of fewer than LEAST_LITERAL of them word for word only; an item shorter than a window is one window; whole texts
+    are read whatever their length, each in one task; null ids are reported as null; empty tables give an
     empty result; other columns aren't read."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_bytes().alias("text"))
-    blocks = max(1, -(-total_bytes(benchmark) // BLOCK_BYTES))
-    own = docs.select(F.col("doc_id").cast("long"), text_bytes())
-    schema = "doc_id long, item_id long, n_windows long, covered double, n_slots long, reparameterised boolean"
-    out = None
-    for b in range(blocks):
-        rows = [(r["item_id"], bytes(r["text"])) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]  # some BLOCK_BYTES
-        shared = spark.sparkContext.broadcast(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])))
-
-        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block, known = Items(shared.value, window), _Words()
-            for batch in batches:
-                got = [(i, *m) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in block.matches(t, known, least_covered)]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_()]
-                yield pa.record_batch([pa.array([g[i] for g in got], k) for i, k in enumerate(kinds)], [c.split()[0] for c in schema.split(", ")])
-
-        found = own.mapInArrow(work, schema)
-        out = found if out is None else out.union(found)
+    rows = matched_rows(docs, benchmark, Scratch(docs.sparkSession), window, least_covered)
     best = F.max(F.struct("covered", "n_windows", "n_slots", "reparameterised")).alias("best")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_windows", "best.covered", "best.n_slots", "best.reparameterised")
+    return rows.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_windows", "best.covered", "best.n_slots", "best.reparameterised")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of docs that hold no benchmark item, with all their columns; rows without an id count as one document."""
-    held = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("__held")).distinct()
-    return docs.join(held, docs["doc_id"].eqNullSafe(held["__held"]), "left_anti")
+    """The rows of docs that hold no benchmark item, with all their columns. Each row is judged by its own text, whatever its id."""
+    (row,) = fresh(docs, "row")
+    held = matched_rows(docs, benchmark, Scratch(docs.sparkSession), **how).select(F.col("row").alias(row)).distinct()
+    return docs.withColumn(row, row_digest()).join(held, row, "left_anti").select(*quoted(docs.columns))

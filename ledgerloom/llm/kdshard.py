@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import Scratch, fresh, quoted, text_bytes
+from ledgerloom.llm.common import Scratch, fresh, quoted, row_digest, row_digest_of, text_bytes
 
 SHARDS, OVERHEAD = 24, 8
 DIMENSIONS = ("lang", "source", "n_chars")
@@ -43,11 +43,6 @@ def _mark() -> Column:
     return F.unhex(F.md5(text_bytes()))
 
 
-def _row(mark: Column) -> Column:
-    """A digest of the id and the text, which rows have in common only if they agree in both."""
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("none")).cast("binary"), mark)))
-
-
 def _slim(docs: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
     size = (F.octet_length(text_bytes()) + OVERHEAD).cast("long")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"), size.alias("size"), F.crc32(text_bytes()).alias("crc"), *[coordinate(docs, c).alias(f"d{i}") for i, c in enumerate(dimensions)])
@@ -152,7 +147,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] =
     scratch = Scratch(docs.sparkSession)
     row, turn, shard, slot = fresh(docs, "row", "turn", "shard", "slot")
     places = _places(scratch.cut(_slim(docs, dimensions)), scratch, shards, [f"d{i}" for i in range(len(dimensions))])
-    places = places.select(_row(F.col("mark")).alias(row), F.col("shard").alias(shard), F.col("slot").alias(slot))
-    met = docs.withColumn(row, _row(_mark())).join(places, row).withColumn(turn, F.row_number().over(Window.partitionBy(row).orderBy(F.lit(0))) - 1)
+    places = places.select(row_digest_of("doc_id", F.col("mark")).alias(row), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    met = docs.withColumn(row, row_digest()).join(places, row).withColumn(turn, F.row_number().over(Window.partitionBy(row).orderBy(F.lit(0))) - 1)
     names = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
     return met.select(*quoted(names), F.col(shard).alias("shard"), (F.col(slot) + F.col(turn)).alias("slot"))

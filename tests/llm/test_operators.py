@@ -491,37 +491,129 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contaminated(empty, bench).count() == decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def matches(items: list[tuple[int, bytes]], text: bytes) -> dict[int, tuple]:
+    """What each item finds in a text: windows, share, slots, whether a slot is filled otherwise."""
+    known = decontaminate.Words()
+    doc = decontaminate.Document(text, known)
+    got = {i: decontaminate.Item(t, 8, known).match(doc, 0.5) for i, t in items}
+    return {i: m for i, m in got.items() if m}
+
+
 def test_decontamination_of_few_literal_words():
     ran = b"Tom ran 5 km in 20 minutes, Ann ran 6 km in 25 minutes, Bob ran 7 km in 30 minutes."
     cost = b"If 3 kg cost 12 dollars and 5 kg cost 20 dollars, 8 kg cost 32 dollars."
-    items, known = decontaminate.Items([(1, ran), (2, cost), (3, b"1 2 3 4 5 6 7 8 9 10")], 8), decontaminate._Words()
-    found = lambda t: {m[0]: m for m in items.matches(t, known, 0.5)}
-    assert found(b"words before. " + ran + b" After.")[1][2] == 1.0 and not found(ran)[1][4]
-    assert found(b"so, " + cost)[2][2] == 1.0
+    items = [(1, ran), (2, cost), (3, b"1 2 3 4 5 6 7 8 9 10")]
+    found = lambda t: matches(items, t)
+    assert found(b"words before. " + ran + b" After.")[1][1] == 1.0 and not found(ran)[1][3]
+    assert found(b"so, " + cost)[2][1] == 1.0
     other = b"If 4 lb cost 10 euros and 6 lb cost 15 euros, 9 lb cost 25 euros."
-    assert found(b"words before. " + other)[2][2:] == (1.0, 8, True)
+    assert found(b"words before. " + other)[2][1:] == (1.0, 8, True)
     assert not found(other.replace(b"9 lb", b"9 oz"))  # one unit stands for two
     assert not found(b"3 4 5 6 7 8 9 11 12 13") and set(found(b"0 1 2 3 4 5 6 7 8 9 10")) == {3}
     # windows of few literal words behind one that tells
     long = b"the farmer then carries every full basket and sells 5 kg for 20 dollars, 6 kg for 25 dollars, 7 kg for 30 dollars, 8 kg for 35 dollars"
-    items = decontaminate.Items([(1, long)], 8)
-    assert found(long.replace(b"25", b"99").replace(b"35", b"88"))[1][2] == 1.0
+    assert matches([(1, long)], long.replace(b"25", b"99").replace(b"35", b"88"))[1][1] == 1.0
 
 
 def test_decontamination_judges_each_occurrence():
     """A worksheet holds the item word for word and with other values, so that no one value is elected for both slots."""
     item = "If Tom buys 12 apples and each apple costs 3 dollars then how much money does Tom need in total"
-    items, known = decontaminate.Items([(1, item.encode())], 8), decontaminate._Words()
+    items = [(1, item.encode())]
     copies = [item.replace("12", a).replace("3 d", f"{b} d").replace("Tom", c) for a, b, c in (("12", "3", "Tom"), ("40", "7", "Anna"), ("55", "8", "Beth"))]
     for seed in range(20):
         texts = copies[:2] + copies[2:] * (seed % 2)
         random.Random(seed).shuffle(texts)
         # pieces that sway the votes: of one copy the first half, of another the second
         pieces = [" ".join(copies[1].split()[:10]), " ".join(copies[2].split()[-14:])] * (1 + seed % 3)
-        found = items.matches("\n\n".join(texts + pieces).encode(), known, 0.5)
-        assert [(m[0], m[2], m[4]) for m in found] == [(1, 1.0, False)]
+        found = matches(items, "\n\n".join(texts + pieces).encode())
+        assert [(i, m[1], m[3]) for i, m in found.items()] == [(1, 1.0, False)]
     two = f"{copies[1]}. {' '.join(copies[2].split()[:10])} {copies[2]}. {' '.join(copies[1].split()[-14:])}"
-    assert items.matches(two.encode(), known, 0.5)[0][2] == 1.0
+    assert matches(items, two.encode())[1][1] == 1.0
+
+
+def brute_template(text: str) -> list[tuple[str, str]]:
+    """Kind and literal form of each word, one word after another."""
+    out = []
+    for line in text.split("\n"):
+        starts = True
+        for w in line.split():
+            core = w.strip(".,;:!?\"'()[]{}<>*_#`~|")
+            ends = w.endswith((".", "!", "?", ".\"", "!\"", "?\"", ".'", ".)", ":"))
+            if not core:
+                starts = starts or ends
+                continue
+            kind = "word"
+            if re.match(r"^[+\-$]*\d[\d.,:/]*(%|st|nd|rd|th)?$", core):
+                kind = "number"
+            elif core.lower() in decontaminate.UNITS:
+                kind = "unit" if out and out[-1][0] == "number" else "word"
+            elif len(core) > 1 and core[0].isupper() and not core[1:].isupper() and not starts:
+                kind = "name"
+            out.append((kind, core.lower()))
+            starts = ends
+    return out
+
+
+def brute_verbatim(item: str, text: str) -> bool:
+    a, b = ([w for _, w in brute_template(x)] for x in (item, text))
+    return any(b[i : i + len(a)] == a for i in range(len(b) - len(a) + 1))
+
+
+def brute_filled(item: str, text: str) -> bool:
+    """Whether the text has the item's whole template somewhere with each value standing for one value."""
+    a, b = brute_template(item), brute_template(text)
+    for i in range(len(b) - len(a) + 1):
+        part, stands = b[i : i + len(a)], {}
+        if all(k == k2 and (k == "word" and w == w2 or k != "word" and stands.setdefault((k, w), w2) == w2) for (k, w), (k2, w2) in zip(a, part, strict=True)):
+            return True
+    return False
+
+
+def test_decontamination_of_random_items(spark):
+    """Items copied word for word are found however few literal words they have, refilled ones if four are literal, and others aren't."""
+    rng = random.Random(31)
+    names, units = ["Tom", "Ann", "Beth", "Paul"], ["km", "kg", "dollars", "minutes"]
+
+    def item(literals: float) -> str:
+        words = []
+        for _ in range(rng.randint(3, 26)):
+            words += [rng.choice(WORDS)] if rng.random() < literals else rng.choice(([str(rng.randint(1, 99))], [str(rng.randint(1, 99)), rng.choice(units)], [rng.choice(names)]))
+        return "Then " + " ".join(words) + rng.choice(".?")
+
+    def refilled(text: str) -> str:
+        new = {w: rng.choice([x for x in pool]) for pool in (["Kurt", "Lisa", "Olga"], ["lb", "miles", "euros"]) for w in (names if "Kurt" in pool else units)}
+        return " ".join(new.get(w.strip(".?"), w) if not w.strip(".?").isdigit() else str(int(w.strip(".?")) + 100) for w in text.split())
+
+    items = [item(rng.choice((0.2, 0.5, 0.9))) for _ in range(60)] + ["What is 12 times 30?", "Is 17 prime?", "Who was Pope Leo X?"]
+    texts = [f"{prose(rng, rng.randint(0, 40))}\n{rng.choice((t, t, refilled(t)))} {prose(rng, rng.randint(0, 40))}" for t in items] + [prose(rng, 60) for _ in range(20)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs, bench).collect()}
+    for d, text in enumerate(texts):
+        for i, t in enumerate(items):
+            words = brute_template(t)
+            if brute_verbatim(t, text):
+                assert got[d, i].covered == 1.0
+            elif brute_filled(t, text) and sum(k == "word" for k, _ in words) >= 4:
+                assert got[d, i].covered == 1.0 and got[d, i].reparameterised
+            elif d != i:
+                assert (d, i) not in got
+    assert sum(d == i for d, i in got) > 50
+
+
+def test_decontamination_by_joins_alone(spark, monkeypatch):
+    """A benchmark too large to broadcast, and a bitmap that is nearly full, change nothing."""
+    rng = random.Random(8)
+    items = [(i, prose(rng, rng.randint(4, 40))) for i in range(80)]
+    docs = [(i if i % 7 else None, f"{prose(rng, 30)} {items[i % 90][1]} {prose(rng, 5)}" if i % 90 < 80 and i % 2 else prose(rng, 50)) for i in range(120)] + [(5, ""), (6, None)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items, (None, None), (3, "")], "item_id long, text string")
+    want = sorted(map(str, decontaminate.contaminated(d, b).collect()))
+    kept = sorted(map(str, decontaminate.decontaminated(d, b).collect()))
+    assert len(want) > 40 and sum("None" in x for x in kept) > 5  # rows without an id are judged one by one
+    for name, value in (("FEW_ROWS", 0), ("FEW_BYTES", 0), ("MOST_BITS", 1 << 13), ("BATCH", 64)):
+        monkeypatch.setattr(decontaminate, name, value)
+    assert sorted(map(str, decontaminate.contaminated(d, b).collect())) == want
+    assert sorted(map(str, decontaminate.decontaminated(d, b).collect())) == kept
 
 
 # --- 9 ---

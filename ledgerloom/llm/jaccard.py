@@ -18,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Scratch, from_planes, known_id, parts_for, planes, runs_of, text_bytes, total_bytes
+from ledgerloom.llm.common import Scratch, fresh, from_planes, known_id, parts_for, planes, quoted, row_digest, runs_of, text_bytes, total_bytes
 from ledgerloom.llm.components import components
 from ledgerloom.llm.simhash import fingerprint, links
 
@@ -80,14 +80,14 @@ def bitmap(own: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """did, fp (the SimHash), sid (a hash of the set), n, prefix (the shingles that it stands with) and the bitmap's longs of every document."""
+    """row (of common.row_digest), did, fp (the SimHash), sid (a hash of the set), n, prefix (the shingles that it stands with) and the bitmap's longs of every document."""
     levels = docs.sparkSession.sparkContext.broadcast(sketch(docs))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
         for batch in batches:
             fps, sids, sizes, prefixes, maps = [], [], [], [], []
-            for t in batch.column(1).to_pylist():
+            for t in batch.column(2).to_pylist():
                 own = shingles(t)
                 n = len(own)
                 order = np.argsort(level[own % np.uint64(CELLS)], kind="stable")[: n - -(-4 * n // 5) + 1]
@@ -99,9 +99,9 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             longs = np.array(maps, np.int64).reshape(-1, LONGS)
             columns = [np.array(fps, np.uint64).view(np.int64), np.array(sids, np.uint64).view(np.int64), *(np.ascontiguousarray(longs[:, i]) for i in range(LONGS))]
             fixed = [pa.array(c, pa.int64()) for c in columns]
-            yield pa.record_batch([batch.column(0), *fixed[:2], pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary()), *fixed[2:]], ["did", "fp", "sid", "n", "prefix", *(f"m{i}" for i in range(LONGS))])
+            yield pa.record_batch([batch.column(0), batch.column(1), *fixed[:2], pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary()), *fixed[2:]], ["row", "did", "fp", "sid", "n", "prefix", *(f"m{i}" for i in range(LONGS))])
 
-    return docs.select(known_id().alias("did"), text_bytes()).mapInArrow(work, "did long, fp long, sid long, n int, prefix binary, " + ", ".join(f"m{i} long" for i in range(LONGS)))
+    return docs.select(row_digest().alias("row"), known_id().alias("did"), text_bytes()).mapInArrow(work, "row binary, did long, fp long, sid long, n int, prefix binary, " + ", ".join(f"m{i} long" for i in range(LONGS)))
 
 
 def meeting(sets: DataFrame, buckets: int) -> DataFrame:
@@ -139,21 +139,21 @@ def meeting(sets: DataFrame, buckets: int) -> DataFrame:
 
 
 def similar(pairs: DataFrame, info: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs a, b whose sets have at least four fifths of their union in common. info: sid, did, n, one and the bitmap's longs of each set."""
+    """The pairs a, b whose sets have at least four fifths of their union in common. info: sid, row, n, one and the bitmap's longs of each set."""
     longs = [f"m{i}" for i in range(LONGS)]
-    left = info.select(F.col("sid").alias("a"), F.col("did").alias("x"), F.col("n").alias("na"), F.col("one").alias("ga"), *(F.col(c).alias(f"a{c}") for c in longs))
-    right = info.select(F.col("sid").alias("b"), F.col("did").alias("y"), F.col("n").alias("nb"), F.col("one").alias("gb"), *(F.col(c).alias(f"b{c}") for c in longs))
+    left = info.select(F.col("sid").alias("a"), F.col("row").alias("x"), F.col("n").alias("na"), F.col("one").alias("ga"), *(F.col(c).alias(f"a{c}") for c in longs))
+    right = info.select(F.col("sid").alias("b"), F.col("row").alias("y"), F.col("n").alias("nb"), F.col("one").alias("gb"), *(F.col(c).alias(f"b{c}") for c in longs))
     apart = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in longs), F.lit(0))
     may = pairs.join(left, "a").join(right, "b").where("ga <> gb AND 5 * least(na, nb) >= 4 * greatest(na, nb)").where(9 * apart <= F.col("na") + F.col("nb"))
     may = scratch.cut(may.select("a", "b", "x", "y"))
-    needed = may.select(F.col("a").alias("sid"), F.col("x").alias("did")).union(may.select("b", "y")).distinct()
+    needed = may.select(F.col("a").alias("sid"), F.col("x").alias("row")).union(may.select("b", "y")).distinct()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t) for t in batch.column(0).to_pylist()]
             yield pa.record_batch([pa.array(np.array([set_id(x) for x in sets], np.uint64).view(np.int64)), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["sid", "shingles"])
 
-    texts = docs.select(known_id().alias("did"), text_bytes().alias("text")).join(needed.select("did").distinct(), "did", "left_semi").select("text")
+    texts = docs.select(row_digest().alias("row"), text_bytes().alias("text")).join(needed.select("row").distinct(), "row", "left_semi").select("text")
     own = texts.mapInArrow(work, "sid long, shingles array<long>").join(needed.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
     both = may.select("a", "b").join(own.toDF("a", "left"), "a").join(own.toDF("b", "right"), "b")
     common = F.size(F.array_intersect("left", "right"))
@@ -161,7 +161,7 @@ def similar(pairs: DataFrame, info: DataFrame, docs: DataFrame, scratch: Scratch
 
 
 def set_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """did and least of every document: the smallest id that it reaches over equal or similar sets and over fingerprints within four bits."""
+    """row, did and first of every document: did and row of the first document that it reaches over equal or similar sets and over fingerprints within four bits."""
     spark = docs.sparkSession
     sets = scratch.cut(shingle_sets(docs))
     # fingerprints within four bits
@@ -170,9 +170,9 @@ def set_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     group = fps.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "one", F.coalesce("root", "fp").alias("root"))
     least = group.groupBy("root").agg(F.min("one").alias("one"))
     by_fp = scratch.cut(group.drop("one").join(least, "root").select("fp", "one"))
-    grouped = sets.select("did", "sid", "fp", "n", *(f"m{i}" for i in range(LONGS))).join(by_fp, "fp")
+    grouped = sets.select("row", "sid", "fp", "n", *(f"m{i}" for i in range(LONGS))).join(by_fp, "fp")
     close = grouped.select(F.col("sid").alias("a"), F.col("one").alias("b")).where("a <> b").distinct()
-    info = scratch.cut(grouped.groupBy("sid").agg(F.min("did").alias("did"), F.min("one").alias("one"), *(F.min(c).alias(c) for c in ("n", *(f"m{i}" for i in range(LONGS))))))
+    info = scratch.cut(grouped.groupBy("sid").agg(F.min("row").alias("row"), F.min("one").alias("one"), *(F.min(c).alias(c) for c in ("n", *(f"m{i}" for i in range(LONGS))))))
     # sets that meet under a shingle
     members = scratch.cut(meeting(sets, parts_for(spark, total_bytes(docs), PART_BYTES)))
     order = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
@@ -187,15 +187,19 @@ def set_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     cross = some.join(left, "shingle").where("r <> root AND 5 * least(k, n) >= 4 * greatest(k, n)").select(*order("s", "sid")).distinct()
     whole = first.union(similar(cross, info, docs, scratch))
     ends = components(whole, scratch).withColumnRenamed("node", "sid")
-    of = sets.select("did", "sid").join(ends, "sid", "left").select("did", F.coalesce("root", "sid").alias("root"))
-    return scratch.cut(of.join(of.groupBy("root").agg(F.min("did").alias("least")), "root").select("did", "least"))
+    of = sets.select("row", "did", "sid").join(ends, "sid", "left").select("row", "did", F.coalesce("root", "sid").alias("root"))
+    return scratch.cut(of.join(of.groupBy("root").agg(F.min(F.struct("did", "row")).alias("first")), "root").select("row", "did", "first"))
 
 
 def keep_first_similar(docs: DataFrame) -> DataFrame:
-    """The documents without near-duplicates: of each group the document with the smallest doc_id stays.
+    """The documents without near-duplicates: of each group one stays, that with the smallest doc_id.
 
     Groups are joined by five-word shingle sets of a Jaccard similarity of 0.8 or more, found exactly, and by
-    fingerprints within four bits. Words are compared in lower case; texts without words are one group. All columns of docs come back
-    unchanged. Rows that repeat the id of the document that stays, and rows without an id, stay too."""
-    gone = set_components(docs, Scratch(docs.sparkSession)).where("least <> did").select(F.col("did").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    fingerprints within four bits. Words are compared in lower case; texts without words, null ones among them, are one group; whole texts are
+    compared whatever their length. A row without an id comes after those with one; among rows with one id, or without, that with the least digest
+    of its text stays, and of rows that agree in id and text any one. All columns of docs come back unchanged; an empty table gives an empty result."""
+    row, turn = fresh(docs, "row", "turn")
+    found = set_components(docs, Scratch(docs.sparkSession))
+    gone = found.where((F.col("first.did") != F.col("did")) | (F.col("first.row") != F.col("row"))).select(F.col("row").alias(row)).distinct()
+    left = docs.withColumn(row, row_digest()).join(gone, row, "left_anti")
+    return left.withColumn(turn, F.row_number().over(Window.partitionBy(row).orderBy(F.lit(0)))).where(F.col(turn) == 1).select(*quoted(docs.columns))

@@ -148,8 +148,8 @@ def quality(docs: DataFrame, repeat: int = REPEAT, max_covered: float = MAX_COVE
     n_covered (words in maximal repeats of at least `repeat` words, the first places included), longest (words of the
     longest repeat), base_failed (too few words, or too many in repeated three-word windows) and kept:
     not base_failed, at most max_covered of the words covered, no repeat longer than max_longest.
-    Null and empty texts count as texts without words, which fail; repeated rows, ties and null ids are rows like
-    others; an empty table gives an empty result; other columns aren't read."""
+    Null and empty texts count as texts without words, which fail; whole texts count whatever their length, one
+    over BATCH words by itself; repeated rows, ties and null ids are rows like others; an empty table gives an empty result; other columns aren't read."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +162,20 @@ def quality(docs: DataFrame, repeat: int = REPEAT, max_covered: float = MAX_COVE
     return df.withColumn("base_failed", failed).withColumn("kept", ~failed & good)
 
 
-def keep_good(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of docs that quality() keeps, with all their columns. Rows with one doc_id stay if any of them is kept; rows without an id count as one document."""
-    verdict = quality(docs, **limits).where("kept").select(F.col("doc_id").alias("__good")).distinct()
-    return docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["__good"]), "left_semi")
+def passes(row: tuple[int, ...], max_covered: float, max_longest: int) -> bool:
+    """Whether the measures of a text make quality() keep it."""
+    n, _, _, _, repeated, covered, longest = row
+    return n >= MIN_WORDS and 100 * repeated <= MAX_REPEAT_PERCENT * n and covered <= max_covered * n and longest <= max_longest
+
+
+def keep_good(docs: DataFrame, repeat: int = REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
+    """The rows of docs that quality() keeps, with all their columns. Each row is judged by its own text, whatever its id, where it stands."""
+    at = docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            good = [passes(r, max_covered, max_longest) for r in measure([t or b"" for t in texts], repeat)]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)

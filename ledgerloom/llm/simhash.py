@@ -156,8 +156,8 @@ def simhash_components(docs: DataFrame, radius: int = 2, shingle: int = SHINGLE)
     docs: doc_id, text. Returns doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id
     reachable over links of at most 2 * radius bits, the document's own included) and n_links (other
     distinct fingerprints of the component).
-    Null and empty texts, and texts without words, have fingerprint zero and are linked like others;
-    repeated rows stay as many rows; a null doc_id counts as the largest id and stays null in doc_id;
+    Null and empty texts, and texts without words, have fingerprint zero and are linked like others; whole texts
+    count whatever their length; equal fingerprints are one node, so ties cost nothing; repeated rows stay as many rows; a null doc_id counts as the largest id and stays null in doc_id;
     an empty table gives an empty result; other columns aren't read."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -169,13 +169,3 @@ def simhash_components(docs: DataFrame, radius: int = 2, shingle: int = SHINGLE)
     of_fp = scratch.cut(named.select("fp", "root").join(whole, "root").drop("root"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return fps.join(of_fp, "fp", "left").select("doc_id", hexed.alias("fingerprint"), "component_id", "n_links")
-
-
-def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents without near-duplicates: of each group the document with the smallest doc_id stays.
-
-    All columns of docs come back unchanged. Rows that repeat the id of the document that stays, and rows
-    without an id, stay too."""
-    groups = simhash_components(docs).where("component_id <> doc_id")
-    gone = groups.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

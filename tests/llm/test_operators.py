@@ -101,11 +101,22 @@ def test_simhash_chain_of_near_fingerprints(spark):
     assert {k: found.get(k, k) for k in root} == root
 
 
-def test_keep_first(docs):
-    stay = simhash.keep_first(docs)
-    assert stay.columns == docs.columns
-    groups = {no_id(r.doc_id): r.component_id for r in simhash.simhash_components(docs).collect()}
-    assert sorted(no_id(r.doc_id) for r in stay.collect()) == sorted(no_id(r[0]) for r in rows() if groups[no_id(r[0])] == no_id(r[0]) or r[0] is None)
+def test_components_of_hubs(spark, monkeypatch):
+    """Stars, chains and pairs, with every node of a few links a hub, and with none."""
+    from ledgerloom.llm import components as c
+    from ledgerloom.llm.common import Scratch
+
+    rng = random.Random(2)
+    ids = rng.sample(range(-1000, 1000), 400)
+    links = [(ids[0], x) for x in ids[1:120]] + [(ids[i], ids[i + 1]) for i in range(150, 200)] + [(ids[200 + 2 * i], ids[201 + 2 * i]) for i in range(60)] + [(max(ids), x) for x in ids[330:390]] + [(ids[5], ids[5])]
+    root = {x: x for link in links for x in link}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(links, "a long, b long")
+    for often in (1024, 1):
+        monkeypatch.setattr(c, "OFTEN", often)
+        assert {r.node: r.root for r in c.components(df, Scratch(spark)).collect()} == root
 
 
 def test_keep_first_similar(spark):
@@ -124,7 +135,10 @@ def test_keep_first_similar(spark):
     texts += [texts[0].upper(), "two words", "Two  words", "", None, " \n"]
     table = [(i, t, 0) for i, t in enumerate(texts)]
     rng.shuffle(table)
-    table.append((None, texts[1], 0))
+    table += [(None, texts[1], 0), (None, "alone " * 9, 0), (None, "alone " * 9, 1), (0, texts[0], 5), (0, "another text of the first id", 5)]
+    kept = jaccard.keep_first_similar(spark.createDataFrame(table, "doc_id long, text string, __gone_ int"))
+    assert sorted(no_id(r.doc_id) for r in kept.collect())[-1] == no_id(None) and sum(r.doc_id is None for r in kept.collect()) == 1 and sum(r.doc_id == 0 for r in kept.collect()) == 2
+    table = [r for r in table if r[0] is not None and r[2] == 0]
     got = sorted(r.doc_id for r in jaccard.keep_first_similar(spark.createDataFrame(table, "doc_id long, text string, __gone_ int").repartition(5)).collect() if r.doc_id is not None)
     sets = []
     for t in texts:
@@ -657,6 +671,9 @@ def test_quality_rules(docs, empty):
         assert r.base_failed == failed and r.kept == (not failed and r.n_covered <= 0.3 * r.n_words and r.longest <= repetition.MAX_LONGEST)
     kept = repetition.keep_good(docs)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+    good = [r for r in rows() if (m := brute_quality(r[1]))[0] >= 600 or repetition.passes(m, 0.3, 100)]
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, good))  # each row by its own text
+    assert repetition.keep_good(empty).count() == 0
     assert repetition.quality(empty).count() == 0
 
 

@@ -17,9 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import known_id, parts_for, runs_of, text_bytes, total_bytes
 
-RADIUS, LONGEST = 24, 4096
-#: A run of repeated chunks of fewer bytes stays where it is cut out of a line: to cut it out of a sentence harms more than it saves.
-LEAST = 64
+RADIUS, LONGEST = 32, 4096
 PART_BYTES = 8 << 20
 BLOCK = 1 << 20
 REACH = 32
@@ -101,11 +99,6 @@ def chunks(text: bytes, radius: int = RADIUS) -> tuple[list[int], list[bytes]]:
     return begins, [digest(text[a:b]) for a, b in zip(begins, ends, strict=True)]
 
 
-def whole_lines(text: bytes, begin: int, end: int) -> bool:
-    """Whether a run lies between borders of lines or of the text."""
-    return (not begin or 10 in text[begin - 1 : begin + 1]) and (end == len(text) or 10 in text[end - 1 : end + 1])
-
-
 def ask(table: pa.Table, buckets: int, radius: int) -> pa.Table:
     """The first place of each digest in a part, by bucket; those with several places come apart."""
     digests, dids, ats = [], [], []
@@ -160,19 +153,18 @@ def answer(table: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array(part[cut], pa.int64()), "places": pa.array([x.tobytes() for x in np.split(first, cut[1:])] if len(cut) else [], pa.binary())})
 
 
-def remove_repeated_chunks(docs: DataFrame, radius: int = RADIUS, least: int = LEAST, part_bytes: int = PART_BYTES) -> DataFrame:
+def remove_repeated_chunks(docs: DataFrame, radius: int = RADIUS, part_bytes: int = PART_BYTES) -> DataFrame:
     """Texts without the chunks that occur earlier, in order of doc_id and then of place.
 
-    docs: doc_id, text. The first place of a chunk stays, wherever it is; so do runs of repeated chunks
-    under `least` bytes, unless they are whole lines or the whole text. Returns a row for each: doc_id, n_bytes,
+    docs: doc_id, text. The first place of a chunk stays, wherever it is; all others go, however short. Returns a row for each: doc_id, n_bytes,
     n_chunks, spans (array of begin, end in bytes of the removed chunks, neighbours joined) and text (what
     is left; chunks end between characters). Null and empty texts have no chunks and give an empty
-    text; a text shorter than a chunk is one chunk; a null doc_id comes after all others; rows that repeat an id count as one
+    text; a text shorter than a chunk is one chunk; a very long text is cut block by block, and one row of it stands in one task; a null doc_id comes after all others; rows that repeat an id count as one
     document where their places agree; an empty table gives an empty result; other columns aren't read."""
     spark = docs.sparkSession
     parts = parts_for(spark, total_bytes(docs), part_bytes)
     dealt = docs.select(F.col("doc_id").cast("long"), known_id().alias("did"), text_bytes().alias("text"))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("did"), F.lit(parts)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("did"), F.lit(parts))).repartition(parts, "part")  # so many tasks, of about a part each
     asked = dealt.groupBy("part").applyInArrow(lambda t: ask(t, parts, radius), "bucket long, part long, several boolean, places binary")
     told = asked.groupBy("bucket").applyInArrow(answer, "part long, places binary")
 
@@ -190,7 +182,6 @@ def remove_repeated_chunks(docs: DataFrame, radius: int = RADIUS, least: int = L
                     spans[-1]["end"] = b
                 else:
                     spans.append({"begin": a, "end": b})
-            spans = [s for s in spans if s["end"] - s["begin"] >= least or whole_lines(text, s["begin"], s["end"])]
             edges = [0, *(x for s in spans for x in (s["begin"], s["end"])), len(text)]
             kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
             out.append((doc_id, len(text), len(begins), spans, kept.decode("utf-8", "replace")))

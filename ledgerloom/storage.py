@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -12,7 +13,7 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     at = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.ledgerloom.shared", "")
     if not at:
-        if not conf.get("spark.master", "").startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", conf.get("spark.master", "")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.ledgerloom.shared", at)

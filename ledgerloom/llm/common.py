@@ -17,7 +17,7 @@ NO_ID = 2**63 - 1
 
 
 class Scratch:
-    """Written tables that cut lineage. A table that a later one replaces can be dropped by name."""
+    """Written tables that cut lineage. A table that a later one replaces can be dropped; what is left goes when the application ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/ledgerloom/{uuid.uuid4().hex}"
@@ -31,6 +31,9 @@ class Scratch:
         self.count += 1
         at = f"{self.root}/{self.count}"
         df.write.option("compression", compression).parquet(at)
+        if self.count == 1:
+            fs, path = self._fs(self.root)
+            fs.deleteOnExit(path)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._ledgerloom_at = at
         return out
@@ -38,9 +41,12 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         """Delete the files of a table that nothing reads any more."""
         if at := getattr(df, "_ledgerloom_at", None):
-            jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            fs, path = self._fs(at)
+            fs.delete(path, True)
+
+    def _fs(self, at: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 def text_bytes(column: str = "text") -> Column:
@@ -73,6 +79,22 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: A key with one in so many of all rows is joined apart.
+OFTEN = 1024
+
+
+def join_apart(rows: DataFrame, per: DataFrame, key: str, often: int | None = None) -> DataFrame:
+    """Inner join with a written table that has one row a key and, as n, how many rows have that key; n is left out.
+
+    Keys with at least one in OFTEN of all rows, of which there can't be more than that number, are joined by broadcast, so
+    that no task gets all rows of one of them."""
+    total = per.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    heavy = F.col("n") * (often or OFTEN) >= F.lit(total)
+    near = rows.join(F.broadcast(per.where(heavy).drop("n")), key)
+    far = rows.join(F.broadcast(per.where(heavy).select(key)), key, "left_anti").join(per.where(~heavy).drop("n"), key)
+    return near.unionByName(far)
+
+
 def quoted(names: list[str]) -> list[Column]:
     """Columns by their names, whatever marks these have in them."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in names]

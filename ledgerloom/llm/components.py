@@ -5,56 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Scratch
-
-#: A node with one in so many of all links is a hub.
-OFTEN = 1024
+from ledgerloom.llm.common import Scratch, join_apart
 
 
 def _both(links: DataFrame) -> DataFrame:
     return links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _moved(links: DataFrame, least: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """a, b, m of each link, by its a; and the written table of a, m. least: a, m, n (links of a).
-
-    Nodes with at least one in OFTEN of all links, of which there can't be more than that number, are joined by broadcast, so that
-    no task gets all links of one of them."""
-    least = scratch.cut(least)
-    often = F.col("n") * OFTEN >= F.lit(least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    near = links.join(F.broadcast(least.where(often).drop("n")), "a")
-    far = links.join(F.broadcast(least.where(often).select("a")), "a", "left_anti").join(least.where(~often).drop("n"), "a")
-    return near.unionByName(far), least
-
-
 def _large(links: DataFrame, scratch: Scratch) -> DataFrame:
     """Every larger neighbour of a node goes to the smallest node around it."""
     both = _both(links)
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-    moved, _ = _moved(both.where("b > a"), least, scratch)
+    least = scratch.cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")))
+    moved = join_apart(both.where("b > a"), least, "a")
     return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small(links: DataFrame, scratch: Scratch) -> DataFrame:
     """Every smaller neighbour of a node, and the node, go to the smallest of them."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    moved, least = _moved(down, down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), scratch)
+    least = scratch.cut(down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+    moved = join_apart(down, least, "a")
     return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether all links go from a node that has no other to one that has only such."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(links.select("b", F.lit(0)))
+    per = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
+    return per.where("up > 1 or (up = 1 and n > 1)").isEmpty()
+
+
 def components(links: DataFrame, scratch: Scratch, rounds: int = 100) -> DataFrame:
     """links: a, b long. Returns node, root: each linked node with the smallest node that it reaches.
 
-    Each round moves nodes to smaller neighbours through two joins on keys, hubs apart; nothing is collected but
-    counts and a checksum, which tell when a round has changed nothing. The work is O(links) a round and
+    Each round moves nodes to smaller neighbours through two joins on keys, hubs apart, until only stars are left; nothing is
+    collected but counts. The work is O(links) a round and
     the rounds grow with the logarithm of the longest path. Links of a node to itself are dropped."""
     now = scratch.cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
     for _ in range(rounds):
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
+        if _settled(now):
             break
-        before = state
         larger = scratch.cut(_large(now, scratch))
         after = scratch.cut(_small(larger, scratch))
         scratch.drop(larger)

@@ -3,12 +3,14 @@
 Fingerprints within four bits miss most such pairs, as one change of a word in a text of a hundred words
 already flips more bits. Here each set of n shingles, in one order for all sets, stands with its first
 n - ceil(0.8 n) + 1 shingles: two sets as similar as that have one of these in common. Shingles that many
-documents have come last in the order, told by a sketch of counts, so few sets meet needlessly; what the
-sketch says costs time at most, no pair; it is made from an eighth of the documents. Bitmaps that hold the parity of the shingles of
+documents have come last in the order, so few sets meet needlessly; they are counted in an eighth of the documents and told by
+bitmaps of a bounded size, whose mistakes cost time at most, no pair. Bitmaps that hold the parity of the shingles of
 each cell bound from below how many shingles two sets differ in, which rules most pairs out; the others' sets are
 made again from their texts and compared exactly. This goes in two rounds: first with the
-least and the largest set under each shingle, then, where a shingle still has several groups, every set outside
-its largest group with all of other groups. A group that is linked already thus costs no pairs within it.
+smallest set under each shingle, one more and a neighbour in a mixed order, then, where a shingle still has several groups, every set outside
+its largest group with those of other groups. A group that is linked already thus costs no pairs within it. In the second round two
+sets are compared only if what they have from the shingle on could make them similar, were it the first that they share, as
+it is once for every pair: texts that share a common passage, and are otherwise apart, are linked to the smallest or have no partner.
 """
 
 from __future__ import annotations
@@ -21,19 +23,19 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Scratch, fresh, from_planes, known_id, parts_for, planes, quoted, row_digest, runs_of, text_bytes, total_bytes
+from ledgerloom.llm.common import Scratch, fresh, from_planes, join_apart, known_id, parts_for, planes, quoted, row_digest, runs_of, text_bytes, total_bytes
 from ledgerloom.llm.components import components
+from ledgerloom.llm import decontaminate
 from ledgerloom.llm.simhash import fingerprint, links
 
 SHINGLE = 5
-#: Cells of the sketch, and the pieces that it is summed in.
-CELLS, PIECES = 1 << 20, 16
-#: One in so many documents is counted in the sketch.
-COUNTED = 8
+#: One in so many documents is counted; shingles that so many of these have are frequent, and more and more so.
+COUNTED, LEVELS = 8, (3, 12, 48, 192)
 #: Longs of a bitmap.
 LONGS = 8
 PART_BYTES = 32 << 20
-UNDER = np.dtype([("shingle", "<u8"), ("sid", "<i8"), ("n", "<i4")])
+COUNT = np.dtype([("shingle", "<u8"), ("n", "<u4")])
+UNDER = np.dtype([("shingle", "<u8"), ("sid", "<i8"), ("n", "<i4"), ("rest", "<i4")])  # rest: shingles of the set from this one on
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -48,25 +50,37 @@ def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([digest(line[a:b]) for a, b in zip(starts.tolist(), last.tolist(), strict=False)], np.uint64))
 
 
-def sketch(docs: DataFrame) -> np.ndarray:
-    """For each cell the logarithm of the number of shingles that fall there."""
+def frequent(docs: DataFrame, scratch: Scratch) -> list[np.ndarray]:
+    """For each of LEVELS a bitmap of the shingles that so many of the counted documents have, by exact counts; each is of a bounded size."""
+    buckets = parts_for(docs.sparkSession, total_bytes(docs) // COUNTED, PART_BYTES)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.uint32)
         for batch in batches:
-            for t in batch.column(0):
-                own, n = np.unique(shingles(t.as_py()) % np.uint64(CELLS), return_counts=True)
-                cells[own] += n.astype(np.uint32)
-        yield pa.record_batch([pa.array(range(PIECES), pa.int32()), pa.array([planes(x) for x in np.split(cells, PIECES)], pa.binary())], ["piece", "cells"])
+            lists = [shingles(t) for t in batch.column(0).to_pylist()]
+            own, n = np.unique(np.concatenate(lists), return_counts=True) if lists else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            rows = np.zeros(len(own), COUNT)
+            rows["shingle"], rows["n"] = own, n
+            bucket = (own >> np.uint64(8)).astype(np.int64) % buckets
+            order = np.argsort(bucket, kind="stable")
+            rows, bucket = rows[order], bucket[order]
+            s = runs_of(bucket)
+            yield pa.record_batch([pa.array(bucket[s], pa.int64()), pa.array([planes(x) for x in np.split(rows, s[1:])] if len(s) else [], pa.binary())], ["bucket", "rows"])
 
-    def add(key: tuple, tables: pa.Table) -> pa.Table:
-        total = np.zeros(CELLS // PIECES, np.int64)
-        for x in tables.column("cells"):
-            total += from_planes(x.as_py(), "<u4")
-        return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([np.log2(np.maximum(total, 1)).astype(np.uint8).tobytes()], pa.binary())})
+    def add(table: pa.Table) -> pa.Table:
+        rows = np.concatenate([from_planes(x.as_py(), COUNT) for x in table.column("rows")])
+        rows = rows[np.argsort(rows["shingle"], kind="stable")]
+        s = runs_of(rows["shingle"])
+        n = np.add.reduceat(rows["n"].astype(np.int64), s) if len(s) else np.zeros(0, np.int64)
+        keep = n >= LEVELS[0]
+        return pa.table({"hash": rows["shingle"][s][keep].copy().view(np.int64), "n": n[keep]})
 
-    found = docs.where(F.pmod(F.xxhash64(known_id()), F.lit(COUNTED)) == 0).select(text_bytes()).mapInArrow(work, "piece int, cells binary").groupBy("piece").applyInArrow(add, "piece int, cells binary").collect()
-    return np.frombuffer(b"".join(bytes(r["cells"]) for r in sorted(found)), np.uint8) if found else np.zeros(CELLS, np.uint8)
+    some = docs.where(F.pmod(F.xxhash64(known_id()), F.lit(COUNTED)) == 0).select(text_bytes())
+    counts = scratch.cut(some.mapInArrow(work, "bucket long, rows binary").groupBy("bucket").applyInArrow(add, "hash long, n long"))
+    out = []
+    for level in LEVELS:
+        if n := counts.where(F.col("n") >= level).count():
+            out.append(decontaminate.bitmap(counts.where(F.col("n") >= level), n))
+    return out
 
 
 def set_id(own: np.ndarray) -> int:
@@ -79,18 +93,22 @@ def bitmap(own: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
+def shingle_sets(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """row (of common.row_digest), did, fp (the SimHash), sid (a hash of the set), n, prefix (the shingles that it stands with) and the bitmap's longs of every document."""
-    levels = docs.sparkSession.sparkContext.broadcast(sketch(docs))
+    levels = docs.sparkSession.sparkContext.broadcast(frequent(docs, scratch))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = levels.value
+        tables = levels.value
         for batch in batches:
             fps, sids, sizes, prefixes, maps = [], [], [], [], []
             for t in batch.column(2).to_pylist():
                 own = shingles(t)
                 n = len(own)
-                order = np.argsort(level[own % np.uint64(CELLS)], kind="stable")[: n - -(-4 * n // 5) + 1]
+                level, often = np.zeros(n, np.int64), np.arange(n)
+                for table in tables:
+                    often = often[decontaminate.may_be(own[often], table)]
+                    level[often] += 1
+                order = np.argsort(level, kind="stable")[: n - -(-4 * n // 5) + 1]
                 fps.append(fingerprint(t))
                 sids.append(set_id(own))
                 sizes.append(n)
@@ -105,7 +123,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def meeting(sets: DataFrame, buckets: int) -> DataFrame:
-    """shingle, sid, n, low, high: the sets under each shingle that several stand with, and the least and the largest of these."""
+    """shingle, sid, n, rest, least, low, high, next: the sets under each shingle that several stand with, the size of the smallest of these, that set, one more, and for each set the one after it in a mixed order."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,6 +132,7 @@ def meeting(sets: DataFrame, buckets: int) -> DataFrame:
             rows = np.zeros(int(counts.sum()), UNDER)
             rows["shingle"] = np.frombuffer(b"".join(prefixes), np.uint64)
             rows["sid"], rows["n"] = np.repeat(batch.column(0).to_numpy(), counts), np.repeat(batch.column(1).to_numpy(), counts)
+            rows["rest"] = rows["n"] - (np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts))
             rows = distinct(rows)
             bucket = (rows["shingle"] >> np.uint64(8)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
@@ -122,29 +141,35 @@ def meeting(sets: DataFrame, buckets: int) -> DataFrame:
             yield pa.record_batch([pa.array(bucket[s], pa.int64()), pa.array([planes(x) for x in np.split(rows, s[1:])] if len(s) else [], pa.binary())], ["bucket", "rows"])
 
     def distinct(rows: np.ndarray) -> np.ndarray:
-        rows = rows[np.lexsort((rows["sid"], rows["shingle"]))]
+        rows = rows[np.lexsort((rows["sid"], rows["n"], rows["shingle"]))]
         return rows[np.append(True, (rows["shingle"][1:] != rows["shingle"][:-1]) | (rows["sid"][1:] != rows["sid"][:-1]))[: len(rows)]]
 
     def meet(table: pa.Table) -> pa.Table:
         rows = distinct(np.concatenate([from_planes(x.as_py(), UNDER) for x in table.column("rows")]))
         s = runs_of(rows["shingle"])
         sizes = np.diff(np.append(s, len(rows)))
-        low, high = np.repeat(rows["sid"][s], sizes), np.repeat(rows["sid"][s + sizes - 1], sizes)
+        least, low, high = (np.repeat(x, sizes) for x in (rows["n"][s], rows["sid"][s], np.maximum.reduceat(rows["sid"], s) if len(s) else rows["sid"]))
+        by = np.lexsort(((rows["sid"].view(np.uint64) ^ rows["shingle"]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20), rows["shingle"]))
+        after = np.append(by[1:], by[:1])
+        after[s + sizes - 1] = by[s]  # the last one's is the first
+        later = np.empty(len(rows), np.int64)
+        later[by] = rows["sid"][after]
         keep = np.repeat(sizes > 1, sizes)
-        rows, low, high = rows[keep], low[keep], high[keep]
-        return pa.table({"shingle": np.ascontiguousarray(rows["shingle"]).view(np.int64), "sid": np.ascontiguousarray(rows["sid"]), "n": np.ascontiguousarray(rows["n"]), "low": low, "high": high})
+        rows, least, low, high, later = rows[keep], least[keep], low[keep], high[keep], later[keep]
+        own = {c: np.ascontiguousarray(rows[c]) for c in ("shingle", "sid", "n", "rest")}
+        return pa.table({**own, "shingle": own["shingle"].view(np.int64), "least": least, "low": low, "high": high, "next": later})
 
     dealt = sets.select("sid", "n", "prefix").mapInArrow(deal, "bucket long, rows binary")
-    return dealt.groupBy("bucket").applyInArrow(meet, "shingle long, sid long, n int, low long, high long")
+    return dealt.groupBy("bucket").applyInArrow(meet, "shingle long, sid long, n int, rest int, least int, low long, high long, next long")
 
 
 def similar(pairs: DataFrame, info: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs a, b whose sets have at least four fifths of their union in common. info: sid, row, n, one and the bitmap's longs of each set."""
+    """The pairs a, b whose sets have at least four fifths of their union in common. info: sid, row, n and the bitmap's longs of each set."""
     longs = [f"m{i}" for i in range(LONGS)]
-    left = info.select(F.col("sid").alias("a"), F.col("row").alias("x"), F.col("n").alias("na"), F.col("one").alias("ga"), *(F.col(c).alias(f"a{c}") for c in longs))
-    right = info.select(F.col("sid").alias("b"), F.col("row").alias("y"), F.col("n").alias("nb"), F.col("one").alias("gb"), *(F.col(c).alias(f"b{c}") for c in longs))
+    left = info.select(F.col("sid").alias("a"), F.col("row").alias("x"), F.col("n").alias("na"), *(F.col(c).alias(f"a{c}") for c in longs))
+    right = info.select(F.col("sid").alias("b"), F.col("row").alias("y"), F.col("n").alias("nb"), *(F.col(c).alias(f"b{c}") for c in longs))
     apart = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in longs), F.lit(0))
-    may = pairs.join(left, "a").join(right, "b").where("ga <> gb AND 5 * least(na, nb) >= 4 * greatest(na, nb)").where(9 * apart <= F.col("na") + F.col("nb"))
+    may = pairs.join(left, "a").join(right, "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)").where(9 * apart <= F.col("na") + F.col("nb"))
     may = scratch.cut(may.select("a", "b", "x", "y"))
     needed = may.select(F.col("a").alias("sid"), F.col("x").alias("row")).union(may.select("b", "y")).distinct()
 
@@ -163,32 +188,36 @@ def similar(pairs: DataFrame, info: DataFrame, docs: DataFrame, scratch: Scratch
 def set_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """row, did and first of every document: did and row of the first document that it reaches over equal or similar sets and over fingerprints within four bits."""
     spark = docs.sparkSession
-    sets = scratch.cut(shingle_sets(docs))
-    # fingerprints within four bits
+    sets = scratch.cut(shingle_sets(docs, scratch))
+    # equal fingerprints, and those within four bits
     fps = scratch.cut(sets.groupBy("fp").agg(F.min("sid").alias("one")))
-    near = components(links(fps.select("fp"), fps.count()), scratch)
-    group = fps.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "one", F.coalesce("root", "fp").alias("root"))
-    least = group.groupBy("root").agg(F.min("one").alias("one"))
-    by_fp = scratch.cut(group.drop("one").join(least, "root").select("fp", "one"))
-    grouped = sets.select("row", "sid", "fp", "n", *(f"m{i}" for i in range(LONGS))).join(by_fp, "fp")
-    close = grouped.select(F.col("sid").alias("a"), F.col("one").alias("b")).where("a <> b").distinct()
-    info = scratch.cut(grouped.groupBy("sid").agg(F.min("row").alias("row"), F.min("one").alias("one"), *(F.min(c).alias(c) for c in ("n", *(f"m{i}" for i in range(LONGS))))))
+    same = sets.select("sid", "fp").distinct().join(fps, "fp").select(F.col("sid").alias("a"), F.col("one").alias("b")).where("a <> b")
+    near = scratch.cut(links(fps.select("fp"), fps.count()))
+    near = near.join(fps.toDF("a", "one"), "a").select("b", F.col("one").alias("x")).join(fps.toDF("b", "one"), "b").select(F.col("x").alias("a"), F.col("one").alias("b"))
+    info = scratch.cut(sets.groupBy("sid").agg(F.min("row").alias("row"), *(F.min(c).alias(c) for c in ("n", *(f"m{i}" for i in range(LONGS))))))
     # sets that meet under a shingle
     members = scratch.cut(meeting(sets, parts_for(spark, total_bytes(docs), PART_BYTES)))
     order = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    pairs = members.select(*order("sid", "low")).union(members.select(*order("sid", "high"))).where("a <> b").distinct()
-    first = scratch.cut(close.union(similar(pairs, info, docs, scratch)))
+    pairs = members.select(*order("sid", "low")).union(members.select(*order("sid", "high"))).union(members.select(*order("sid", "next"))).where("a <> b").distinct()
+    first = same.union(near).union(similar(pairs, info, docs, scratch))
     roots = scratch.cut(components(first, scratch))
     # what is left between groups under one shingle
-    named = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("shingle", "sid", "n", F.coalesce("root", "sid").alias("root"))
-    largest = named.groupBy("shingle", "root").count().groupBy("shingle").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("m")).where("m > 1").drop("m")
+    may = members.where("4 * (n + least) <= 9 * rest").drop("least", "low", "high", "next")
+    named = may.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    largest = scratch.cut(named.groupBy("shingle", "root").count().groupBy("shingle").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("m")).where("m > 1").drop("m"))
     left = scratch.cut(named.join(largest, "shingle"))
-    some = left.where("root <> main").select("shingle", F.col("sid").alias("s"), F.col("n").alias("k"), F.col("root").alias("r"))
-    cross = some.join(left, "shingle").where("r <> root AND 5 * least(k, n) >= 4 * greatest(k, n)").select(*order("s", "sid")).distinct()
-    whole = first.union(similar(cross, info, docs, scratch))
-    ends = components(whole, scratch).withColumnRenamed("node", "sid")
-    of = sets.select("row", "did", "sid").join(ends, "sid", "left").select("row", "did", F.coalesce("root", "sid").alias("root"))
-    return scratch.cut(of.join(of.groupBy("root").agg(F.min(F.struct("did", "row")).alias("first")), "root").select("row", "did", "first"))
+    some = left.where("root <> main").select("shingle", F.col("sid").alias("s"), F.col("n").alias("k"), F.col("rest").alias("q"), F.col("root").alias("r"))
+    cross = some.join(left, "shingle").where("r <> root AND 4 * (k + n) <= 9 * least(q, rest)").select(*order("s", "sid")).distinct()
+    second = similar(cross, info, docs, scratch)
+    for table in (members, left, info):
+        scratch.drop(table)
+    for c in ("a", "b"):
+        second = second.join(roots.toDF(c, "root"), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+    ends = scratch.cut(components(second, scratch))
+    of = sets.select("row", "did", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("row", "did", F.coalesce("root", "sid").alias("node"))
+    of = scratch.cut(of.join(ends, "node", "left").select("row", "did", F.coalesce("root", "node").alias("root")))
+    firsts = scratch.cut(of.groupBy("root").agg(F.min(F.struct("did", "row")).alias("first"), F.count("*").alias("n")))
+    return scratch.cut(join_apart(of, firsts, "root").select("row", "did", "first"))
 
 
 def keep_first_similar(docs: DataFrame) -> DataFrame:

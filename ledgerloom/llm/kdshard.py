@@ -15,15 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import Scratch, fresh, quoted, row_digest, row_digest_of, text_bytes
+from ledgerloom.llm.common import Scratch, fresh, join_apart, quoted, row_digest, row_digest_of, text_bytes
 
 SHARDS, OVERHEAD = 24, 8
 DIMENSIONS = ("lang", "source", "n_chars")
 SLOT_BUCKETS = 256
 #: Groups of at most this part of a shard's bytes are small.
 SMALL = 256
-#: Groups with at least this part of all rows are joined by broadcast; there are no more than this number of them.
-OFTEN = 1024
 #: Repeated rows that are made at once.
 TURNS = 4096
 
@@ -111,13 +109,9 @@ def _places(slim: DataFrame, scratch: Scratch, shards: int, dims: list[str]) ->
     """doc_id, mark, size, crc, times, shard and slot (the first one of its `times` slots) of each different (doc_id, text)."""
     groups = scratch.cut(slim.groupBy("mark").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), *[F.min(d).alias(d) for d in dims]))
     of = scratch.cut(group_shards(groups, scratch, shards, dims))
-    rows = of.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    often = of.where(F.col("n") * OFTEN >= rows)
     different = slim.groupBy("doc_id", "mark", "size", "crc").agg(F.count("*").alias("times"))
     different = different.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(SLOT_BUCKETS)))
-    near = different.join(F.broadcast(often.select("mark", "shard")), "mark")  # at most OFTEN rows
-    far = different.join(F.broadcast(often.select("mark")), "mark", "left_anti").join(of.where(F.col("n") * OFTEN < rows).select("mark", "shard"), "mark")
-    placed = scratch.cut(near.unionByName(far))
+    placed = scratch.cut(join_apart(different, of, "mark"))
     per = placed.groupBy("shard", "bucket").agg(F.sum("times").alias("__n"))
     per = per.select("shard", "bucket", _sum_before("__n", Window.partitionBy("shard").orderBy("bucket")).alias("__n"))
     inside = _sum_before("times", Window.partitionBy("shard", "bucket").orderBy("doc_id", "mark"))

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 ZERO = bytes(32)
 LIMBS, MASK = 8, 0xFFFFFFFF
+SUM_LIMBS = 11
 TOP = 1 << 256
 
 
@@ -23,8 +24,8 @@ def _c(x: Column | str) -> Column:
 
 def limbs(x: Column | str) -> list[Column]:
     """Eight longs below 2^32, the lowest first. Operands of fewer bytes count as padded on the left."""
-    wide = F.lpad(_c(x), 32, F.lit(b"\0"))
-    return [F.conv(F.hex(F.substring(wide, 29 - 4 * i, 4)), 16, 10).cast("long") for i in range(LIMBS)]
+    digits = F.lpad(F.hex(_c(x)), 64, "0")  # once for all of them
+    return [F.conv(F.substring(digits, 57 - 8 * i, 8), 16, 10).cast("long") for i in range(LIMBS)]
 
 
 def _carried(parts: list[Column], what: str) -> Column:
@@ -47,8 +48,21 @@ def from_long(n: Column | str) -> Column:
 def u256_sum(x: Column | str) -> Column:
     """Exact sum of an aggregate's rows: nulls are left out, none gives null, overflow raises.
 
-    A limb's sum is a long, exact to 2^31 rows a group; beyond them ANSI arithmetic raises."""
-    return _carried([F.sum(limb) for limb in limbs(x)], "u256_sum")
+    It is eleven sums of 24-bit limbs, which are exact longs up to 2^39 rows a group; beyond them ANSI arithmetic raises."""
+    digits = F.lpad(F.hex(_c(x)), 6 * SUM_LIMBS, "0")
+    return carried_sums([F.sum(F.conv(F.substring(digits, 6 * (SUM_LIMBS - i) - 5, 6), 16, 10).cast("long")) for i in range(SUM_LIMBS)])
+
+
+def carried_sums(parts: list[Column]) -> Column:
+    """Sums of 24-bit limbs, lowest first, as 32 bytes; raises if they exceed 256 bits."""
+    out, carry = [], None
+    for p in parts:
+        t = p if carry is None else p + carry
+        out.append(F.lpad(F.hex(t.bitwiseAND(F.lit(0xFFFFFF))), 6, "0"))
+        carry = F.shiftrightunsigned(t, 24)
+    whole = F.concat(*reversed(out))
+    over = (carry > 0) | ~F.startswith(whole, F.lit("00"))
+    return F.when(over, F.raise_error(F.lit("u256_sum exceeds 256 bits")).cast("binary")).otherwise(F.unhex(F.substring(whole, 3, 64)))
 
 
 def u256_add(a: Column | str, b: Column | str) -> Column:
@@ -183,6 +197,11 @@ def real_any(x: pa.Array, decimals: pa.Array) -> pa.Array:
     return pa.array([None if v is None or d is None else v / 10**d for v, d in zip(_ints(x), ds, strict=True)], pa.float64())
 
 
+@F.arrow_udf(T.DoubleType())
+def usd_any(x: pa.Array, price: pa.Array) -> pa.Array:
+    return pa.array([None if v is None or p is None else v / 10**18 * float(p) for v, p in zip(_ints(x), price.to_pylist(), strict=True)], pa.float64())
+
+
 def from_dec(text: Column | str) -> Column:
     """Decimal text of up to 38 digits as 32 bytes, by built-ins: nine digits at a time into limbs."""
     t = F.lpad(_c(text), 45, "0")

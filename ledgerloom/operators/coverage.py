@@ -121,10 +121,11 @@ def cutoff(blocks: DataFrame, keep: int) -> int | None:
 def retention(tables: dict[str, DataFrame], keep: int) -> tuple[dict[str, DataFrame], DataFrame]:
     """Each table without the blocks below the cutoff, and one row: latest, cutoff and the purged rows of each table."""
     spark = tables["blocks"].sparkSession
-    at = cutoff(tables["blocks"], keep)
+    latest = head(tables["blocks"])
+    at = None if latest is None else max(0, latest + 1 - keep)
     if at is None:
         return tables, spark.createDataFrame([], "latest long, cutoff long, " + ", ".join(f"purged_{t} long" for t in tables))
-    report = spark.range(1).select(F.lit(head(tables["blocks"])).alias("latest"), F.lit(at).alias("cutoff"))
+    report = spark.range(1).select(F.lit(latest).alias("latest"), F.lit(at).alias("cutoff"))
     for name, df in tables.items():
         report = report.crossJoin(df.where(F.col("block_number") < at).agg(F.count("*").alias(f"purged_{name}")))  # one row each
     return {name: df.where(F.col("block_number") >= at) for name, df in tables.items()}, report

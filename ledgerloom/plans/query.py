@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,14 +13,15 @@ from ledgerloom.functions import u256 as u
 from ledgerloom.operators.coverage import head
 
 #: Functions of the SQL surface that take integers or bytes of any width.
-FUNCTIONS = {"u256_mul": u.u256_mul, "u256_add": u.add_any, "u256_to_dec": u.u256_to_dec, "u256": u.u256, "format_ether": u.format_ether, "format_gwei": u.format_gwei, "erc20_to_real": u.real_any}
-SQL_FUNCTIONS = [
-    "u256_limb(x BINARY, i INT) RETURNS BIGINT RETURN CAST(conv(hex(substring(lpad(x, 32, X'00'), 29 - 4 * i, 4)), 16, 10) AS BIGINT)",
-    "u256_carry(s ARRAY<BIGINT>) RETURNS BINARY RETURN CASE WHEN s[0] IS NULL THEN NULL ELSE unhex(aggregate(s, named_struct('c', 0L, 'h', ''), (a, v) -> named_struct('c', shiftrightunsigned(v + a.c, 32), 'h', lpad(hex((v + a.c) & 4294967295), 8, '0') || a.h),"
-    " a -> IF(a.c > 0, CAST(raise_error('u256_sum exceeds 256 bits') AS STRING), a.h))) END",
-    "format_usd(x DOUBLE) RETURNS STRING RETURN CASE WHEN x IS NOT NULL THEN '$' || format_string('%,.2f', x) END",
-    "wei_to_eth(x STRING) RETURNS DOUBLE RETURN CAST(x AS DOUBLE) / 1e18D",
-]
+FUNCTIONS = {"u256_mul": u.u256_mul, "u256_add": u.add_any, "u256_to_dec": u.u256_to_dec, "u256": u.u256, "format_ether": u.format_ether, "format_gwei": u.format_gwei, "erc20_to_real": u.real_any, "convert_usd": u.usd_any}
+SQL_FUNCTIONS = {
+    "u256_carry": "u256_carry(s ARRAY<BIGINT>) RETURNS BINARY RETURN CASE WHEN s[0] IS NULL THEN NULL ELSE unhex(substring(aggregate(s, named_struct('c', 0L, 'h', ''), (a, v) -> named_struct('c', shiftrightunsigned(v + a.c, 24), 'h', lpad(hex((v + a.c) & 16777215), 6, '0') || a.h),"
+    " a -> IF(a.c > 0 OR NOT startswith(a.h, '00'), CAST(raise_error('u256_sum exceeds 256 bits') AS STRING), a.h)), 3, 64)) END",
+    "format_usd": "format_usd(x DOUBLE) RETURNS STRING RETURN CASE WHEN x IS NOT NULL THEN '$' || format_string('%,.2f', x) END",
+    "wei_to_eth": "wei_to_eth(x STRING) RETURNS DOUBLE RETURN CAST(x AS DOUBLE) / 1e18D",
+}
+#: Built-in functions that reach beyond the query's rows.
+REFUSED = frozenset("reflect java_method try_reflect input_file_name input_file_block_start input_file_block_length current_user user session_user current_catalog current_database current_schema version".split())
 NAME = re.compile(r"resolve\(\s*'([^']*)'\s*\)", re.I)
 
 
@@ -27,35 +29,66 @@ class QueryError(ValueError):
     """A query that isn't allowed or whose parameters can't be filled in."""
 
 
+def _closed(sql: str, at: int) -> int:
+    """Where the bracket that opened before `at` is closed; brackets in quotes don't count."""
+    depth, quote = 1, ""
+    while at < len(sql):
+        c = sql[at]
+        if quote:
+            at += c == "\\"
+            quote = "" if c == quote else quote
+        elif c in "'\"`":
+            quote = c
+        else:
+            depth += {"(": 1, ")": -1}.get(c, 0)
+            if not depth:
+                return at
+        at += 1
+    raise QueryError("u256_sum( isn't closed")
+
+
 def expand_sums(sql: str) -> str:
-    """`u256_sum(x)` in terms of built-in sums of x's limbs, which aggregate partially."""
-    while m := re.search(r"\bu256_sum\s*\(", sql, re.I):
-        depth, at = 1, m.end()
-        while depth and at < len(sql):
-            depth += {"(": 1, ")": -1}.get(sql[at], 0)
-            at += 1
-        if depth:
-            raise QueryError("u256_sum( isn't closed")
-        inner = sql[m.end() : at - 1]
-        sql = f"{sql[: m.start()]}u256_carry(array({', '.join(f'sum(u256_limb({inner}, {i}))' for i in range(u.LIMBS))})){sql[at:]}"
+    """`u256_sum([DISTINCT] x) [FILTER (..)] [OVER ..]` in terms of built-in sums of x's limbs, which aggregate partially.
+
+    x may be an integer or bytes; a negative one raises. DISTINCT gathers a group's different values first."""
+    while m := re.search(r"\bu256_sum\s*\(\s*(DISTINCT\s+)?", sql, re.I):
+        end = _closed(sql, m.end())
+        inner, tail = sql[m.end() : end], ""
+        rest = end + 1
+        if f := re.compile(r"\s*FILTER\s*\(", re.I).match(sql, rest):
+            rest = _closed(sql, f.end()) + 1
+        if o := re.compile(r"\s*OVER\s*(\(|\w+)", re.I).match(sql, rest):
+            rest = _closed(sql, o.end()) + 1 if o[1] == "(" else o.end()
+        tail = sql[end + 1 : rest]
+        lifted = lambda x: f"IF(typeof({x}) <> 'binary' AND left(CAST({x} AS STRING), 1) = '-', CAST(raise_error('a negative number is no unsigned integer') AS STRING), lpad(hex({x}), {6 * u.SUM_LIMBS}, '0'))"
+        limb = lambda digits, i: f"CAST(conv(substring({digits}, {6 * (u.SUM_LIMBS - i) - 5}, 6), 16, 10) AS BIGINT)"
+        if m[1]:
+            values = f"collect_set({lifted(inner)}){tail}"
+            parts = [f"IF(size({values}) > 0, aggregate({values}, 0L, (a, v) -> a + {limb('v', i)}), NULL)" for i in range(u.SUM_LIMBS)]
+        else:
+            parts = [f"sum({limb(lifted(inner), i)}){tail}" for i in range(u.SUM_LIMBS)]
+        sql = f"{sql[: m.start()]}u256_carry(array({', '.join(parts)})){sql[rest:]}"
     return sql
 
 
 class Ledger:
-    """The tables that queries may read, as temporary views of the session, and the functions of the SQL surface.
+    """The tables that queries may read (transactions, logs, blocks, event tables), under their names, and the functions of the SQL surface.
 
     In a query, `:latest_block` is the newest block and `:native_token_price` the price of a coin; `resolve('name.eth')`
-    is the address that the names table (name, address) has. Values of these are parameters, never text of the query."""
+    is the address that the names table (name, address) has. Values of these are parameters, never text of the query.
+    Each ledger keeps its tables as views of its own, so several stand side by side in a session."""
 
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], names: DataFrame | None = None):
         self.spark, self.tables, self.names = spark, tables, names
+        self.views = {name: f"ledger_{uuid.uuid4().hex}_{i}" for i, name in enumerate(tables)}
         for name, df in tables.items():
-            df.createOrReplaceTempView(name)
+            df.createOrReplaceTempView(self.views[name])
         for name, f in FUNCTIONS.items():
-            self.spark.udf.register(name, f)
-        for text in SQL_FUNCTIONS:
-            self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {text}")
-        self.spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION convert_usd(wei BINARY, price DOUBLE) RETURNS DOUBLE RETURN erc20_to_real(wei, 18) * price")
+            spark.udf.register(name, f)
+        for text in SQL_FUNCTIONS.values():
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {text}")
+        builtin = {r[0].lower() for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect()}  # some hundred names
+        self.functions = (builtin - REFUSED) | set(FUNCTIONS) | set(SQL_FUNCTIONS) | {"u256_sum"}
 
     def latest_block(self) -> int | None:
         return head(self.tables["blocks"]) if "blocks" in self.tables else None
@@ -83,9 +116,10 @@ class Ledger:
             if native_token_price is None:
                 raise QueryError("the query needs a native token price")
             args["native_token_price"] = float(Decimal(str(native_token_price)))
-        sql = expand_sums(sql)
         self._guard(sql)
-        df = self.spark.sql(sql, args={k: F.lit(v) for k, v in args.items()} or None)
+        own = ", ".join(f"`{name}` AS (SELECT * FROM `{view}`)" for name, view in self.views.items())
+        df = self.spark.sql(f"WITH {own} SELECT * FROM (\n{expand_sums(sql)}\n)", args={k: F.lit(v) for k, v in args.items()} or None)
+        self._guard_relations(df._jdf.queryExecution().analyzed())
         if len(set(df.columns)) < len(df.columns):
             raise QueryError("an output name comes twice")
         if max_rows is not None:
@@ -95,18 +129,32 @@ class Ledger:
         return df
 
     def _guard(self, sql: str) -> None:
-        """What the parser makes of the text has to be a query over the known relations."""
+        """What the parser makes of the text has to be a query, of known functions."""
         plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
         text = plan.toString()
-        known = {*self.tables, *(m.lower() for m in re.findall(r"^\s*:?[\s+|-]*CTE \[([^\]]*)\]", text, re.M) for m in m.split(", "))}
         jvm = self.spark.sparkContext._jvm
         if isinstance_of(jvm, plan, "org.apache.spark.sql.catalyst.plans.logical.Command") or isinstance_of(jvm, plan, "org.apache.spark.sql.catalyst.plans.logical.ParsedStatement"):
             raise QueryError("only queries may run")
-        for relation in re.findall(r"UnresolvedRelation \[([^\]]*)\]", text):
-            if relation.lower() not in known:
-                raise QueryError(f"no such table: {relation}")
-        if re.search(r"\bUnresolved(TableValuedFunction|InlineTable)\b", text) or re.search(r"'(InsertInto|Create|Drop|Update|Delete|Merge)", text):
+        if re.search(r"Unresolved(TableValuedFunction|InlineTable|Identifier)|'(InsertInto|Create|Drop|Update|Delete|Merge)", text, re.I):
             raise QueryError("only queries over the ledger's tables may run")
+        for name in re.findall(r"'([A-Za-z_][\w.]*)\(", text):
+            if name.lower() not in self.functions:
+                raise QueryError(f"no such function: {name}")
+
+    def _guard_relations(self, plan) -> None:
+        """What the analyser made of it may read the ledger's views and nothing else."""
+        found = [plan]
+        while found:
+            node = found.pop()
+            kind = node.nodeName()
+            below = [x.apply(i) for x in (node.children(), node.subqueries()) for i in range(x.size())]
+            if kind == "View":
+                if node.desc().identifier().table() not in self.views.values():
+                    raise QueryError(f"no such table: {node.desc().identifier().table()}")
+                continue  # what the ledger's own view reads is its own matter
+            if node.children().isEmpty() and kind not in ("OneRowRelation", "CTERelationRef"):
+                raise QueryError("only the ledger's tables may be read")
+            found += below
 
 
 def isinstance_of(jvm, value, name: str) -> bool:

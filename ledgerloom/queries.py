@@ -476,6 +476,23 @@ def g4_named_account(spark, sf_dir):
     return _ledger(spark, sf_dir).query(f"SELECT COUNT(*) AS txs, u256_to_dec(u256_sum(value)) AS value FROM transactions WHERE from_address = resolve('{name}')")
 
 
+@query(sql(f"SELECT from_address, sum(gas_used)::BIGINT::VARCHAR AS gas, sum(CASE WHEN success = 0 THEN gas_used END)::BIGINT::VARCHAR AS failed, sum(DISTINCT value)::VARCHAR AS value, {sql_price('sum(gas_used)', PRICE)} AS usd FROM t_tx GROUP BY from_address"))
+def g6_sql_operands(spark, sf_dir):
+    """Integers as operands, sums of some rows and of different values."""
+    return _ledger(spark, sf_dir).query(
+        """SELECT lower(hex(from_address)) AS from_address, u256_to_dec(u256_sum(gas_used)) AS gas, u256_to_dec(u256_sum(gas_used) FILTER (WHERE success = 0)) AS failed, u256_to_dec(u256_sum(DISTINCT value)) AS value,
+        format_usd(convert_usd(sum(gas_used), :native_token_price)) AS usd FROM transactions GROUP BY from_address""",
+        native_token_price=PRICE,
+    )
+
+
+@query(sql("SELECT address, count(*) AS swaps, CAST(sum(swap0) AS VARCHAR) AS amount0 FROM t_logs WHERE swap0 IS NOT NULL GROUP BY address"))
+def g7_sql_event_table(spark, sf_dir):
+    """A declared event table in a query."""
+    logs = views.tables(spark, sf_dir).logs
+    return Ledger(spark, {"logs": logs, "swaps": ev.event_rows(logs, SWAPS)}).query("SELECT lower(hex(address)) AS address, COUNT(*) AS swaps, u256_to_dec(u256_sum(amount0)) AS amount0 FROM swaps GROUP BY address")
+
+
 @query(sql("SELECT from_address, count(*) AS txs, max(lower(regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g')) || '.eth') AS name FROM t_tx LEFT JOIN customer ON from_address = left(sha256('c' || c_custkey), 40) AND c_custkey % 3 = 0 GROUP BY from_address"))
 def g5_reverse_name(spark, sf_dir):
     sums = views.tables(spark, sf_dir).transactions.groupBy("from_address").agg(F.count("*").alias("txs"))

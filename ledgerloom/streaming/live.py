@@ -97,10 +97,8 @@ def index_blocks(store: LedgerStore, exports: str, fresh_blocks: DataFrame, meth
     some = lambda dataset: read_range(spark, exports, dataset, low, high).join(wanted, "block_number", "left_semi")
     store.append("logs", ingest.logs(some("logs"), events), r)
     for t in tables:
-        if store.events._exists(t.name):
+        if store.events.sync(t, store.table("logs")) == "unchanged":  # a table of another declaration raises
             store.events.append(t, store.table("logs", r), r)
-        else:
-            store.events.sync(t, store.table("logs"))
     store.append("transactions", ingest.transactions(some("transactions"), methods), r)
     store.append("blocks", ingest.blocks(fresh_blocks), r)
     return low, high, total - cached, cached

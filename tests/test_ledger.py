@@ -264,12 +264,43 @@ def test_queries(ledger):
     assert q("SELECT u256_to_dec(u256_mul(gas_used, effective_gas_price)) AS c, success FROM transactions ORDER BY 1 LIMIT 1", max_rows=1).first().c == "21000000000000"
 
 
-@pytest.mark.parametrize("bad", ["DROP TABLE transactions", "INSERT INTO transactions VALUES (1)", "CREATE TABLE x AS SELECT 1", "SELECT * FROM other", "SELECT * FROM parquet.`/tmp`", "SELECT 1 AS a, 2 AS a", "SELECT :native_token_price AS p", "SELECT resolve('bob.eth') AS a", "SELECT resolve('bob.com') AS a", "SELECT u256_sum(value FROM transactions", "SHOW TABLES", "SELECT (SELECT max(x) FROM secret) AS m", "SET a=b"])
-def test_refused_queries(ledger, bad):
+@pytest.mark.parametrize("bad", ["DROP TABLE transactions", "INSERT INTO transactions VALUES (1)", "CREATE TABLE x AS SELECT 1", "SELECT * FROM other", "SELECT * FROM parquet.`/tmp`", "SELECT 1 AS a, 2 AS a", "SELECT :native_token_price AS p", "SELECT resolve('bob.eth') AS a", "SELECT resolve('bob.com') AS a", "SELECT u256_sum(value FROM transactions", "SHOW TABLES", "SELECT (SELECT max(x) FROM secret) AS m", "SET a=b",
+    "SELECT * FROM IDENTIFIER('secret')", "SELECT * FROM secret", "WITH t AS (SELECT * FROM secret) SELECT * FROM t", "SELECT reflect('java.lang.System','getProperty','user.home') AS r FROM transactions",
+    "SELECT java_method('java.lang.System','getProperty','user.home') AS r FROM transactions", "SELECT IDENTIFIER('reflect')('java.lang.System','getProperty','user.home') AS r", "SELECT foreign_udf(gas_used) AS r FROM transactions", "SELECT * FROM range(5)",
+    "SELECT 1) UNION ALL (SELECT x FROM secret", "SELECT u256_sum(-gas_used) AS s FROM transactions"])
+def test_refused_queries(spark, ledger, bad):
+    spark.createDataFrame([(1,)], "x int").createOrReplaceTempView("secret")
+    spark.udf.register("foreign_udf", lambda x: x, "bigint")
     with pytest.raises((QueryError, PySparkException)):
         ledger.query(bad).collect()
 
 
+def test_operands_of_queries(spark, ledger):
+    more = spark.createDataFrame([(g, v, None if v is None else wide(v)) for g, v in (("a", 3), ("a", 3), ("a", 5), ("b", 2**63 - 1), ("b", 1), ("c", None))], "g string, n long, w binary")
+    own = Ledger(spark, {"logs": more, "blocks": blocks_of(spark, [9])})
+    for c in ("n", "w"):
+        rows = own.query(f"SELECT g, u256_to_dec(u256_sum({c})) AS s, u256_to_dec(u256_sum(DISTINCT {c})) AS d, u256_to_dec(u256_sum({c}) FILTER (WHERE n > 3)) AS f FROM logs GROUP BY g ORDER BY g").collect()
+        assert [tuple(r) for r in rows] == [("a", "11", "8", "5"), ("b", str(2**63), str(2**63), str(2**63 - 1)), ("c", None, None, None)]
+        over = own.query(f"SELECT g, n, u256_to_dec(u256_sum({c}) OVER (PARTITION BY g ORDER BY n)) AS s, u256_to_dec(u256_sum({c}) OVER w) AS t FROM logs WHERE g = 'a' WINDOW w AS (PARTITION BY g) ORDER BY n").collect()
+        assert [(r.s, r.t) for r in over] == [("6", "11"), ("6", "11"), ("11", "11")]
+    assert own.query("SELECT convert_usd(n, 2.5) AS a, convert_usd(w, 2.5) AS b FROM logs WHERE n = 5").first() == (5 / 10**18 * 2.5,) * 2
+    assert own.latest_block() == 9 and ledger.latest_block() == 5  # two ledgers side by side
+    assert ledger.query("SELECT count(*) AS n FROM blocks").first().n == 2 and own.query("SELECT count(*) AS n FROM blocks").first().n == 1
+    assert own.query("SELECT ')' AS a, u256_to_dec(u256_sum(CASE WHEN g = ')' THEN 0 ELSE n END)) AS s FROM logs WHERE g = 'a'").first().s == "11"
+
+
+def test_sums_of_very_many_rows(spark):
+    """Sums of limbs as they are past 2^31 rows a group, and the bound of 256 bits."""
+    most = 2**24 - 1
+    for n in (2**31 + 5, 2**38):
+        got = spark.range(1).select(u.carried_sums([F.lit(most * n).cast("long")] * 9 + [F.lit(0).cast("long")] * 2).alias("s")).first().s
+        assert int.from_bytes(got, "big") == sum(most * n << 24 * i for i in range(9))
+    df = spark.createDataFrame([(wide(2**256 - 1),), (b"\x05",), (None,)], "v binary")
+    assert bytes(df.where("v is null or length(v) > 1").select(u.u256_sum("v").alias("s")).first().s) == wide(2**256 - 1)
+    with pytest.raises(PySparkException):
+        df.select(u.u256_sum("v").alias("s")).collect()
+
+
 def test_row_limit(ledger):
     with pytest.raises(QueryError):
         ledger.query("SELECT * FROM blocks", max_rows=1)

@@ -55,14 +55,16 @@ def u256_sum(x: Column | str) -> Column:
 
 def carried_sums(parts: list[Column]) -> Column:
     """Sums of 24-bit limbs, lowest first, as 32 bytes; raises if they exceed 256 bits."""
-    out, carry = [], None
-    for p in parts:
-        t = p if carry is None else p + carry
-        out.append(F.lpad(F.hex(t.bitwiseAND(F.lit(0xFFFFFF))), 6, "0"))
-        carry = F.shiftrightunsigned(t, 24)
-    whole = F.concat(*reversed(out))
-    over = (carry > 0) | ~F.startswith(whole, F.lit("00"))
-    return F.when(over, F.raise_error(F.lit("u256_sum exceeds 256 bits")).cast("binary")).otherwise(F.unhex(F.substring(whole, 3, 64)))
+    # a fold names each sum once, where nested carries would repeat it
+    def add(a: Column, v: Column) -> Column:
+        t = v + a["carry"]
+        return F.struct(F.shiftrightunsigned(t, 24).alias("carry"), F.concat(F.lpad(F.hex(t.bitwiseAND(F.lit(0xFFFFFF))), 6, "0"), a["digits"]).alias("digits"))
+
+    def whole(a: Column) -> Column:
+        over = (a["carry"] > 0) | ~F.startswith(a["digits"], F.lit("00"))
+        return F.when(over, F.raise_error(F.lit("u256_sum exceeds 256 bits")).cast("binary")).otherwise(F.unhex(F.substring(a["digits"], 3, 64)))
+
+    return F.aggregate(F.array(*parts), F.struct(F.lit(0).cast("long").alias("carry"), F.lit("").alias("digits")), add, whole)
 
 
 def u256_add(a: Column | str, b: Column | str) -> Column:

@@ -171,18 +171,23 @@ def similar(pairs: DataFrame, info: DataFrame, docs: DataFrame, scratch: Scratch
     apart = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in longs), F.lit(0))
     may = pairs.join(left, "a").join(right, "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)").where(9 * apart <= F.col("na") + F.col("nb"))
     may = scratch.cut(may.select("a", "b", "x", "y"))
-    needed = may.select(F.col("a").alias("sid"), F.col("x").alias("row")).union(may.select("b", "y")).distinct()
+    needed = scratch.cut(may.select(F.col("a").alias("sid"), F.col("x").alias("row")).union(may.select("b", "y")).distinct())
+    # texts aren't moved: a bitmap of a bounded size tells each task which of its documents may be needed
+    table = docs.sparkSession.sparkContext.broadcast(decontaminate.bitmap(needed.select(F.xxhash64("row").alias("hash")), max(1, needed.count())))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(0).to_pylist()]
+            at = decontaminate.may_be(batch.column(0).to_numpy().view(np.uint64), table.value)
+            sets = [shingles(t) for t in batch.column(1).take(pa.array(at)).to_pylist()]
             yield pa.record_batch([pa.array(np.array([set_id(x) for x in sets], np.uint64).view(np.int64)), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["sid", "shingles"])
 
-    texts = docs.select(row_digest().alias("row"), text_bytes().alias("text")).join(needed.select("row").distinct(), "row", "left_semi").select("text")
-    own = texts.mapInArrow(work, "sid long, shingles array<long>").join(needed.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
+    own = docs.select(F.xxhash64(row_digest()), text_bytes()).mapInArrow(work, "sid long, shingles array<long>")
+    own = scratch.cut(own.join(needed.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]))
     both = may.select("a", "b").join(own.toDF("a", "left"), "a").join(own.toDF("b", "right"), "b")
     common = F.size(F.array_intersect("left", "right"))
-    return scratch.cut(both.where(9 * common >= 4 * (F.size("left") + F.size("right"))).select("a", "b"))
+    found = scratch.cut(both.where(9 * common >= 4 * (F.size("left") + F.size("right"))).select("a", "b"))
+    scratch.drop(own)
+    return found
 
 
 def set_components(docs: DataFrame, scratch: Scratch) -> DataFrame:

@@ -172,21 +172,37 @@ def similar(pairs: DataFrame, info: DataFrame, docs: DataFrame, scratch: Scratch
     may = pairs.join(left, "a").join(right, "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)").where(9 * apart <= F.col("na") + F.col("nb"))
     may = scratch.cut(may.select("a", "b", "x", "y"))
     needed = scratch.cut(may.select(F.col("a").alias("sid"), F.col("x").alias("row")).union(may.select("b", "y")).distinct())
-    # texts aren't moved: a bitmap of a bounded size tells each task which of its documents may be needed
+    # a bitmap of a bounded size tells each task which of its documents may be needed; their words move compressed, at a third of their hashes' bytes
     table = docs.sparkSession.sparkContext.broadcast(decontaminate.bitmap(needed.select(F.xxhash64("row").alias("hash")), max(1, needed.count())))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column(0).to_numpy().view(np.uint64)
+            at = decontaminate.may_be(hashes, table.value)
+            at = pa.array(at[np.unique(hashes[at], return_index=True)[1]])
+            lines = [b" ".join(t.lower().split()) for t in batch.column(2).take(at).to_pylist()]
+            packed = [pa.compress(x, codec="zstd", asbytes=True) for x in lines]
+            yield pa.record_batch([batch.column(1).take(at), pa.array([len(x) for x in lines], pa.int64()), pa.array(packed, pa.binary())], ["row", "size", "line"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            at = decontaminate.may_be(batch.column(0).to_numpy().view(np.uint64), table.value)
-            sets = [shingles(t) for t in batch.column(1).take(pa.array(at)).to_pylist()]
-            yield pa.record_batch([pa.array(np.array([set_id(x) for x in sets], np.uint64).view(np.int64)), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["sid", "shingles"])
-
-    own = docs.select(F.xxhash64(row_digest()), text_bytes()).mapInArrow(work, "sid long, shingles array<long>")
-    own = scratch.cut(own.join(needed.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]))
-    both = may.select("a", "b").join(own.toDF("a", "left"), "a").join(own.toDF("b", "right"), "b")
-    common = F.size(F.array_intersect("left", "right"))
-    found = scratch.cut(both.where(9 * common >= 4 * (F.size("left") + F.size("right"))).select("a", "b"))
-    scratch.drop(own)
+            keep = []
+            for b, n, line, m, other in zip(*(batch.column(c).to_pylist() for c in ("b", "n", "line", "m", "other")), strict=True):
+                if b != last:
+                    last, own = b, shingles(pa.decompress(line, n, codec="zstd", asbytes=True))
+                with_ = shingles(pa.decompress(other, m, codec="zstd", asbytes=True))
+                common = len(np.intersect1d(own, with_, assume_unique=True))
+                keep.append(9 * common >= 4 * (len(own) + len(with_)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    row = row_digest()
+    own = docs.select(F.xxhash64(row), row, text_bytes()).mapInArrow(pack, "row binary, size long, line binary")
+    own = scratch.cut(own.join(needed, "row").dropDuplicates(["row"]).select("sid", "size", "line"))
+    both = may.select("a", "b").join(own.toDF("a", "m", "other"), "a").join(own.toDF("b", "n", "line"), "b")
+    found = scratch.cut(both.select("a", "b", "n", "line", "m", "other").mapInArrow(compare, "a long, b long"))
+    for t in (own, may, needed):
+        scratch.drop(t)
     return found
 
 

@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import WORD, Scratch
+from ledgerloom.llm.common import WORD, Scratch, fresh, quoted
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2
@@ -128,7 +128,8 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 
     Rows with one doc_id come as often as the one of them that comes most often."""
     mix = mixture(docs, **how)
+    key, times, turn = fresh(docs, "id", "times", "turn")
     turns = mix.pieces.groupBy("src", "start", "doc_id", "size", "epoch").agg(F.sum("words").alias("words")).where("2 * words >= size")
-    times = turns.groupBy("src", "start", "doc_id").agg(F.count("*").cast("int").alias("n")).groupBy(F.col("doc_id").alias("__mixed_id")).agg(F.max("n").alias("__mixed_times"))
-    met = docs.join(times, docs["doc_id"].eqNullSafe(times["__mixed_id"]))
-    return met.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), times["__mixed_times"])).alias("__mixed_turn")).drop("__mixed_turn")
+    per = turns.groupBy("src", "start", "doc_id").agg(F.count("*").cast("int").alias("n")).groupBy(F.col("doc_id").alias(key)).agg(F.max("n").alias(times))
+    met = docs.join(per, F.col("doc_id").eqNullSafe(F.col(key)))
+    return met.withColumn(turn, F.explode(F.sequence(F.lit(1), times))).select(*quoted(docs.columns))

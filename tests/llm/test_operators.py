@@ -872,3 +872,12 @@ def test_pipeline(spark, tmp_path):
     assert len(set(places)) == len(places) and {s for s, _ in places} <= set(range(24))
     run = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(str, run.collect())) == sorted(map(str, after[4].collect()))
+
+
+def test_mixed_keeps_clashing_columns(spark):
+    rows = [(i, f"word{i} " * 40, "web", i, -i, 2 * i) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __mixed_turn int, _turn int, _id int")
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert got and all(r["__mixed_turn"] == r["doc_id"] and r["_turn"] == -r["doc_id"] and r["_id"] == 2 * r["doc_id"] for r in got)

@@ -18,9 +18,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import Scratch, fresh, from_planes, join_apart, known_id, parts_for, planes, quoted, row_digest, runs_of, text_bytes, total_bytes
@@ -248,8 +249,21 @@ def keep_first_similar(docs: DataFrame) -> DataFrame:
     fingerprints within four bits. Words are compared in lower case; texts without words, null ones among them, are one group; whole texts are
     compared whatever their length. A row without an id comes after those with one; among rows with one id, or without, that with the least digest
     of its text stays, and of rows that agree in id and text any one. All columns of docs come back unchanged; an empty table gives an empty result."""
-    row, turn = fresh(docs, "row", "turn")
-    found = set_components(docs, Scratch(docs.sparkSession))
-    gone = found.where((F.col("first.did") != F.col("did")) | (F.col("first.row") != F.col("row"))).select(F.col("row").alias(row)).distinct()
-    left = docs.withColumn(row, row_digest()).join(gone, row, "left_anti")
-    return left.withColumn(turn, F.row_number().over(Window.partitionBy(row).orderBy(F.lit(0)))).where(F.col(turn) == 1).select(*quoted(docs.columns))
+    row, touched, one = fresh(docs, "row", "touched", "one")
+    scratch = Scratch(docs.sparkSession)
+    found = set_components(docs, scratch)
+    goes = (F.col("first.did") != F.col("did")) | (F.col("first.row") != F.col("row"))
+    judged = scratch.cut(found.groupBy("row").agg(F.max(goes).alias("goes"), F.count("*").alias("n")).where("goes OR n > 1"))
+    # a bitmap of a bounded size tells which rows may go or stand there several times; only these are moved
+    table = docs.sparkSession.sparkContext.broadcast(decontaminate.bitmap(judged.select(F.xxhash64("row").alias("hash")), max(1, judged.count())))
+
+    @F.pandas_udf("boolean")
+    def may_be_judged(hashes: pd.Series) -> pd.Series:
+        out = np.zeros(len(hashes), bool)
+        out[decontaminate.may_be(hashes.to_numpy().view(np.uint64), table.value)] = True
+        return pd.Series(out)
+
+    rows = docs.withColumn(row, row_digest()).withColumn(touched, may_be_judged(F.xxhash64(row)))
+    moved = rows.where(F.col(touched)).groupBy(row).agg(F.any_value(F.struct(*quoted(docs.columns))).alias(one))
+    moved = moved.join(judged.where("goes").select(F.col("row").alias(row)), row, "left_anti")
+    return rows.where(~F.col(touched)).select(*quoted(docs.columns)).unionByName(moved.select(f"{one}.*"))

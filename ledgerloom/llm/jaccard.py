@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -257,11 +256,11 @@ def keep_first_similar(docs: DataFrame) -> DataFrame:
     # a bitmap of a bounded size tells which rows may go or stand there several times; only these are moved
     table = docs.sparkSession.sparkContext.broadcast(decontaminate.bitmap(judged.select(F.xxhash64("row").alias("hash")), max(1, judged.count())))
 
-    @F.pandas_udf("boolean")
-    def may_be_judged(hashes: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def may_be_judged(hashes: pa.Array) -> pa.Array:
         out = np.zeros(len(hashes), bool)
         out[decontaminate.may_be(hashes.to_numpy().view(np.uint64), table.value)] = True
-        return pd.Series(out)
+        return pa.array(out)
 
     rows = docs.withColumn(row, row_digest()).withColumn(touched, may_be_judged(F.xxhash64(row)))
     moved = rows.where(F.col(touched)).groupBy(row).agg(F.any_value(F.struct(*quoted(docs.columns))).alias(one))

@@ -83,7 +83,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 OFTEN = 1024
 
 
-def join_apart(rows: DataFrame, per: DataFrame, key: str, often: int | None = None) -> DataFrame:
+def join_apart(rows: DataFrame, per: DataFrame, key: str | list[str], often: int | None = None) -> DataFrame:
     """Inner join with a written table that has one row a key and, as n, how many rows have that key; n is left out.
 
     Keys with at least one in OFTEN of all rows, of which there can't be more than that number, are joined by broadcast, so

@@ -1,12 +1,15 @@
 """Unsigned 256-bit integers held as 32 big-endian bytes, whose byte order is their numeric order.
 
 What the work of large queries consists of (sums, additions, products of two longs, comparisons, hex)
-is made of built-in expressions on 32-bit limbs and keeps partial aggregation and code generation. Text of
-all 78 digits and full-width products use Arrow-batched functions; apply them after limits.
+is made of built-in expressions on limbs and keeps partial aggregation and code generation. So does decimal text of what
+lies below 2^126, by DECIMAL; larger values are turned into base 10^9 by a fold, which no other value goes through. Full-width
+products and the SQL surface's functions, whose operands may be integers or bytes, use Arrow-batched functions.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,6 +70,26 @@ def carried_sums(parts: list[Column]) -> Column:
     return F.aggregate(F.array(*parts), F.struct(F.lit(0).cast("long").alias("carry"), F.lit("").alias("digits")), add, whole)
 
 
+def product_limbs(a: Column, b: Column) -> list[Column]:
+    """The product of two non-negative longs as six longs below 2^27, which stand 24 bits apart, the lowest first, without carries."""
+    m, top = F.lit(0xFFFFFF), [F.shiftrightunsigned(x, 48) for x in (a, b)]
+    x, y = ([v.bitwiseAND(m), F.shiftrightunsigned(v, 24).bitwiseAND(m), t] for v, t in zip((a, b), top, strict=True))
+    out: list[list[Column]] = [[] for _ in range(6)]
+    for i in range(3):
+        for j in range(3):
+            out[i + j].append((x[i] * y[j]).bitwiseAND(m))
+            out[i + j + 1].append(F.shiftrightunsigned(x[i] * y[j], 24))
+    return [sum(p[1:], p[0]) for p in out]
+
+
+def sum_of_products(a: Column | str, b: Column | str) -> Column:
+    """u256_sum(mul_longs(a, b)) in long arithmetic alone: six sums of what the products have at each place, exact to 2^36 rows a group."""
+    a, b = _c(a).cast("long"), _c(b).cast("long")
+    least = F.when((a < 0) | (b < 0), F.raise_error(F.lit("a negative number is no unsigned integer")).cast("long"))
+    parts = product_limbs(a, b)
+    return carried_sums([F.sum(least.otherwise(parts[0])), *(F.sum(p) for p in parts[1:]), *[F.lit(0).cast("long")] * (SUM_LIMBS - 6)])
+
+
 def u256_add(a: Column | str, b: Column | str) -> Column:
     return _carried([x + y for x, y in zip(limbs(a), limbs(b), strict=True)], "u256_add")
 
@@ -114,6 +137,70 @@ def hex0x(x: Column | str) -> Column:
     return F.concat(F.lit("0x"), F.lower(F.hex(_c(x))))
 
 
+# --- decimal text ---
+
+_DIGITS, _GROUP = 9, 1_000_000_000
+
+
+def _narrow(x: Column) -> tuple[Column, Column]:
+    """Whether 32 bytes hold less than 2^126, and if so their value as DECIMAL(38,0)."""
+    digits = F.lpad(F.hex(x), 64, "0")
+    half = lambda at: F.conv(F.substring(digits, at, 16), 16, 10).cast("decimal(20,0)")
+    return F.substring(digits, 1, 33) < F.lit("0" * 32 + "4"), (half(33) * F.lit(Decimal(1 << 64)) + half(49)).cast("decimal(38,0)")
+
+
+def _wide(x: Column, more: tuple[int, int] = (0, 0)) -> Column:
+    """The value of 32 bytes, and what is added to its two lowest groups of nine digits, as 81 decimal digits."""
+    digits = F.lpad(F.hex(x), 64, "0")
+    words = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(digits, 8 * i + 1, F.lit(8)), 16, 10).cast("long"))
+
+    def step(groups: Column, word: Column) -> Column:
+        """groups * 2^32 + word, each group below 10^9, the lowest first."""
+        def carry(a: Column, g: Column) -> Column:
+            t = g * F.lit(1 << 32) + a["carry"]
+            return F.struct(F.floor(t / F.lit(_GROUP).cast("decimal(10,0)")).cast("long").alias("carry"), F.concat(a["done"], F.array(t % _GROUP)).alias("done"))
+
+        return F.aggregate(groups, F.struct(word.alias("carry"), F.array().cast("array<bigint>").alias("done")), carry, lambda a: a["done"])
+
+    groups = F.aggregate(words, F.array(*[F.lit(0).cast("long")] * _DIGITS), step)
+
+    def text(a: Column, g: Column) -> Column:
+        t = g + a["carry"] + F.when(a["at"] == 0, more[0]).when(a["at"] == 1, more[1]).otherwise(0)
+        whole = F.when(t >= _GROUP, 1).otherwise(0).cast("long")
+        return F.struct(whole.alias("carry"), (a["at"] + 1).alias("at"), F.concat(F.lpad((t % _GROUP).cast("string"), 9, "0"), a["text"]).alias("text"))
+
+    return F.aggregate(groups, F.struct(F.lit(0).cast("long").alias("carry"), F.lit(0).alias("at"), F.lit("").alias("text")), text, lambda a: a["text"])
+
+
+def u256_to_dec(x: Column | str) -> Column:
+    """Bytes as decimal text of up to 78 digits, by built-ins."""
+    x = _c(x)
+    narrow, value = _narrow(x)
+    long = F.ltrim(_wide(x), F.lit("0"))
+    return F.when(x.isNull(), F.lit(None)).when(narrow, value.cast("string")).otherwise(long)
+
+
+def _fixed_text(x: Column, unit: int, digits: int, name: str) -> Column:
+    """Bytes over 10^unit with so many digits after the point, rounded half up, and a name."""
+    half = 10 ** (unit - digits) // 2
+    narrow, value = _narrow(x)
+    text = F.when(narrow, (value + F.lit(half).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string")).otherwise(_wide(x, (half % _GROUP, half // _GROUP)))
+    padded = F.lpad(text, 81, "0")
+    whole = F.ltrim(F.substring(padded, 1, 80 - unit), F.lit("0"))
+    said = F.concat(whole, F.substring(padded, 81 - unit, 1), F.lit("."), F.substring(padded, 82 - unit, digits), F.lit(f" {name}"))
+    return F.when(x.isNotNull(), said)
+
+
+def format_ether(x: Column | str) -> Column:
+    """Bytes of wei as `X.XXXXXX ETH`, by built-ins."""
+    return _fixed_text(_c(x), 18, 6, "ETH")
+
+
+def format_gwei(x: Column | str) -> Column:
+    """Bytes of wei as `X.XX gwei`, by built-ins."""
+    return _fixed_text(_c(x), 9, 2, "gwei")
+
+
 # --- whole numbers in Python, in Arrow batches ---
 
 
@@ -166,7 +253,7 @@ def u256(x: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(T.StringType())
-def u256_to_dec(x: pa.Array) -> pa.Array:
+def dec_any(x: pa.Array) -> pa.Array:
     return pa.array([None if v is None else str(v) for v in _ints(x)], pa.string())
 
 
@@ -182,12 +269,12 @@ def wide_from_dec(text: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(T.StringType())
-def format_ether(x: pa.Array) -> pa.Array:
+def ether_any(x: pa.Array) -> pa.Array:
     return pa.array([_fixed(v, 18, 6, "ETH") for v in _ints(x)], pa.string())
 
 
 @F.arrow_udf(T.StringType())
-def format_gwei(x: pa.Array) -> pa.Array:
+def gwei_any(x: pa.Array) -> pa.Array:
     return pa.array([_fixed(v, 9, 2, "gwei") for v in _ints(x)], pa.string())
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.display import byte_size, convert_usd, format_usd
-from ledgerloom.functions.u256 import ZERO, erc20_to_real, format_ether, hex0x, mul_longs, u256_sum, u256_to_dec
+from ledgerloom.functions.u256 import ZERO, erc20_to_real, format_ether, hex0x, mul_longs, sum_of_products, u256_sum, u256_to_dec
 from ledgerloom.operators.coverage import Range, head, in_range, statistics
 
 DAY = 86_400
@@ -14,8 +14,11 @@ DAY = 86_400
 
 def recent(df: DataFrame, blocks: DataFrame, seconds: int = DAY, now: int | None = None) -> DataFrame:
     """Rows of blocks that are at most `seconds` old. Times rise with block numbers, so the bound becomes one on block_number, which prunes the scan."""
-    now = now if now is not None else blocks.agg(F.max("timestamp")).first()[0]
-    first = blocks.where(F.col("timestamp") >= (now or 0) - seconds).agg(F.min("block_number")).first()[0]
+    if now is None:  # in one job
+        newest = blocks.agg(F.max("timestamp").alias("now"))
+        first = blocks.join(F.broadcast(newest), F.col("timestamp") >= F.col("now") - seconds).agg(F.min("block_number")).first()[0]  # one row
+    else:
+        first = blocks.where(F.col("timestamp") >= now - seconds).agg(F.min("block_number")).first()[0]
     return df.where(F.col("block_number") >= (first if first is not None else 2**62))
 
 
@@ -28,8 +31,13 @@ def cost() -> Column:
     return mul_longs("gas_used", "effective_gas_price")
 
 
+def gas() -> Column:
+    """An aggregate: the sum of the costs."""
+    return sum_of_products("gas_used", "effective_gas_price")
+
+
 def account_gas(transactions: DataFrame, blocks: DataFrame, address: Column, price: float, seconds: int = DAY) -> DataFrame:
-    df = recent(transactions, blocks, seconds).where(F.col("from_address") == address).agg(F.count("*").alias("txs"), u256_sum(cost()).alias("__gas"))
+    df = recent(transactions, blocks, seconds).where(F.col("from_address") == address).agg(F.count("*").alias("txs"), gas().alias("__gas"))
     return df.select("txs", format_ether("__gas").alias("gas_spent_eth"), format_usd(convert_usd("__gas", price)).alias("gas_spent_usd"))
 
 
@@ -56,7 +64,7 @@ def top_methods(transactions: DataFrame, blocks: DataFrame, seconds: int = DAY,
 
 def method_gas(transactions: DataFrame, blocks: DataFrame, price: float, seconds: int = DAY, limit: int = 10) -> DataFrame:
     """The methods that burned most gas, with their calls."""
-    sums = recent(transactions, blocks, seconds).where("signature IS NOT NULL").groupBy("signature").agg(F.count("*").alias("calls"), u256_sum(cost()).alias("__gas"))
+    sums = recent(transactions, blocks, seconds).where("signature IS NOT NULL").groupBy("signature").agg(F.count("*").alias("calls"), gas().alias("__gas"))
     top = sums.orderBy(F.desc("__gas"), "signature").limit(limit)
     return top.select("signature", "calls", format_ether("__gas").alias("gas_eth"), format_usd(convert_usd("__gas", price)).alias("gas_usd"))
 

@@ -1,11 +1,17 @@
-"""Read-only SQL over the ledger's tables, with head, price and name parameters."""
+"""Read-only SQL over the ledger's tables, with head, price and name parameters.
+
+Spark's parser makes a tree of a query, and nothing here looks at the text but at places that the tree names. The tree tells
+which relations and functions a query has, which parameters it needs, and where in the text sums, products and names stand; these are
+written anew in terms of built-in functions, and Spark analyses the result."""
 
 from __future__ import annotations
 
-import re
 import uuid
+from collections.abc import Callable, Iterator
 from decimal import Decimal
+from typing import Any, NamedTuple
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,62 +19,203 @@ from ledgerloom.functions import u256 as u
 from ledgerloom.operators.coverage import head
 
 #: Functions of the SQL surface that take integers or bytes of any width.
-FUNCTIONS = {"u256_mul": u.u256_mul, "u256_add": u.add_any, "u256_to_dec": u.u256_to_dec, "u256": u.u256, "format_ether": u.format_ether, "format_gwei": u.format_gwei, "erc20_to_real": u.real_any, "convert_usd": u.usd_any}
+FUNCTIONS = {"u256_product": u.u256_mul, "u256_add": u.add_any, "u256_to_dec": u.dec_any, "u256": u.u256, "format_ether": u.ether_any, "format_gwei": u.gwei_any, "erc20_to_real": u.real_any, "convert_usd": u.usd_any}
 SQL_FUNCTIONS = {
-    "u256_carry": "u256_carry(s ARRAY<BIGINT>) RETURNS BINARY RETURN CASE WHEN s[0] IS NULL THEN NULL ELSE unhex(substring(aggregate(s, named_struct('c', 0L, 'h', ''), (a, v) -> named_struct('c', shiftrightunsigned(v + a.c, 24), 'h', lpad(hex((v + a.c) & 16777215), 6, '0') || a.h),"
-    " a -> IF(a.c > 0 OR NOT startswith(a.h, '00'), CAST(raise_error('u256_sum exceeds 256 bits') AS STRING), a.h)), 3, 64)) END",
     "format_usd": "format_usd(x DOUBLE) RETURNS STRING RETURN CASE WHEN x IS NOT NULL THEN '$' || format_string('%,.2f', x) END",
     "wei_to_eth": "wei_to_eth(x STRING) RETURNS DOUBLE RETURN CAST(x AS DOUBLE) / 1e18D",
 }
+#: Functions that are written anew before the query runs.
+REWRITTEN = ("u256_sum", "u256_mul", "resolve")
 #: Built-in functions that reach beyond the query's rows.
 REFUSED = frozenset("reflect java_method try_reflect input_file_name input_file_block_start input_file_block_length current_user user session_user current_catalog current_database current_schema version".split())
-NAME = re.compile(r"resolve\(\s*'([^']*)'\s*\)", re.I)
+#: What a parsed query may consist of; expressions other than these two kinds may be anything.
+PLANS = frozenset(
+    "Project Filter Aggregate Sort GlobalLimit LocalLimit Offset Distinct Union Intersect Except Join SubqueryAlias UnresolvedSubqueryColumnAliases UnresolvedWith UnresolvedHaving"
+    " UnresolvedRelation OneRowRelation WithWindowDefinition UnresolvedInlineTable LocalRelation Generate LateralJoin UnresolvedHint Pivot Unpivot".split()
+)
+REFUSED_EXPRESSIONS = frozenset("ExpressionWithUnresolvedIdentifier PlanWithUnresolvedIdentifier CallMethodViaReflection TryReflect CurrentUser InputFileName InputFileBlockStart InputFileBlockLength".split())
+#: Levels that a recursive query may ask for; without asking, Spark ends it after 100.
+MAX_LEVELS = 1000
 
 
 class QueryError(ValueError):
     """A query that isn't allowed or whose parameters can't be filled in."""
 
 
-def _closed(sql: str, at: int) -> int:
-    """Where the bracket that opened before `at` is closed; brackets in quotes don't count."""
-    depth, quote = 1, ""
-    while at < len(sql):
-        c = sql[at]
-        if quote:
-            at += c == "\\"
-            quote = "" if c == quote else quote
-        elif c in "'\"`":
-            quote = c
-        else:
-            depth += {"(": 1, ")": -1}.get(c, 0)
-            if not depth:
-                return at
-        at += 1
-    raise QueryError("u256_sum( isn't closed")
-
-
-def expand_sums(sql: str) -> str:
-    """`u256_sum([DISTINCT] x) [FILTER (..)] [OVER ..]` in terms of built-in sums of x's limbs, which aggregate partially.
-
-    x may be an integer or bytes; a negative one raises. DISTINCT gathers a group's different values first."""
-    while m := re.search(r"\bu256_sum\s*\(\s*(DISTINCT\s+)?", sql, re.I):
-        end = _closed(sql, m.end())
-        inner, tail = sql[m.end() : end], ""
-        rest = end + 1
-        if f := re.compile(r"\s*FILTER\s*\(", re.I).match(sql, rest):
-            rest = _closed(sql, f.end()) + 1
-        if o := re.compile(r"\s*OVER\s*(\(|\w+)", re.I).match(sql, rest):
-            rest = _closed(sql, o.end()) + 1 if o[1] == "(" else o.end()
-        tail = sql[end + 1 : rest]
-        lifted = lambda x: f"IF(typeof({x}) <> 'binary' AND left(CAST({x} AS STRING), 1) = '-', CAST(raise_error('a negative number is no unsigned integer') AS STRING), lpad(hex({x}), {6 * u.SUM_LIMBS}, '0'))"
-        limb = lambda digits, i: f"CAST(conv(substring({digits}, {6 * (u.SUM_LIMBS - i) - 5}, 6), 16, 10) AS BIGINT)"
-        if m[1]:
-            values = f"collect_set({lifted(inner)}){tail}"
-            parts = [f"IF(size({values}) > 0, aggregate({values}, 0L, (a, v) -> a + {limb('v', i)}), NULL)" for i in range(u.SUM_LIMBS)]
+class Node(NamedTuple):
+    """A node of the parsed tree, the one that it stands in, its class and whether it is a plan."""
+
+    tree: Any
+    above: Any
+    kind: str
+    plan: bool
+
+
+class Trees:
+    """Walks over trees of the JVM."""
+
+    def __init__(self, spark: SparkSession):
+        jvm = spark.sparkContext._jvm
+        load = lambda name: jvm.java.lang.Class.forName(name, False, jvm.Thread.currentThread().getContextClassLoader())
+        self.parser = spark._jsparkSession.sessionState().sqlParser()
+        self.tree = load("org.apache.spark.sql.catalyst.trees.TreeNode")
+        self.plan = load("org.apache.spark.sql.catalyst.plans.logical.LogicalPlan")
+
+    def parse(self, sql: str) -> Any:
+        return self.parser.parsePlan(sql)
+
+    def inside(self, value: Any) -> Iterator[Any]:
+        """The nodes in a constructor's argument: itself, or those of a sequence, map, option or tuple."""
+        if not isinstance(value, JavaObject):
+            return
+        name = value.getClass().getName()
+        if self.tree.isInstance(value):
+            yield value
+        elif name == "scala.Some":
+            yield from self.inside(value.get())
+        elif name.startswith("scala.Tuple"):
+            for i in range(value.productArity()):
+                yield from self.inside(value.productElement(i))
+        elif name.startswith("scala.collection."):
+            items = value.toSeq()
+            for i in range(items.size()):
+                yield from self.inside(items.apply(i))
+
+    def walk(self, tree: Any, above: Any = None) -> Iterator[Node]:
+        """A tree's nodes: plans, their expressions, and what subqueries, common tables and named windows hold."""
+        plan = self.plan.isInstance(tree)
+        kind = tree.getClass().getSimpleName().rstrip("$")
+        yield Node(tree, above, kind, plan)
+        if kind != "LocalRelation":  # literal rows
+            for i in range(tree.productArity()):
+                for x in self.inside(tree.productElement(i)):
+                    yield from self.walk(x, tree)
+
+
+def _list(seq: Any) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _span(tree: Any) -> tuple[int, int]:
+    """Where in the text a node stands."""
+    origin = tree.origin()
+    return origin.startIndex().get(), origin.stopIndex().get() + 1
+
+
+# --- sums and products in terms of built-in functions ---
+
+_BASE = 1 << 72
+
+
+def whole_sql(parts: list[str]) -> str:
+    """Longs that stand 24 bits apart, the lowest first, as 32 bytes; no function of functions is in it, so it may stand in ORDER BY as well."""
+    parts = parts + ["0L"] * (12 - len(parts))
+    three = [" + ".join(f"CAST({p} AS DECIMAL(19,0)) * {1 << 24 * i}BD" for i, p in enumerate(parts[k : k + 3]) if p != "0L") or "0BD" for k in range(0, 12, 3)]
+    digits, carry = [], ""
+    for k, d in enumerate(three):
+        t = f"({d}{carry})"
+        if k == 3:  # 256 - 3 * 72 bits
+            over = "CAST(raise_error('u256_sum exceeds 256 bits') AS STRING)"
+            digits.append(f"IF({t} >= {1 << 40}BD, {over}, lpad(hex(CAST({t} AS BIGINT)), 10, '0'))")
         else:
-            parts = [f"sum({limb(lifted(inner), i)}){tail}" for i in range(u.SUM_LIMBS)]
-        sql = f"{sql[: m.start()]}u256_carry(array({', '.join(parts)})){sql[rest:]}"
-    return sql
+            low = f"({t} % {_BASE}BD)"
+            digits.append(f"lpad(hex({low} div {1 << 36}BD), 9, '0') || lpad(hex(CAST({low} % {1 << 36}BD AS BIGINT)), 9, '0')")
+        carry = f" + CAST({t} div {_BASE}BD AS DECIMAL(20,0))"
+    return f"unhex({' || '.join(reversed(digits))})"
+
+
+def _limbs_sql(x: str) -> list[str]:
+    """The 24-bit limbs of an integer or bytes; a negative integer raises."""
+    sign = f"IF(typeof({x}) <> 'binary' AND left(CAST({x} AS STRING), 1) = '-', CAST(raise_error('a negative number is no unsigned integer') AS BIGINT), 0L)"
+    limb = lambda i: f"CAST(conv(substring(lpad(hex({x}), {6 * u.SUM_LIMBS}, '0'), {6 * (u.SUM_LIMBS - i) - 5}, 6), 16, 10) AS BIGINT)"
+    return [limb(i) + (f" + {sign}" if not i else "") for i in range(u.SUM_LIMBS)]
+
+
+def _integers_sql(a: str, b: str) -> str:
+    """Whether both are integers, which is settled before the query runs, so that the other branch leaves the plan."""
+    return " AND ".join(f"typeof({x}) IN ('tinyint', 'smallint', 'int', 'bigint')" for x in (a, b))
+
+
+def _product_sql(a: str, b: str) -> list[str]:
+    """The limbs of the product of two integers, without carries."""
+    ends = [f"CAST(CAST({x} AS STRING) AS BIGINT)" for x in (a, b)]  # through text, since bytes would be refused even where this isn't taken
+    cut = lambda x, i: f"(shiftrightunsigned({x}, {24 * i}) & 16777215L)"
+    places: list[list[str]] = [[] for _ in range(6)]
+    for i in range(3):
+        for j in range(3):
+            p = f"{cut(ends[0], i)} * {cut(ends[1], j)}"
+            places[i + j].append(f"({p} & 16777215L)")
+            places[i + j + 1].append(f"shiftrightunsigned({p}, 24)")
+    sign = f"IF({ends[0]} < 0 OR {ends[1]} < 0, CAST(raise_error('a negative number is no unsigned integer') AS BIGINT), 0L)"
+    places[0].append(sign)
+    return [f"({' + '.join(p)})" for p in places]
+
+
+class Rewriter:
+    """Writes a query's text anew where its tree has functions of REWRITTEN."""
+
+    def __init__(self, trees: Trees, sql: str, nodes: list[Node], names: Callable[[str], str]):
+        self.trees, self.sql, self.names = trees, sql, names
+        self.calls = {}
+        for n in nodes:
+            if n.kind == "UnresolvedFunction" and (name := _list(n.tree.nameParts())[-1].lower()) in REWRITTEN:
+                self.calls[_span(n.tree)] = (name, n)
+
+    def text(self, begin: int, end: int, but: tuple[int, int] | None = None) -> str:
+        """A stretch of the text with its outermost calls written anew; but: a call that stays as it is."""
+        out, at = [], begin
+        for a, b in sorted(self.calls, key=lambda s: (s[0], -s[1])):
+            if a >= at and b <= end and (a, b) != but:
+                out += [self.sql[at:a], self.call((a, b))]
+                at = b
+        return "".join(out) + self.sql[at:end]
+
+    def argument(self, tree: Any) -> str:
+        """An argument's text, written anew and in brackets; it has to be what the tree has there."""
+        a, b = _span(tree)
+        if self.trees.parser.parseExpression(self.sql[a:b]).toString() != tree.toString():
+            raise QueryError(f"can't tell the argument of a call near {self.sql[a:b]!r}")
+        return f"({self.text(a, b)})"
+
+    def call(self, span: tuple[int, int]) -> str:
+        name, node = self.calls[span]
+        args = _list(node.tree.arguments())
+        if len(args) != (2 if name == "u256_mul" else 1):
+            raise QueryError(f"{name} has a wrong number of arguments")
+        if name == "resolve":
+            if args[0].getClass().getSimpleName() != "Literal":
+                raise QueryError("resolve() takes a name in quotes")
+            return self.names(args[0].toString())
+        if name == "u256_mul":
+            a, b = map(self.argument, args)
+            return f"IF({_integers_sql(a, b)}, {whole_sql(_product_sql(a, b))}, u256_product({a}, {b}))"
+        return self.sum(node, args[0])
+
+    def sum(self, node: Node, arg: Any) -> str:
+        tail = ""
+        if node.tree.filter().isDefined():
+            tail += f" FILTER (WHERE {self.argument(node.tree.filter().get())})"
+        over = node.above.getClass().getSimpleName() if node.above is not None else ""
+        if over == "UnresolvedWindowExpression":
+            tail += f" OVER {node.above.productElement(1).name()}"
+        elif over == "WindowExpression":
+            a, b = _span(node.above.productElement(1))
+            tail += f" OVER {self.text(a, b)}"
+        of = lambda parts: whole_sql([f"sum({p}){tail}" for p in parts])
+        if node.tree.isDistinct():  # a group's different values first
+            first = self.argument(arg)
+            checked = f"IF(typeof({first}) <> 'binary' AND left(CAST({first} AS STRING), 1) = '-', CAST(raise_error('a negative number is no unsigned integer') AS STRING), hex({first}))"
+            zero = f"array({', '.join(['0L'] * u.SUM_LIMBS)})"
+            add = f"zip_with(a, array({', '.join(f"CAST(conv(substring(lpad(x, {6 * u.SUM_LIMBS}, '0'), {6 * (u.SUM_LIMBS - i) - 5}, 6), 16, 10) AS BIGINT)" for i in range(u.SUM_LIMBS))}), (p, q) -> p + q)"
+            values = f"aggregate(collect_set({checked}){tail}, {zero}, (a, x) -> {add})"
+            return f"IF(count({first}){tail} > 0, {whole_sql([f'get({values}, {i})' for i in range(u.SUM_LIMBS)])}, NULL)"
+        if arg.getClass().getSimpleName() == "UnresolvedFunction" and _span(arg) in self.calls and self.calls[_span(arg)][0] == "u256_mul":
+            ends = _list(arg.arguments())
+            if len(ends) == 2:
+                a, b = map(self.argument, ends)
+                longs = _integers_sql(*(f"max({x}){tail}" for x in (a, b)))  # aggregates, as ORDER BY of a grouped query knows nothing else
+                return f"IF({longs}, {of(_product_sql(a, b))}, {of(_limbs_sql(f'u256_product({a}, {b})'))})"
+        return of(_limbs_sql(self.argument(arg)))
 
 
 class Ledger:
@@ -76,19 +223,17 @@ class Ledger:
 
     In a query, `:latest_block` is the newest block and `:native_token_price` the price of a coin; `resolve('name.eth')`
     is the address that the names table (name, address) has. Values of these are parameters, never text of the query.
-    Each ledger keeps its tables as views of its own, so several stand side by side in a session."""
+    Several ledgers may stand side by side in a session; none leaves views there."""
 
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], names: DataFrame | None = None):
-        self.spark, self.tables, self.names = spark, tables, names
-        self.views = {name: f"ledger_{uuid.uuid4().hex}_{i}" for i, name in enumerate(tables)}
-        for name, df in tables.items():
-            df.createOrReplaceTempView(self.views[name])
+        self.spark, self.tables, self.names = spark, {k.lower(): v for k, v in tables.items()}, names
+        self.trees = Trees(spark)
         for name, f in FUNCTIONS.items():
             spark.udf.register(name, f)
         for text in SQL_FUNCTIONS.values():
             spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {text}")
         builtin = {r[0].lower() for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect()}  # some hundred names
-        self.functions = (builtin - REFUSED) | set(FUNCTIONS) | set(SQL_FUNCTIONS) | {"u256_sum"}
+        self.functions = (builtin - REFUSED) | set(FUNCTIONS) | set(SQL_FUNCTIONS) | set(REWRITTEN)
 
     def latest_block(self) -> int | None:
         return head(self.tables["blocks"]) if "blocks" in self.tables else None
@@ -102,24 +247,40 @@ class Ledger:
         return bytes(found["address"])
 
     def query(self, sql: str, latest_block: int | None = None, native_token_price: float | None = None, max_rows: int | None = None, args: dict | None = None) -> DataFrame:
-        """The result of a SELECT. Raises QueryError for commands, other relations, an output name that comes twice,
-        a parameter without a value, and, once max_rows is given, a larger result."""
-        args = dict(args or {})
-        for i, name in enumerate(dict.fromkeys(NAME.findall(sql))):
-            args[f"name_{i}"] = self.address_of(name)
-            sql = re.sub(rf"resolve\(\s*'{re.escape(name)}'\s*\)", f":name_{i}", sql, flags=re.I)
-        if ":latest_block" in sql:
+        """The result of a SELECT. Raises QueryError for commands, other relations, functions that reach beyond the rows, an output name that comes twice,
+        a parameter without a value, more levels of recursion than MAX_LEVELS and, once max_rows is given, a larger result."""
+        nodes = list(self.trees.walk(self.trees.parse(sql)))
+        self._guard(nodes)
+        args, named = dict(args or {}), {}
+
+        def name(text: str) -> str:
+            """The parameter that stands for a name's address."""
+            if text not in named:
+                named[text] = f"name_{len(named)}"
+                args[named[text]] = self.address_of(text)
+            return f":{named[text]}"
+
+        wanted = {n.tree.name() for n in nodes if n.kind == "NamedParameter"}
+        if "latest_block" in wanted:
             args["latest_block"] = latest_block if latest_block is not None else self.latest_block()
             if args["latest_block"] is None:
                 raise QueryError("there is no latest block")
-        if ":native_token_price" in sql:
+        if "native_token_price" in wanted:
             if native_token_price is None:
                 raise QueryError("the query needs a native token price")
             args["native_token_price"] = float(Decimal(str(native_token_price)))
-        self._guard(sql)
-        own = ", ".join(f"`{name}` AS (SELECT * FROM `{view}`)" for name, view in self.views.items())
-        df = self.spark.sql(f"WITH {own} SELECT * FROM (\n{expand_sums(sql)}\n)", args={k: F.lit(v) for k, v in args.items()} or None)
-        self._guard_relations(df._jdf.queryExecution().analyzed())
+        text = Rewriter(self.trees, sql, nodes, name).text(0, len(sql))
+        read = {_list(n.tree.multipartIdentifier())[0].lower() for n in nodes if n.kind == "UnresolvedRelation"}
+        views = {t: f"ledger_{uuid.uuid4().hex}" for t in self.tables if t in read}
+        try:
+            for t, view in views.items():
+                self.tables[t].createOrReplaceTempView(view)
+            own = ", ".join(f"`{t}` AS (SELECT * FROM `{view}`)" for t, view in views.items())
+            df = self.spark.sql(f"{'WITH ' + own if own else ''} SELECT * FROM (\n{text}\n)", args={k: F.lit(v) for k, v in args.items()} or None)
+        finally:
+            for view in views.values():
+                self.spark.catalog.dropTempView(view)
+        self._guard_relations(df._jdf.queryExecution().analyzed(), set(views.values()))
         if len(set(df.columns)) < len(df.columns):
             raise QueryError("an output name comes twice")
         if max_rows is not None:
@@ -128,34 +289,38 @@ class Ledger:
                 raise QueryError(f"the result has more than {max_rows} rows")
         return df
 
-    def _guard(self, sql: str) -> None:
-        """What the parser makes of the text has to be a query, of known functions."""
-        plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-        text = plan.toString()
-        jvm = self.spark.sparkContext._jvm
-        if isinstance_of(jvm, plan, "org.apache.spark.sql.catalyst.plans.logical.Command") or isinstance_of(jvm, plan, "org.apache.spark.sql.catalyst.plans.logical.ParsedStatement"):
-            raise QueryError("only queries may run")
-        if re.search(r"Unresolved(TableValuedFunction|InlineTable|Identifier)|'(InsertInto|Create|Drop|Update|Delete|Merge)", text, re.I):
-            raise QueryError("only queries over the ledger's tables may run")
-        for name in re.findall(r"'([A-Za-z_][\w.]*)\(", text):
-            if name.lower() not in self.functions:
+    def _guard(self, nodes: list[Node]) -> None:
+        """What the parser makes of the text has to be a query, of known functions, over relations that have a name of one part."""
+        for n in nodes:
+            if n.plan and n.kind not in PLANS:
+                raise QueryError(f"only queries over the ledger's tables may run ({n.kind})")
+            if n.kind in REFUSED_EXPRESSIONS:
+                raise QueryError(f"no such function ({n.kind})")
+            if n.kind == "UnresolvedRelation" and n.tree.multipartIdentifier().size() != 1:
+                raise QueryError("only the ledger's tables may be read")
+            name = None
+            if n.kind == "UnresolvedFunction":
+                name = ".".join(_list(n.tree.nameParts()))
+            elif n.kind == "UnresolvedGenerator":
+                name = n.tree.name().funcName()
+            if name is not None and name.lower() not in self.functions:
                 raise QueryError(f"no such function: {name}")
+            if n.kind == "UnresolvedWith":
+                for relation in _list(n.tree.cteRelations()):
+                    levels = relation.productElement(2) if relation.productArity() > 2 else None
+                    if levels is not None and levels.isDefined() and not 0 <= int(levels.get()) <= MAX_LEVELS:
+                        raise QueryError(f"a recursive query may have {MAX_LEVELS} levels")
 
-    def _guard_relations(self, plan) -> None:
-        """What the analyser made of it may read the ledger's views and nothing else."""
+    def _guard_relations(self, plan: Any, views: set[str]) -> None:
+        """What the analyser made of it may read the ledger's views, literal rows, common tables and their recursion, and nothing else."""
         found = [plan]
         while found:
             node = found.pop()
             kind = node.nodeName()
-            below = [x.apply(i) for x in (node.children(), node.subqueries()) for i in range(x.size())]
             if kind == "View":
-                if node.desc().identifier().table() not in self.views.values():
+                if node.desc().identifier().table() not in views:
                     raise QueryError(f"no such table: {node.desc().identifier().table()}")
                 continue  # what the ledger's own view reads is its own matter
-            if node.children().isEmpty() and kind not in ("OneRowRelation", "CTERelationRef"):
+            if node.children().isEmpty() and kind not in ("OneRowRelation", "CTERelationRef", "UnionLoopRef", "LocalRelation"):
                 raise QueryError("only the ledger's tables may be read")
-            found += below
-
-
-def isinstance_of(jvm, value, name: str) -> bool:
-    return jvm.java.lang.Class.forName(name, False, jvm.Thread.currentThread().getContextClassLoader()).isInstance(value)
+            found += _list(node.children()) + _list(node.subqueries())

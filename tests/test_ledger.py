@@ -61,6 +61,28 @@ def test_overflow_raises(spark):
         top.select(u.erc20_to_real("a", 78)).collect()
 
 
+def test_text_of_bytes_is_exact(spark, numbers):
+    """By built-ins for any width, on both sides of 2^126, with roundings that carry."""
+    values, _ = numbers
+    values = values + [2**126 - 1, 2**126, 10**38 - 1, 10**38, 999_999_500_000_000_000, 999_999_499_999_999_999, 10**77 - 1, 10**60 - 500_000_000_000, 10**60 - 500_000_000_001, 2**256 - 3 * 10**11, 5 * 10**6, 5 * 10**6 - 1, 10**40 - 5 * 10**6]
+    df = spark.createDataFrame([(i, wide(v)) for i, v in enumerate(values)] + [(-1, b"\xff"), (-2, b"")], "i long, x binary")
+    got = {r.i: r for r in df.select("i", u.u256_to_dec("x").alias("d"), u.format_ether("x").alias("e"), u.format_gwei("x").alias("g")).collect()}
+    for i, v in [*enumerate(values), (-1, 255), (-2, 0)]:
+        assert (got[i].d, got[i].e, got[i].g) == (None if v is None else str(v), u._fixed(v, 18, 6, "ETH"), u._fixed(v, 9, 2, "gwei"))
+    assert "Python" not in df.select(u.u256_to_dec("x"), u.format_ether("x"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sum_of_products(spark):
+    rng = random.Random(3)
+    pairs = [(rng.getrandbits(rng.randint(1, 63)), rng.getrandbits(rng.randint(1, 63))) for _ in range(300)] + [(2**63 - 1, 2**63 - 1)] * 3 + [(0, 5), (None, 3), (3, None)]
+    df = spark.createDataFrame([(i % 4, a, b) for i, (a, b) in enumerate(pairs)], "g int, a long, b long")
+    for r in df.groupBy("g").agg(u.sum_of_products("a", "b").alias("s")).collect():
+        assert int.from_bytes(r.s, "big") == sum(a * b for i, (a, b) in enumerate(pairs) if i % 4 == r.g and a is not None and b is not None)
+    assert df.where("a IS NULL").agg(u.sum_of_products("a", "b").alias("s")).first().s is None
+    with pytest.raises(PySparkException):
+        df.select(F.lit(-1).cast("long").alias("a"), "b").agg(u.sum_of_products("a", "b").alias("s")).collect()
+
+
 def test_products_and_text(spark, numbers):
     values, df = numbers
     assert [r[0] for r in df.orderBy("i").select(u.u256_to_dec("x")).collect()] == [None if v is None else str(v) for v in values]
@@ -275,6 +297,58 @@ def test_refused_queries(spark, ledger, bad):
         ledger.query(bad).collect()
 
 
+@pytest.mark.parametrize("f", ["reflect('java.lang.System','getProperty','user.home')", "java_method('java.lang.System','getProperty','user.home')", "IDENTIFIER('reflect')('java.lang.System','getProperty','user.home')", "input_file_name()"])
+def test_refused_functions_in_long_queries(ledger, f):
+    """Wherever they stand: texts of plans are cut, trees aren't."""
+    many = ", ".join(f"{i} AS c{i}" for i in range(60))
+    for bad in (f"SELECT {many}, {f} AS r FROM transactions", f"SELECT 1 AS a FROM transactions WHERE 'x' IN ({', '.join(f"'{i}'" for i in range(60))}, {f})", f"SELECT (SELECT max({f}) FROM blocks) AS a", f"WITH t AS (SELECT {f} AS x) SELECT * FROM t", f"SELECT 1 AS a FROM transactions ORDER BY {f}", f"SELECT sum(gas_used) OVER (PARTITION BY {f}) AS a FROM transactions", f"SELECT * FROM (VALUES (1)) LATERAL VIEW explode(array({f})) t AS x"):
+        with pytest.raises(QueryError):
+            ledger.query(bad)
+
+
+@pytest.mark.parametrize("bad", ["SELECT TRANSFORM(gas_used) USING 'cat' AS (x) FROM transactions", "WITH RECURSIVE t(n) MAX RECURSION LEVEL 100000 AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 5) SELECT * FROM t", "SELECT * FROM (WITH secret AS (SELECT 1 AS x) SELECT * FROM secret), secret", "SELECT resolve(from_address) AS a FROM transactions", "SELECT u256_sum(1, 2) AS a", "SELECT default.u256_sum(1) AS a", "FROM transactions INSERT INTO x SELECT *", "SELECT * FROM spark_catalog.default.transactions", "SELECT * FROM transactions LATERAL VIEW reflect('a', 'b') t AS x"])
+def test_more_refused_queries(spark, ledger, bad):
+    spark.createDataFrame([(1,)], "x int").createOrReplaceTempView("secret")
+    with pytest.raises((QueryError, PySparkException)):
+        ledger.query(bad).collect()
+
+
+def test_sums_anywhere_in_queries(spark):
+    """In ORDER BY, HAVING, FILTER and OVER, of products, nested in others; not in literals and comments."""
+    rng = random.Random(4)
+    rows = [(f"g{rng.randrange(6)}", rng.randrange(2**62), rng.randrange(2**62), rng.getrandbits(250)) for _ in range(80)] + [("g0", None, 4, None)]
+    own = Ledger(spark, {"logs": spark.createDataFrame([(g, a, b, wide(x)) for g, a, b, x in rows], "g string, a long, b long, x binary")})
+    sums = {g: (sum(a * b for h, a, b, _ in rows if h == g and a is not None), sum(x for h, *_, x in rows if h == g and x is not None), sum(x for h, a, _, x in rows if h == g and x is not None and a > 2**61)) for g in sorted({r[0] for r in rows})}
+    got = own.query("""SELECT g, u256_to_dec(u256_sum(u256_mul(a, b))) AS p, -- u256_sum(
+        u256_to_dec(u256_sum ( /* u256_sum(x) */ (x) ) FILTER (WHERE a > 2305843009213693952 AND g <> ')')) AS f, 'u256_sum(v)' AS l
+        FROM logs GROUP BY g ORDER BY u256_sum(u256_mul(a, b)) DESC, u256_sum(x), g""").collect()
+    assert [tuple(r) for r in got] == [(g, str(p), str(f) if f else None, "u256_sum(v)") for g, (p, _, f) in sorted(sums.items(), key=lambda kv: -kv[1][0])]
+    least = sorted(x for _, x, _ in sums.values())[2]
+    having = own.query("SELECT g FROM logs GROUP BY g HAVING u256_sum(x) >= unhex(:least) AND u256_sum(DISTINCT x) > X'00' ORDER BY g", args={"least": f"{least:064x}"}).collect()
+    assert [r.g for r in having] == [g for g in sorted(sums) if sums[g][1] >= least]
+    over = own.query("SELECT g, u256_to_dec(u256_sum(u256_add(a, x)) OVER (PARTITION BY substring(g, 1, 2))) AS s, u256_to_dec(u256_sum(b) OVER w) AS t FROM logs WINDOW w AS (PARTITION BY g)").collect()
+    assert {(r.g, r.s, r.t) for r in over} == {(g, str(sum(a + x for h, a, _, x in rows if h == g and a is not None)), str(sum(b for h, _, b, _ in rows if h == g))) for g in sums}
+    top = own.query("SELECT g, u256_to_dec(u256_mul(a, b)) AS p, u256_to_dec(u256_mul(X'02', b)) AS q FROM logs WHERE a IS NOT NULL ORDER BY u256_mul(a, b) DESC LIMIT 3").collect()
+    assert [(r.g, r.p, r.q) for r in top] == [(g, str(a * b), str(2 * b)) for g, a, b, _ in sorted(rows[:-1], key=lambda r: -r[1] * r[2])[:3]]
+    plan = own.query("SELECT g, u256_sum(u256_mul(a, b)) AS s FROM logs GROUP BY g ORDER BY u256_sum(u256_mul(a, b)) DESC")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("ledger_")]
+    with pytest.raises(PySparkException):
+        own.query("SELECT u256_sum(u256_mul(a, -1)) AS s FROM logs").collect()
+    with pytest.raises(PySparkException):
+        own.query("SELECT u256_sum(y) AS s FROM (SELECT explode(array(u256(1), unhex(repeat('ff', 32)))) AS y)").collect()
+
+
+def test_recursive_queries(ledger):
+    got = ledger.query("WITH RECURSIVE t(n, d) AS (SELECT min(block_number), 0 FROM blocks UNION ALL SELECT b.block_number, d + 1 FROM t JOIN blocks b ON b.block_number = n + 1) SELECT max(d) AS d, count(*) AS n FROM t").first()
+    assert tuple(got) == (1, 2)
+    deep = "WITH RECURSIVE t(n) {} AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 300) SELECT max(n) AS n FROM t"
+    assert ledger.query(deep.format("MAX RECURSION LEVEL 400")).first().n == 300
+    with pytest.raises(Exception, match="RECURSION"):  # Spark's own bound of levels
+        ledger.query(deep.format("")).collect()
+    assert [r.a for r in ledger.query("SELECT a FROM (VALUES (1), (2)) AS t(a) ORDER BY a").collect()] == [1, 2]
+
+
 def test_operands_of_queries(spark, ledger):
     more = spark.createDataFrame([(g, v, None if v is None else wide(v)) for g, v in (("a", 3), ("a", 3), ("a", 5), ("b", 2**63 - 1), ("b", 1), ("c", None))], "g string, n long, w binary")
     own = Ledger(spark, {"logs": more, "blocks": blocks_of(spark, [9])})

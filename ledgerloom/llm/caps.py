@@ -198,11 +198,13 @@ def _balls(live: DataFrame, distinct: DataFrame, scratch: Scratch, cosine: float
     return tried.where(within("vector", "centre")).groupBy("node").agg(F.min("key").alias("ball"))
 
 
-def _dealt(live: DataFrame, balls: DataFrame, scratch: Scratch, chunk: int) -> DataFrame:
+def _dealt(live: DataFrame, balls: DataFrame, scratch: Scratch, chunk: int, any_dense: bool) -> DataFrame:
     """node, ball, key, task, side: the vectors of each filter by tasks; in a task with sides 0 and 1 the pairs of vectors on either side are tried, else all.
 
     A filter that isn't dense is one task. The others' vectors are cut into chunks, those of each ball and the loose ones apart; each pair of chunks that
     aren't of one ball is a task, and so is each loose chunk."""
+    if not any_dense:
+        return live.select("node", F.lit(None).cast("long").alias("ball"), "key", F.lit(0).cast("long").alias("task"), F.lit(-1).alias("side"))
     part = ["key", "loose", "part"]
     named = live.join(balls, "node", "left").withColumn("loose", F.col("ball").isNull()).withColumn("part", F.coalesce("ball", F.lit(0)))
     named = scratch.cut(named)
@@ -326,8 +328,10 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, meet: float = MEET, ch
     filtered = scratch.cut(_filtered(distinct, cosine, meet))
     shared = scratch.cut(filtered.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("m", F.col("n")))
     live = scratch.cut(join_apart(filtered, shared, "key"))
-    balls = scratch.cut(_balls(live, distinct, scratch, cosine, chunk))
-    tried = _tried(scratch.cut(_dealt(live, balls, scratch, chunk)), distinct, live, scratch, cosine)
+    largest = shared.agg(F.max("m")).first()[0] or 0
+    dense = largest > chunk
+    balls = scratch.cut(_balls(live, distinct, scratch, cosine, chunk) if dense else spark.createDataFrame([], "node long, ball long"))
+    tried = _tried(scratch.cut(_dealt(live, balls, scratch, chunk, dense)), distinct, live, scratch, cosine)
     weighted = balls.join(distinct.select("node", "w"), "node")
     whole = scratch.cut(weighted.groupBy("ball").agg(F.min("node").alias("root"), F.sum("w").alias("all"), F.count("*").alias("n")))
     in_ball = scratch.cut(join_apart(weighted, whole, "ball"))

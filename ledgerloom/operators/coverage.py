@@ -9,9 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.display import utc_time
-
-#: Blocks of one bucket of the stored tables.
-BUCKET = 1000
+from ledgerloom.storage import BUCKET
 
 
 class Range(NamedTuple):
@@ -100,6 +98,13 @@ def gap_fill(blocks: DataFrame, keep: int | None = None) -> DataFrame:
     return contiguous_runs(missing_blocks(blocks, Range(low, high)))
 
 
+def files_of_gaps(files: DataFrame, runs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """The files (path, start, end) that have blocks of some runs (first, last). Both are cut into buckets of blocks and joined by these."""
+    parts = lambda df, a, b: df.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor(F.col(b) / bucket))))
+    met = parts(files, "start", "end").join(parts(runs.select("first", "last"), "first", "last"), "__bucket").where("start <= last AND end >= first")
+    return met.select(*files.columns).distinct()
+
+
 def statistics(transactions: DataFrame, logs: DataFrame, blocks: DataFrame) -> DataFrame:
     """One row: counts, first and last block with their times, missing blocks."""
     b = blocks.agg(F.min("block_number").alias("min_block"), F.max("block_number").alias("max_block"), F.min("timestamp").alias("__low"), F.max("timestamp").alias("__high"), F.count("*").alias("total_blocks"))

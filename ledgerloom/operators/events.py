@@ -7,9 +7,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom import schema
 from ledgerloom.operators.coverage import Range, in_range
+from ledgerloom.storage import BucketTable, Versions
 
 TYPES = ("address", "uint256", "bytes")
 IMPLICIT = ("block_number", "tx_index", "log_index", "address")
@@ -115,65 +117,115 @@ def populate(logs: DataFrame, table: EventTable, existing: DataFrame | None, r:
 
 
 def several(logs: DataFrame, tables: list[EventTable]) -> DataFrame:
-    """The logs that belong to any of the tables, each with the names of its tables: one scan for all of them."""
-    names = F.array_except(F.array(*[F.when(t.where(), F.lit(t.name)) for t in tables]), F.array(F.lit(None).cast("string")))
-    wanted = tables[0].where()
-    for t in tables[1:]:
-        wanted = wanted | t.where()
-    return logs.where(wanted).withColumn("event_tables", names)
+    """The logs that belong to any of the tables, each with the names of its tables: one scan for all of them.
 
+    The topic is compared once for each log, by a lookup; emitters only in tables that are limited to some."""
+    topics = {t.topic0.removeprefix("0x").lower() for t in tables}
+    of = F.lower(F.hex("topic0"))
+    by_topic = F.create_map(*[x for topic in sorted(topics) for x in (F.lit(topic), F.array(*[F.when(F.lit(True) if not t.addresses else F.col("address").isin([_hex(a, 20, "an address") for a in t.addresses]), F.lit(t.name)) for t in tables if t.topic0.removeprefix("0x").lower() == topic]))])
+    wanted = logs.where(F.col("topic0").isin([_hex(x, 32, "topic0") for x in sorted(topics)]))
+    named = wanted.withColumn("event_tables", F.array_compact(F.element_at(by_topic, of)))
+    return named.where(F.size("event_tables") > 0)
+
+
+def declarations(spark: SparkSession, tables: list[EventTable], chains: list[int]) -> DataFrame:
+    """event_table, chain_id, topic0: a row for each table and each of the chains that it applies to."""
+    rows = [(t.name, c, bytearray(_hex(t.topic0, 32, "topic0"))) for t in tables for c in chains if t.applies_to(c)]
+    return spark.createDataFrame(rows, "event_table string, chain_id int, topic0 binary")
 
-class EventStore:
-    """Event tables as Parquet folders under one root, with a table of their fingerprints."""
 
-    META = "name string, fingerprint string"
+def declared_logs(logs: DataFrame, declared: DataFrame) -> DataFrame:
+    """The logs (with chain_id, a partition column of a store) of declared tables, with event_table. The join prunes the folders of chains at run time."""
+    return logs.join(declared, ["chain_id", "topic0"])
+
+
+class EventStore:
+    """Event tables in buckets of blocks under one root; the versions of the store have their declarations and generations."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, versions: Versions | None = None, under: str = ""):
+        self.spark, self.versions, self.under = spark, versions or Versions(spark, root), under
 
-    def _path(self, name: str):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+    def _key(self, name: str) -> str:
+        return f"{self.under}{name}"
 
-    def _exists(self, name: str) -> bool:
-        fs, path = self._path(name)
-        return fs.exists(path)
+    def bucketed(self, table: str | EventTable, state: dict | None = None) -> BucketTable:
+        """The folder of a table, with the columns of its declaration or, by name, of the tracked one."""
+        if isinstance(table, EventTable):
+            own = [c.name for c in table.columns]
+        else:
+            own = (state or self.versions.read()[1])["tables"][self._key(table)]["columns"]
+        out = T.StructType()
+        for name in [*IMPLICIT, *own]:
+            out.add(name, T.LongType() if name in IMPLICIT and name != "address" else T.BinaryType())
+        return BucketTable(self.versions, self._key(table if isinstance(table, str) else table.name), out)
 
     def tracked(self) -> dict[str, str]:
-        """name -> fingerprint of the tables made here; one row a table."""
-        if not self._exists("_event_tables"):
-            return {}
-        return {r["name"]: r["fingerprint"] for r in self.spark.read.schema(self.META).json(f"{self.root}/_event_tables").collect()}
-
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
-
-    def sync(self, table: EventTable, logs: DataFrame) -> str:
-        """`created` with all rows of logs, or `unchanged`; a changed or foreign table of that name raises ValueError."""
-        own = self.spark.range(1).select(table.fingerprint()).first()[0]
-        was = self.tracked().get(table.name)
-        if was == own:
+        """name -> fingerprint of the tables made here."""
+        at = len(self.under)
+        return {k[at:]: v["fingerprint"] for k, v in self.versions.read()[1].get("tables", {}).items() if k.startswith(self.under)}
+
+    def table(self, name: str, chain: int | None = None, r: Range | None = None) -> DataFrame:
+        """A table's rows, of all chains or of one."""
+        state = self.versions.read()[1]
+        t = self.bucketed(name, state)
+        return t.read(state, r, chain).select(*t.kinds.fieldNames())
+
+    def _fingerprint(self, table: EventTable) -> str:
+        return self.spark.range(1).select(table.fingerprint()).first()[0]
+
+    def sync(self, table: EventTable, logs: DataFrame, chain: int = 1) -> str:
+        """`created` with all rows of a chain's logs, or `unchanged`; a changed or foreign table of that name raises ValueError."""
+        number, state = self.versions.read()
+        own, was = self._fingerprint(table), state.get("tables", {}).get(self._key(table.name))
+        if was and was["fingerprint"] == own and chain in was["chains"]:
             return "unchanged"
-        if was is not None or self._exists(table.name):
+        fs, path = self.versions.path(self.bucketed(table).folder)
+        if was and was["fingerprint"] != own:
             raise ValueError(f"{table.name} is there with another declaration: rebuild it")
-        self._make(table, logs, own)
+        if not was and fs.exists(path) and not all(x.getPath().getName().startswith(("chain_id=", "_", ".")) for x in fs.listStatus(path)):
+            raise ValueError(f"{table.name}: something else stands there: rebuild it")
+        gen = was["gen"] if was else number + 1  # what an attempt before has left is of no version
+        self.bucketed(table).clear(chain, gen)
+        self.bucketed(table).write(event_rows(logs, table), chain, gen)
+        self.versions.commit(number + 1, self._with(state, table, own, gen, [*(was["chains"] if was else []), chain]))
         return "created"
 
-    def rebuild(self, tables: list[EventTable], logs: DataFrame) -> None:
-        """Drop all tracked tables and those that stand where the given ones belong, and make the given ones anew."""
-        for name in {*self.tracked(), *(t.name for t in tables), "_event_tables"}:
-            fs, path = self._path(name)
-            fs.delete(path, True)
-        for t in tables:
-            self._make(t, logs, self.spark.range(1).select(t.fingerprint()).first()[0])
+    def _with(self, state: dict, table: EventTable, fingerprint: str, gen: int, chains: list[int]) -> dict:
+        entry = {"gen": gen, "fingerprint": fingerprint, "columns": [c.name for c in table.columns], "chains": chains}
+        gens = {k: v for k, v in state.get("gens", {}).items() if k != self._key(table.name)}
+        return {**state, "tables": {**state.get("tables", {}), self._key(table.name): entry}, "gens": gens}
+
+    def rebuild(self, tables: list[EventTable], logs: DataFrame | dict[int, DataFrame]) -> None:
+        """Make the given tables anew, and drop all other tracked ones. logs: of chain 1, or by chain.
 
-    def _make(self, table: EventTable, logs: DataFrame, fingerprint: str) -> None:
-        staged = f"_staged_{table.name}"
-        event_rows(logs, table).write.mode("overwrite").parquet(f"{self.root}/{staged}")
-        fs, path = self._path(staged)
-        fs.rename(path, self._path(table.name)[1])
-        self.spark.createDataFrame([(table.name, fingerprint)], self.META).coalesce(1).write.mode("append").json(f"{self.root}/_event_tables")
+        The new tables stand beside the old ones until a version names them all at once; the old ones go after that."""
+        number, state = self.versions.read()
+        by_chain = logs if isinstance(logs, dict) else {1: logs}
+        old = [k for k in state.get("tables", {}) if k.startswith(self.under)]
+        after = {**state, "tables": {k: v for k, v in state.get("tables", {}).items() if k not in old}, "gens": {k: v for k, v in state.get("gens", {}).items() if k not in old}}
+        for t in tables:
+            chains = [c for c in by_chain if t.applies_to(c)]
+            for c in chains:
+                self.bucketed(t).clear(c, number + 1)
+                self.bucketed(t).write(event_rows(by_chain[c], t), c, number + 1)
+            after = self._with(after, t, self._fingerprint(t), number + 1, chains)
+        self.versions.commit(number + 1, after)
+        for t in tables:
+            self.bucketed(t).sweep(after)
+            self._unknown(t)
+        for key in set(old) - set(after["tables"]):
+            fs, path = self.versions.path(f"{self.versions.root}/{key}")
+            fs.delete(path, True)
 
-    def append(self, table: EventTable, logs: DataFrame, r: Range) -> None:
-        populate(logs, table, self.table(table.name), r).write.mode("append").parquet(f"{self.root}/{table.name}")
+    def _unknown(self, table: EventTable) -> None:
+        """Delete what stands in a table's folder without being of it."""
+        fs, path = self.versions.path(self.bucketed(table).folder)
+        for x in fs.listStatus(path):
+            if not x.getPath().getName().startswith(("chain_id=", "_", ".")):
+                fs.delete(x.getPath(), True)
+
+    def append(self, table: EventTable, logs: DataFrame, r: Range, chain: int = 1) -> None:
+        """Add the rows of a range of a chain's logs that aren't there."""
+        state = self.versions.read()[1]
+        t = self.bucketed(table)
+        t.append(state, populate(logs, table, t.read(state, r, chain), r), chain, r)

@@ -759,7 +759,7 @@ def k4_progress(spark, sf_dir):
     return rounds.agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("new_blocks").alias("new_blocks"), F.sum("cached_blocks").alias("cached_blocks"))
 
 
-def write_exports(spark: SparkSession, e: views.Exports, folder: str, size: int) -> None:
+def write_exports(spark: SparkSession, e: views.Exports, folder: str, size: int, network: str = "ethereum") -> None:
     """Export files named by their block ranges, one for `size` blocks: written by partitions, then renamed."""
     jvm = spark.sparkContext._jvm
     for name in ("transactions", "logs", "blocks"):
@@ -773,5 +773,5 @@ def write_exports(spark: SparkSession, e: views.Exports, folder: str, size: int)
                 k = int(part.getPath().getName()[2:])
                 for f in fs.listStatus(part.getPath()):
                     if f.getPath().getName().startswith("part-"):
-                        fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(f"{folder}/ethereum__{name}__{k * size:08d}_to_{k * size + size - 1:08d}.parquet"))
+                        fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(f"{folder}/{network}__{name}__{k * size:08d}_to_{k * size + size - 1:08d}.parquet"))
         fs.delete(path, True)

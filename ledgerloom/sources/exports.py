@@ -37,9 +37,11 @@ def read_export(spark: SparkSession, dataset: str, paths: list[str], first: int
     return df if last is None else df.where(F.col("block_number") <= last)
 
 
-def read_range(spark: SparkSession, folder: str, dataset: str, first: int, last: int) -> DataFrame:
-    """An export's rows with blocks in [first, last], from the files whose names say that they have some."""
-    files = overlapping(manifest(spark, folder).where(F.col("dataset") == dataset), first, last).select("path").collect()  # one row a file of the range
+def read_range(spark: SparkSession, folder: str, dataset: str, first: int, last: int, network: str | None = None) -> DataFrame:
+    """An export's rows with blocks in [first, last], from the files whose names say that they have some; of one network, if one is given."""
+    named = manifest(spark, folder).where(F.col("dataset") == dataset)
+    named = named if network is None else named.where(F.col("network") == network)
+    files = overlapping(named, first, last).select("path").collect()  # one row a file of the range
     paths = sorted(r["path"] for r in files)
     return read_export(spark, dataset, paths, first, last) if paths else spark.createDataFrame([], EXPORTS[dataset])
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,6 +103,16 @@ def quoted(names: list[str]) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in names]
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts have about so many bytes, so that what a task holds doesn't depend on the length of rows; a longer text is alone."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(sizes) - sizes) // most
+        cuts = runs_of(part).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
+            yield batch.slice(a, b - a)
+
+
 def total_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
 

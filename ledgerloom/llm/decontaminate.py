@@ -23,12 +23,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Scratch, fresh, quoted, row_digest, runs_of, text_bytes
+from ledgerloom.llm.common import Scratch, by_bytes, fresh, quoted, row_digest, text_bytes
 
 WINDOW, LEAST_LITERAL = 8, 4
 #: The share of an item's words that a document must hold.
@@ -334,21 +334,13 @@ def bitmap(windows: DataFrame, n: int) -> np.ndarray:
     return np.frombuffer(b"".join(bytes(r["bits"]) for r in sorted(found)), np.uint8)
 
 
-def candidates(docs: DataFrame, bits: np.ndarray, lookups: list[tuple[int, int]]) -> DataFrame:
-    """row, doc_id, text and hashes (of windows that may be the benchmark's) of the documents that have some. lookups: what by and of what size."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            part = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False)) // (6 * BATCH)
-            cuts = runs_of(part).tolist()
-            for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
-                yield batch.slice(a, b - a)
+def candidates(docs: DataFrame, shared: Broadcast, lookups: list[tuple[int, int]]) -> DataFrame:
+    """row, doc_id, text and hashes (of windows that may be the benchmark's) of the documents that have some. shared: their bitmap; lookups: what by and of what size."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, known = shared.value, Words()
         by_template, by_literal = ({s for b, s in lookups if (b == VERBATIM) == v} for v in (False, True))
-        for batch in blocks(batches):
+        for batch in by_bytes(batches, 2, 6 * BATCH):
             known.forget()
             t = templates(batch.column(2).to_pylist(), known)
             hashes = {False: window_hashes(t.words, by_template), True: window_hashes(t.literal, by_literal)}
@@ -382,7 +374,9 @@ def matched_rows(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window
     lookups = sorted((r["by"], r["size"]) for r in windows.select("by", "size").distinct().collect())  # a few for each size up to a window
     if not n:
         return docs.sparkSession.createDataFrame([], schema)
-    found = scratch.cut(candidates(docs, bitmap(windows, n), lookups), "zstd")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(windows, n))
+    found = scratch.cut(candidates(docs, shared, lookups), "zstd")
+    shared.unpersist()
     small = F.broadcast if n <= FEW_ROWS else lambda df: df
     light = F.broadcast if items.agg(F.sum(F.octet_length("item_text"))).first()[0] <= FEW_BYTES else lambda df: df
     pairs = found.select("row", F.explode("hashes").alias("hash")).join(small(windows.select("item", "hash").distinct()), "hash").select("row", "item").distinct()

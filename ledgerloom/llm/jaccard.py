@@ -20,17 +20,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Scratch, fresh, from_planes, join_apart, known_id, parts_for, planes, quoted, row_digest, runs_of, text_bytes, total_bytes
+from ledgerloom.llm.common import Scratch, by_bytes, fresh, from_planes, join_apart, known_id, parts_for, planes, quoted, row_digest, runs_of, text_bytes, total_bytes
 from ledgerloom.llm.components import components
 from ledgerloom.llm import decontaminate
 from ledgerloom.llm.simhash import fingerprint, links
 
 SHINGLE = 5
-#: One in so many documents is counted; shingles that so many of these have are frequent, and more and more so.
-COUNTED, LEVELS = 8, (3, 12, 48, 192)
+#: One in so many documents is counted; shingles that LEVEL of these have are frequent, and with STEP times as many more so.
+COUNTED, LEVEL, STEP = 8, 3, 4
 #: Longs of a bitmap.
 LONGS = 8
 PART_BYTES = 32 << 20
@@ -51,11 +52,11 @@ def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
 
 
 def frequent(docs: DataFrame, scratch: Scratch) -> list[np.ndarray]:
-    """For each of LEVELS a bitmap of the shingles that so many of the counted documents have, by exact counts; each is of a bounded size."""
+    """For LEVEL, STEP times that and so on up to the largest count a bitmap of the shingles that so many of the counted documents have, by exact counts; each is of a bounded size."""
     buckets = parts_for(docs.sparkSession, total_bytes(docs) // COUNTED, PART_BYTES)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 0):
             lists = [shingles(t) for t in batch.column(0).to_pylist()]
             own, n = np.unique(np.concatenate(lists), return_counts=True) if lists else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             rows = np.zeros(len(own), COUNT)
@@ -71,15 +72,16 @@ def frequent(docs: DataFrame, scratch: Scratch) -> list[np.ndarray]:
         rows = rows[np.argsort(rows["shingle"], kind="stable")]
         s = runs_of(rows["shingle"])
         n = np.add.reduceat(rows["n"].astype(np.int64), s) if len(s) else np.zeros(0, np.int64)
-        keep = n >= LEVELS[0]
+        keep = n >= LEVEL
         return pa.table({"hash": rows["shingle"][s][keep].copy().view(np.int64), "n": n[keep]})
 
     some = docs.where(F.pmod(F.xxhash64(known_id()), F.lit(COUNTED)) == 0).select(text_bytes())
     counts = scratch.cut(some.mapInArrow(work, "bucket long, rows binary").groupBy("bucket").applyInArrow(add, "hash long, n long"))
     out = []
-    for level in LEVELS:
-        if n := counts.where(F.col("n") >= level).count():
-            out.append(decontaminate.bitmap(counts.where(F.col("n") >= level), n))
+    level = LEVEL
+    while n := counts.where(F.col("n") >= level).count():  # their number grows with the logarithm of the largest count
+        out.append(decontaminate.bitmap(counts.where(F.col("n") >= level), n))
+        level *= STEP
     return out
 
 
@@ -93,13 +95,12 @@ def bitmap(own: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def shingle_sets(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """row (of common.row_digest), did, fp (the SimHash), sid (a hash of the set), n, prefix (the shingles that it stands with) and the bitmap's longs of every document."""
-    levels = docs.sparkSession.sparkContext.broadcast(frequent(docs, scratch))
+def shingle_sets(docs: DataFrame, levels: Broadcast) -> DataFrame:
+    """levels: what frequent() gives. row (of common.row_digest), did, fp (the SimHash), sid (a hash of the set), n, prefix (the shingles that it stands with) and the bitmap's longs of every document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = levels.value
-        for batch in batches:
+        for batch in by_bytes(batches, 2):
             fps, sids, sizes, prefixes, maps = [], [], [], [], []
             for t in batch.column(2).to_pylist():
                 own = shingles(t)
@@ -176,7 +177,7 @@ def similar(pairs: DataFrame, info: DataFrame, docs: DataFrame, scratch: Scratch
     table = docs.sparkSession.sparkContext.broadcast(decontaminate.bitmap(needed.select(F.xxhash64("row").alias("hash")), max(1, needed.count())))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 2):
             hashes = batch.column(0).to_numpy().view(np.uint64)
             at = decontaminate.may_be(hashes, table.value)
             at = pa.array(at[np.unique(hashes[at], return_index=True)[1]])
@@ -199,6 +200,7 @@ def similar(pairs: DataFrame, info: DataFrame, docs: DataFrame, scratch: Scratch
     row = row_digest()
     own = docs.select(F.xxhash64(row), row, text_bytes()).mapInArrow(pack, "row binary, size long, line binary")
     own = scratch.cut(own.join(needed, "row").dropDuplicates(["row"]).select("sid", "size", "line"))
+    table.unpersist()
     both = may.select("a", "b").join(own.toDF("a", "m", "other"), "a").join(own.toDF("b", "n", "line"), "b")
     found = scratch.cut(both.select("a", "b", "n", "line", "m", "other").mapInArrow(compare, "a long, b long"))
     for t in (own, may, needed):
@@ -209,7 +211,9 @@ def similar(pairs: DataFrame, info: DataFrame, docs: DataFrame, scratch: Scratch
 def set_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """row, did and first of every document: did and row of the first document that it reaches over equal or similar sets and over fingerprints within four bits."""
     spark = docs.sparkSession
-    sets = scratch.cut(shingle_sets(docs, scratch))
+    levels = spark.sparkContext.broadcast(frequent(docs, scratch))
+    sets = scratch.cut(shingle_sets(docs, levels))
+    levels.unpersist()
     # equal fingerprints, and those within four bits
     fps = scratch.cut(sets.groupBy("fp").agg(F.min("sid").alias("one")))
     same = sets.select("sid", "fp").distinct().join(fps, "fp").select(F.col("sid").alias("a"), F.col("one").alias("b")).where("a <> b")

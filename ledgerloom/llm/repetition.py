@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import text_bytes
+from ledgerloom.llm.common import by_bytes, text_bytes
 
 MIN_WORDS, MAX_REPEAT_PERCENT, NGRAM = 50, 50, 3
 #: Words from which on a repeat counts; the covered share of words and the longest repeat that a text may have.
@@ -152,7 +152,7 @@ def quality(docs: DataFrame, repeat: int = REPEAT, max_covered: float = MAX_COVE
     over BATCH words by itself; repeated rows, ties and null ids are rows like others; an empty table gives an empty result; other columns aren't read."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             rows = measure(batch.column(1).to_pylist(), repeat)
             yield pa.record_batch([batch.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(7))], [c.split()[0] for c in SCHEMA.split(", ")])
 
@@ -169,13 +169,15 @@ def passes(row: tuple[int, ...], max_covered: float, max_longest: int) -> bool:
 
 
 def keep_good(docs: DataFrame, repeat: int = REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
-    """The rows of docs that quality() keeps, with all their columns. Each row is judged by its own text, whatever its id, where it stands."""
-    at = docs.columns.index("text")
+    """The rows of docs that quality() keeps, with all their columns, whatever these are called. Each row is judged by its own text, whatever its id, where it stands;
+    rows are taken in slices of some megabytes. Null and empty texts fail; an empty table gives an empty result."""
+    at, names = docs.columns.index("text"), [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)  # names with dots or quotes would be read as paths
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at).cast(pa.binary()).to_pylist()
+        for some in by_bytes(batches, at):
+            texts = some.column(at).cast(pa.binary()).to_pylist()
             good = [passes(r, max_covered, max_longest) for r in measure([t or b"" for t in texts], repeat)]
-            yield batch.filter(pa.array(good, pa.bool_()))
+            yield some.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return plain.mapInArrow(work, plain.schema).toDF(*docs.columns)

@@ -295,3 +295,18 @@ def test_near_vectors_sql(spark, tmp_path):
     names = ["vec_id", "code", "error", "label_error", "codebooks_sha256"]
     got = sorted(tuple(r) for r in queries.op11_vector_codes(spark, str(tmp_path)).select(names).collect())
     assert got == sorted(con.execute(f"SELECT {', '.join(names)} FROM ({queries.VECTOR_CODES_SQL})").fetchall())
+
+
+# --- the pipeline's first stage ---
+
+
+def test_keep_good_whatever_columns_are_called(spark):
+    """Names with dots and quotes, texts of several slices, no rows at all."""
+    from ledgerloom.llm.repetition import keep_good
+
+    clean = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, clean if i % 2 else "too short", i, "x") for i in range(9)] + [(90, " ".join(f"v{i}" for i in range(900_000)), 1, None), (91, None, 2, None), (None, clean, 3, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, `c``d` string").coalesce(1)
+    got = keep_good(df)
+    assert got.schema.names == df.schema.names and sorted((r[0] is None, r[0] or 0, r[2]) for r in got.collect()) == [(False, i, i) for i in (1, 3, 5, 7)] + [(False, 90, 1), (True, 0, 3)]
+    assert keep_good(df.limit(0)).collect() == []

@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Scratch, by_bytes, fresh, quoted, row_digest, text_bytes
+from ledgerloom.llm.common import Scratch, by_bytes, fresh, frugal, quoted, row_digest, text_bytes
 
 WINDOW, LEAST_LITERAL = 8, 4
 #: The share of an item's words that a document must hold.
@@ -361,7 +361,7 @@ def candidates(docs: DataFrame, shared: Broadcast, lookups: list[tuple[int, int]
             taken = batch.take(pa.array(own, pa.int64()))
             yield pa.record_batch([*taken.columns, pa.array(lists, pa.list_(pa.int64()))], ["row", "doc_id", "text", "hashes"])
 
-    return docs.select(row_digest().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(work, "row binary, doc_id long, text binary, hashes array<long>")
+    return docs.select(row_digest().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(frugal(work), "row binary, doc_id long, text binary, hashes array<long>")
 
 
 def matched_rows(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int = WINDOW, least_covered: float = LEAST_COVERED) -> DataFrame:
@@ -396,7 +396,7 @@ def matched_rows(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window
             kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_()]
             yield pa.record_batch([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], [c.split()[0] for c in schema.split(", ")])
 
-    return scratch.cut(met.mapInArrow(work, schema))
+    return scratch.cut(met.mapInArrow(frugal(work), schema))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_covered: float = LEAST_COVERED) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Scratch, by_bytes, fresh, from_planes, join_apart, known_id, parts_for, planes, quoted, row_digest, runs_of, text_bytes, total_bytes
+from ledgerloom.llm.common import Scratch, by_bytes, fresh, from_planes, frugal, join_apart, known_id, parts_for, planes, quoted, row_digest, runs_of, text_bytes, total_bytes, trim
 from ledgerloom.llm.components import components
 from ledgerloom.llm import decontaminate
 from ledgerloom.llm.simhash import fingerprint, links
@@ -76,7 +76,7 @@ def frequent(docs: DataFrame, scratch: Scratch) -> list[np.ndarray]:
         return pa.table({"hash": rows["shingle"][s][keep].copy().view(np.int64), "n": n[keep]})
 
     some = docs.where(F.pmod(F.xxhash64(known_id()), F.lit(COUNTED)) == 0).select(text_bytes())
-    counts = scratch.cut(some.mapInArrow(work, "bucket long, rows binary").groupBy("bucket").applyInArrow(add, "hash long, n long"))
+    counts = scratch.cut(some.mapInArrow(frugal(work), "bucket long, rows binary").groupBy("bucket").applyInArrow(add, "hash long, n long"))
     out = []
     level = LEVEL
     while n := counts.where(F.col("n") >= level).count():  # their number grows with the logarithm of the largest count
@@ -120,7 +120,7 @@ def shingle_sets(docs: DataFrame, levels: Broadcast) -> DataFrame:
             fixed = [pa.array(c, pa.int64()) for c in columns]
             yield pa.record_batch([batch.column(0), batch.column(1), *fixed[:2], pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary()), *fixed[2:]], ["row", "did", "fp", "sid", "n", "prefix", *(f"m{i}" for i in range(LONGS))])
 
-    return docs.select(row_digest().alias("row"), known_id().alias("did"), text_bytes()).mapInArrow(work, "row binary, did long, fp long, sid long, n int, prefix binary, " + ", ".join(f"m{i} long" for i in range(LONGS)))
+    return docs.select(row_digest().alias("row"), known_id().alias("did"), text_bytes()).mapInArrow(frugal(work), "row binary, did long, fp long, sid long, n int, prefix binary, " + ", ".join(f"m{i} long" for i in range(LONGS)))
 
 
 def meeting(sets: DataFrame, buckets: int) -> DataFrame:
@@ -158,9 +158,10 @@ def meeting(sets: DataFrame, buckets: int) -> DataFrame:
         keep = np.repeat(sizes > 1, sizes)
         rows, least, low, high, later = rows[keep], least[keep], low[keep], high[keep], later[keep]
         own = {c: np.ascontiguousarray(rows[c]) for c in ("shingle", "sid", "n", "rest")}
+        trim()
         return pa.table({**own, "shingle": own["shingle"].view(np.int64), "least": least, "low": low, "high": high, "next": later})
 
-    dealt = sets.select("sid", "n", "prefix").mapInArrow(deal, "bucket long, rows binary")
+    dealt = sets.select("sid", "n", "prefix").mapInArrow(frugal(deal), "bucket long, rows binary")
     return dealt.groupBy("bucket").applyInArrow(meet, "shingle long, sid long, n int, rest int, least int, low long, high long, next long")
 
 
@@ -198,11 +199,11 @@ def similar(pairs: DataFrame, info: DataFrame, docs: DataFrame, scratch: Scratch
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     row = row_digest()
-    own = docs.select(F.xxhash64(row), row, text_bytes()).mapInArrow(pack, "row binary, size long, line binary")
+    own = docs.select(F.xxhash64(row), row, text_bytes()).mapInArrow(frugal(pack), "row binary, size long, line binary")
     own = scratch.cut(own.join(needed, "row").dropDuplicates(["row"]).select("sid", "size", "line"))
     table.unpersist()
     both = may.select("a", "b").join(own.toDF("a", "m", "other"), "a").join(own.toDF("b", "n", "line"), "b")
-    found = scratch.cut(both.select("a", "b", "n", "line", "m", "other").mapInArrow(compare, "a long, b long"))
+    found = scratch.cut(both.select("a", "b", "n", "line", "m", "other").mapInArrow(frugal(compare), "a long, b long"))
     for t in (own, may, needed):
         scratch.drop(t)
     return found

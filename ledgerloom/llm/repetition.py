@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import by_bytes, text_bytes
+from ledgerloom.llm.common import by_bytes, frugal, text_bytes
 
 MIN_WORDS, MAX_REPEAT_PERCENT, NGRAM = 50, 50, 3
 #: Words from which on a repeat counts; the covered share of words and the longest repeat that a text may have.
@@ -156,7 +156,7 @@ def quality(docs: DataFrame, repeat: int = REPEAT, max_covered: float = MAX_COVE
             rows = measure(batch.column(1).to_pylist(), repeat)
             yield pa.record_batch([batch.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(7))], [c.split()[0] for c in SCHEMA.split(", ")])
 
-    df = docs.select(F.col("doc_id").cast("long"), text_bytes()).mapInArrow(work, SCHEMA)
+    df = docs.select(F.col("doc_id").cast("long"), text_bytes()).mapInArrow(frugal(work), SCHEMA)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     good = (F.col("n_covered") <= F.lit(max_covered) * F.col("n_words")) & (F.col("longest") <= max_longest)
     return df.withColumn("base_failed", failed).withColumn("kept", ~failed & good)
@@ -180,4 +180,4 @@ def keep_good(docs: DataFrame, repeat: int = REPEAT, max_covered: float = MAX_CO
             good = [passes(r, max_covered, max_longest) for r in measure([t or b"" for t in texts], repeat)]
             yield some.filter(pa.array(good, pa.bool_()))
 
-    return plain.mapInArrow(work, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(frugal(work), plain.schema).toDF(*docs.columns)

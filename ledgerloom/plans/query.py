@@ -20,12 +20,8 @@ from ledgerloom.operators.coverage import head
 
 #: Functions of the SQL surface that take integers or bytes of any width.
 FUNCTIONS = {"u256_product": u.u256_mul, "u256_add": u.add_any, "u256_to_dec": u.dec_any, "u256": u.u256, "format_ether": u.ether_any, "format_gwei": u.gwei_any, "erc20_to_real": u.real_any, "convert_usd": u.usd_any}
-SQL_FUNCTIONS = {
-    "format_usd": "format_usd(x DOUBLE) RETURNS STRING RETURN CASE WHEN x IS NOT NULL THEN '$' || format_string('%,.2f', x) END",
-    "wei_to_eth": "wei_to_eth(x STRING) RETURNS DOUBLE RETURN CAST(x AS DOUBLE) / 1e18D",
-}
 #: Functions that are written anew before the query runs.
-REWRITTEN = ("u256_sum", "u256_mul", "resolve")
+REWRITTEN = ("u256_sum", "u256_mul", "format_usd", "wei_to_eth", "resolve")
 #: Built-in functions that reach beyond the query's rows.
 REFUSED = frozenset("reflect java_method try_reflect input_file_name input_file_block_start input_file_block_length current_user user session_user current_catalog current_database current_schema version".split())
 #: What a parsed query may consist of; expressions other than these two kinds may be anything.
@@ -152,7 +148,8 @@ def _product_sql(a: str, b: str) -> list[str]:
 
 
 class Rewriter:
-    """Writes a query's text anew where its tree has functions of REWRITTEN."""
+    """Writes a query's text anew where its tree has functions of REWRITTEN. SQL functions of a session can't take their place: with
+    one in its list, a grouped query can't be ordered by another aggregate."""
 
     def __init__(self, trees: Trees, sql: str, nodes: list[Node], names: Callable[[str], str]):
         self.trees, self.sql, self.names = trees, sql, names
@@ -189,6 +186,10 @@ class Rewriter:
         if name == "u256_mul":
             a, b = map(self.argument, args)
             return f"IF({_integers_sql(a, b)}, {whole_sql(_product_sql(a, b))}, u256_product({a}, {b}))"
+        if name == "format_usd":
+            return f"('$' || nullif(format_string('%,.2f', CAST({self.argument(args[0])} AS DOUBLE)), 'null'))"
+        if name == "wei_to_eth":
+            return f"(CAST({self.argument(args[0])} AS DOUBLE) / 1e18D)"
         return self.sum(node, args[0])
 
     def sum(self, node: Node, arg: Any) -> str:
@@ -230,10 +231,8 @@ class Ledger:
         self.trees = Trees(spark)
         for name, f in FUNCTIONS.items():
             spark.udf.register(name, f)
-        for text in SQL_FUNCTIONS.values():
-            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {text}")
         builtin = {r[0].lower() for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect()}  # some hundred names
-        self.functions = (builtin - REFUSED) | set(FUNCTIONS) | set(SQL_FUNCTIONS) | set(REWRITTEN)
+        self.functions = (builtin - REFUSED) | set(FUNCTIONS) | set(REWRITTEN)
 
     def latest_block(self) -> int | None:
         return head(self.tables["blocks"]) if "blocks" in self.tables else None

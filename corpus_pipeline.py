@@ -17,27 +17,33 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the repetition rules go. Null and empty texts fail."""
+    """Documents that fail the repetition rules go, each row by its own text. Null and empty texts fail; whole texts count whatever their length; rows that
+    repeat and rows without an id are judged like others; an empty table gives an empty one; all columns stay, whatever they are called."""
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    """Of each group of near-duplicates the document with the smallest doc_id stays; ties between rows of one id go by the digest of the text, rows that agree in
+    both are one. A row without an id comes after those with one; texts without words, null ones among them, are one group; whole texts are compared; an
+    empty table gives an empty one; other columns stay."""
     return keep_first_similar(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, each row by its own text. Null and empty texts hold none; whole texts are read; repeated rows go or stay together;
+    ids may be null; with an empty table or benchmark nothing goes; other columns stay."""
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as the mix takes them: not at all, once or twice."""
+    """Documents come as often as the mix takes them: not at all, once or twice. Null and empty texts have no words, and are taken as such; a null source is
+    a source, the last one; ties in the order of documents go by id; an empty table gives an empty one; other columns stay."""
     return mixed(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row with its shard and its slot there."""
+    """Each row with its shard and its slot there, in place of columns of these names. Equal texts, null ones as empty, share a shard; rows that repeat take slots
+    of their own; ids may be null; an empty table gives an empty one; other columns stay."""
     return sharded(docs)
 
 

@@ -143,12 +143,12 @@ t AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER
 SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)
 """
 
-#: Windows of three lines that came before go; what is left is joined again.
+#: Windows of three lines that came before go, and shorter texts that came before as a whole; what is left is joined again.
 LINE_DEDUP_SQL = """
 WITH l AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS ls FROM documents),
-w AS (SELECT doc_id, ls, unnest(range(0, greatest(len(ls) - 2, 0))) AS pos FROM l),
-k AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY ls[pos + 1] || chr(10) || ls[pos + 2] || chr(10) || ls[pos + 3] ORDER BY doc_id, pos) AS turn FROM w),
-c AS (SELECT DISTINCT doc_id, pos + j AS line FROM k, (SELECT unnest([0, 1, 2]) AS j) WHERE turn > 1),
+w AS (SELECT doc_id, ls, unnest(range(0, greatest(len(ls) - 2, 1))) AS pos FROM l WHERE text <> ''),
+k AS (SELECT doc_id, pos, len(ls) AS n, row_number() OVER (PARTITION BY array_to_string(ls[pos + 1:pos + 3], chr(10)) ORDER BY doc_id, pos) AS turn FROM w),
+c AS (SELECT DISTINCT doc_id, pos + j AS line FROM k, (SELECT unnest([0, 1, 2]) AS j) WHERE turn > 1 AND pos + j < n),
 g AS (SELECT doc_id, list(line ORDER BY line) AS gone FROM c GROUP BY doc_id),
 e AS (SELECT doc_id, unnest(ls) AS body, unnest(range(0, len(ls))) AS line FROM l),
 t AS (SELECT doc_id, string_agg(body, chr(10) ORDER BY line) AS text FROM e ANTI JOIN c USING (doc_id, line) GROUP BY doc_id)
@@ -200,7 +200,8 @@ tab AS (SELECT list(c ORDER BY b) AS t FROM z2 WHERE n = 8),
 f AS (SELECT DISTINCT doc_id, doc_id::VARCHAR AS s, 4294967295::BIGINT AS c, 0 AS i FROM documents WHERE doc_id IS NOT NULL
   UNION ALL SELECT doc_id, s, xor(c // 256, t[1 + xor(c % 256, ascii(s[i + 1]))::BIGINT]), i + 1 FROM f, tab WHERE i < len(s)),
 h AS (SELECT doc_id, xor(c, 4294967295) AS h FROM f WHERE i = len(s)),
-w0 AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS ws FROM documents),
+w0 AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS ws FROM documents),
 w1 AS (SELECT r, doc_id, ws, len(ws) AS n, h, h // 10 AS g FROM w0 LEFT JOIN h USING (doc_id)),
 w2 AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END AS a FROM w1),
 w3 AS (SELECT *, CASE WHEN a < n THEN 1 + (n - a) // (3 + g % 8) ELSE 1 END AS p FROM w2),

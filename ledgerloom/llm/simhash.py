@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Scratch, known_id, runs_of, text_bytes
+from ledgerloom.llm.common import Scratch, join_apart, known_id, runs_of, text_bytes
 from ledgerloom.llm.components import components
 
 BITS, SHINGLE, SEED = 64, 4, 42
@@ -162,10 +162,10 @@ def simhash_components(docs: DataFrame, radius: int = 2, shingle: int = SHINGLE)
     spark = docs.sparkSession
     scratch = Scratch(spark)
     fps = scratch.cut(fingerprints(docs, shingle))
-    distinct = scratch.cut(fps.groupBy("fp").agg(F.min(known_id()).alias("least")))
+    distinct = scratch.cut(fps.groupBy("fp").agg(F.min(known_id()).alias("least"), F.count("*").alias("n")))
     roots_ = components(links(distinct.select("fp"), distinct.count(), radius), scratch)
     named = distinct.join(roots_.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     whole = named.groupBy("root").agg(F.min("least").alias("component_id"), (F.count("*") - 1).alias("n_links"))
-    of_fp = scratch.cut(named.select("fp", "root").join(whole, "root").drop("root"))
+    of_fp = scratch.cut(named.select("fp", "root", "n").join(whole, "root").drop("root"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return fps.join(of_fp, "fp", "left").select("doc_id", hexed.alias("fingerprint"), "component_id", "n_links")
+    return join_apart(fps, of_fp, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id", "n_links")

@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import WORD, Scratch, fresh, quoted
+from ledgerloom.llm.common import WORD, Scratch, fresh, quoted, row_digest
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2
@@ -26,7 +26,7 @@ CELL_BITS, RUN_BITS = 10, 12
 
 
 class Mixture(NamedTuple):
-    docs: DataFrame  # doc_id, source, src, size, start (of its words in the source's shuffled order)
+    docs: DataFrame  # row (of common.row_digest), doc_id, source, src, size, start (of its words in the source's shuffled order)
     sources: DataFrame  # src, source_size, target and what follows from them
     pieces: DataFrame  # slot, src, epoch, block, start, doc_id, size, words: what a slot takes of a document
 
@@ -73,12 +73,12 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     slots. Other columns aren't read. The result depends on the rows alone, not on their order or partitions."""
     scratch = Scratch(docs.sparkSession)
     mark = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
-    slim = docs.select(F.col("doc_id").cast("long"), "source", source_key().alias("src"), word_count().alias("size"), mark.alias("mark"))
+    slim = docs.select(row_digest().alias("row"), F.col("doc_id").cast("long"), "source", source_key().alias("src"), word_count().alias("size"), mark.alias("mark"))
     slim = scratch.cut(slim.withColumn("bucket", F.substring("mark", 1, 3)))
     sizes = slim.groupBy("src").agg(F.sum("size").alias("source_size"))
     total = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     block = max(MIN_BLOCK, total // RESOLUTION)
-    placed = scratch.cut(_running(slim, ["src"], "bucket", ["mark", "doc_id", "size"], F.col("size"), "start").select("doc_id", "source", "src", "size", "start"))
+    placed = scratch.cut(_running(slim, ["src"], "bucket", ["mark", "doc_id", "size", "row"], F.col("size"), "start").select("row", "doc_id", "source", "src", "size", "start"))
 
     # words wanted of a source, its blocks, and the slots for them
     per = targets(sizes, weights, share, cap).withColumn("want", F.floor("target")).withColumn("blocks", F.ceil(F.col("source_size") / block))
@@ -126,10 +126,12 @@ def taken(docs: DataFrame, **how) -> DataFrame:
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix, with the columns of docs: one row for each epoch that takes at least half of a document's words.
 
-    Rows with one doc_id come as often as the one of them that comes most often."""
+    Each row comes by its own text, whatever its id; of rows that agree in id, text and source each comes as often as the one of them that comes most often.
+    Null ids and sources are ids and sources like others; an empty table gives an empty one."""
     mix = mixture(docs, **how)
-    key, times, turn = fresh(docs, "id", "times", "turn")
-    turns = mix.pieces.groupBy("src", "start", "doc_id", "size", "epoch").agg(F.sum("words").alias("words")).where("2 * words >= size")
-    per = turns.groupBy("src", "start", "doc_id").agg(F.count("*").cast("int").alias("n")).groupBy(F.col("doc_id").alias(key)).agg(F.max("n").alias(times))
-    met = docs.join(per, F.col("doc_id").eqNullSafe(F.col(key)))
+    row, src, times, turn = fresh(docs, "row", "src", "times", "turn")
+    turns = mix.pieces.groupBy("src", "start", "size", "epoch").agg(F.sum("words").alias("words")).where("2 * words >= size")
+    per = turns.groupBy("src", "start").agg(F.count("*").cast("int").alias("n")).join(mix.docs.where("size > 0").select("src", "start", "row"), ["src", "start"])
+    per = per.groupBy(F.col("row").alias(row), F.col("src").alias(src)).agg(F.max("n").alias(times))
+    met = docs.withColumn(row, row_digest()).withColumn(src, source_key()).join(per, [row, src])
     return met.withColumn(turn, F.explode(F.sequence(F.lit(1), times))).select(*quoted(docs.columns))

@@ -10,7 +10,9 @@ where they continue a window that was found, or where the document has the whole
 
 The windows of the benchmark are made once, as a table. A bitmap of their hashes, of a bounded size, goes to all tasks, where each
 document is read once and passed on only if some window of it may be among them; its windows then join the table on
-the hash, and each pair of a document and an item that met is compared word by word. Neither the benchmark nor what a document
+the hash, and each pair of a document and an item that met is compared word by word. Windows that many documents and items share are left
+out of this join as far as they, together, cover too little of an item to count: whoever holds enough of it also holds another of its windows. A phrase
+that opens many questions thus makes no pairs. A document's text moves once for some TOGETHER items. Neither the benchmark nor what a document
 meets has to fit into a task; tables below a checked size are broadcast, others shuffled.
 """
 
@@ -41,6 +43,8 @@ BATCH = 1 << 17
 BITS_EACH, MOST_BITS, PROBES = 64, 1 << 29, 4
 #: The bitmap is summed in pieces.
 PIECES = 16
+#: Items, about, that a document is compared with at once.
+TOGETHER = 32
 #: Tables of at most so many rows (of some 30 bytes) are broadcast, and benchmark texts of at most so many bytes.
 FEW_ROWS, FEW_BYTES = 1 << 20, 16 << 20
 
@@ -187,6 +191,26 @@ class Item:
             out.append((WHOLE, h, np.array([np.argmax(upto[self.size :] - upto[: -self.size])])))
         return [(k, x[at] ^ SALT[k], at) for k, x, at in out if len(at)]
 
+    def keys(self, often: dict[int, int], least: float) -> list[int]:
+        """Hashes of which each text that covers enough has one: all but the most frequent as far as these, with the windows that may
+        continue others, cover too little. often: how many pairs each hash makes; one that isn't there is in no text."""
+        covered = np.zeros(len(self.words), bool)
+        for p in np.flatnonzero(~self.tells).tolist():
+            covered[p : p + self.size] = True
+        held, at = int(covered.sum()), defaultdict(list)
+        for _, hashes, places in self.entries():
+            for h, p in zip(hashes.view(np.int64).tolist(), places.tolist(), strict=True):
+                at[h].append(p)
+        out = []
+        for h in sorted(at.keys() & often.keys(), key=lambda h: (-often[h], h)):
+            more = {q for p in at[h] for q in range(p, p + self.size) if not covered[q]}
+            if (held + len(more)) / len(covered) < least:
+                covered[list(more)] = True
+                held += len(more)
+            else:
+                out.append(h)
+        return out
+
     def match(self, doc: Document, least: float) -> tuple[int, float, int, bool] | None:
         """Windows that the document has, the share of the item's words covered, slots in them, and whether a slot is filled otherwise; None if that isn't enough."""
         found: dict[tuple[int, int], None] = {}
@@ -379,20 +403,37 @@ def matched_rows(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window
     shared.unpersist()
     small = F.broadcast if n <= FEW_ROWS else lambda df: df
     light = F.broadcast if items.agg(F.sum(F.octet_length("item_text"))).first()[0] <= FEW_BYTES else lambda df: df
-    pairs = found.select("row", F.explode("hashes").alias("hash")).join(small(windows.select("item", "hash").distinct()), "hash").select("row", "item").distinct()
-    pairs = scratch.cut(pairs.join(light(items), "item").select("row", "item_id", "item_text"), "zstd")
-    met = pairs.join(found.select("row", "doc_id", "text").dropDuplicates(["row"]), "row").select("row", "doc_id", "text", "item_id", "item_text")
+    held = windows.select("item", "hash").distinct()
+    hits = found.select("row", F.explode("hashes").alias("hash"))
+    per = held.groupBy("hash").agg(F.count("*").alias("of")).join(hits.groupBy("hash").agg(F.count("*").alias("met")), "hash").select("hash", (F.col("of") * F.col("met")).alias("often"))
+    often = held.join(per, "hash").groupBy("item").agg(F.collect_list(F.struct("hash", "often")).alias("often"))  # as many as the item has windows
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for batch in batches:
+            known.forget()
+            for item, text, seen in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys = Item(text, window, known).keys({x["hash"]: x["often"] for x in seen}, least_covered)
+                yield pa.record_batch([pa.array([item] * len(keys), pa.binary()), pa.array(keys, pa.int64())], ["item", "hash"])
+
+    keys = scratch.cut(items.join(often, "item").select("item", "item_text", "often").mapInArrow(frugal(choose), "item binary, hash long"))
+    pairs = scratch.cut(hits.join(small(keys), "hash").select("row", "item").distinct())
+    parts = pairs.groupBy("row").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
+    dealt = pairs.join(parts, "row").select("row", "item", F.pmod(F.xxhash64("item"), F.col("parts")).alias("part")).join(light(items), "item")
+    dealt = scratch.cut(dealt.groupBy("row", "part").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items")), "zstd")
+    met = dealt.join(found.select("row", "doc_id", "text").dropDuplicates(["row"]), "row").select("row", "doc_id", "text", "items")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, row, doc = Words(), None, None
+        known = Words()
         for batch in batches:
             known.forget()
             out = []
             for i in range(batch.num_rows):
-                if (key := batch.column(0)[i].as_py()) != row:
-                    row, doc = key, Document(batch.column(2)[i].as_py(), known)
-                if m := Item(batch.column(4)[i].as_py(), window, known).match(doc, least_covered):
-                    out.append((row, batch.column(1)[i].as_py(), batch.column(3)[i].as_py(), *m))
+                row, doc_id, text, own = (c[i].as_py() for c in batch.columns)
+                doc = Document(text, known)
+                for x in own:
+                    if m := Item(x["item_text"], window, known).match(doc, least_covered):
+                        out.append((row, doc_id, x["item_id"], *m))
             kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_()]
             yield pa.record_batch([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], [c.split()[0] for c in schema.split(", ")])
 

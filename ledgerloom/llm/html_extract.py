@@ -25,6 +25,10 @@ from pyspark.sql import functions as F
 MAX_TRAIN, COPIES = 200, 2
 #: Pages of invented prose.
 INVENTED = 500
+#: The share of invented layouts whose article has no named wrapper.
+PLAIN = 0.25
+#: Blocks of fewer words are short: what they say and whether they stand first or last tells more.
+PROSE = 12
 ROUNDS, RATE, L2 = 120, 0.2, 1e-3
 LEAST_COUNT = 3
 
@@ -35,6 +39,9 @@ MAY_HIDE = re.compile(r"hidden|display", re.I)
 NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
+ENDS = '.!?…»”"。！？'
+#: Characters of scripts that put no spaces between words; two count as a word.
+UNSPACED = re.compile(r"[\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 #: Elements by how HTML treats them.
 RAW = frozenset("script style noscript template iframe textarea select title desc head canvas audio video".split())
@@ -200,12 +207,16 @@ def block_features(blocks: list[Block]) -> list[list[str]]:
         tags = {f"tag {t}" for t, _ in b.path}
         words = {f"name {w}" for _, names in b.path for w in names}
         count = b.text.count(" ") + 1
-        f = ["every", f"in {b.path[-1][0] if b.path else ''}", f"words {min(count.bit_length(), 7)}", f"links {3 * b.linked // max(1, len(b.text))}", f"ends {b.text[-1] in '.!?…»”"'}"]
-        if count <= 30:
+        if not b.text.isascii():
+            count += len(UNSPACED.findall(b.text)) // 2
+        f = ["every", f"in {b.path[-1][0] if b.path else ''}", f"words {min(count.bit_length(), 7)}", f"links {3 * b.linked // max(1, len(b.text))}", f"ends {b.text[-1] in ENDS}"]
+        if not words and not any(t in NOISE_TAGS for t, _ in b.path):
+            f += ["nameless", "nameless prose" if count >= PROSE and 4 * b.linked < len(b.text) and b.text[-1] in ENDS else "nameless else", f"nameless words {min(count.bit_length(), 7)} links {3 * b.linked // max(1, len(b.text))}"]
+        if count < PROSE:
             f += sorted({f"says {w}" for w in NAME_PART.findall(b.text.lower()) if w in HINTS})
-        if "©" in b.text or "copyright" in b.text[:40].lower():
+        if count < PROSE and ("©" in b.text or "copyright" in b.text[:40].lower()):
             f.append("rights")
-        if i == 0 or i == len(blocks) - 1:
+        if count < PROSE and (i == 0 or i == len(blocks) - 1):
             f.append("first" if i == 0 else "last")
         out.append(f + sorted(tags) + sorted(words))
     return out
@@ -280,6 +291,13 @@ def _shape(texts: list[str], kind: str, rng: random.Random) -> str:
     return f"<{tag}{mark}>{inner}</{tag}>"
 
 
+def _unnamed(kind: str, rng: random.Random) -> str:
+    """A short part of another purpose in an element without a name."""
+    tag, says = rng.choice(("div", "p", "center", "h3")), SAYS[kind].split(";")
+    inner = " ".join(f'<a href="/">{w}</a>' for w in rng.sample(says, 4)) if kind == "menu" else invented(rng, rng.randint(2, 4)).title().rstrip(".") if kind == "head" else rng.choice(says)
+    return f"<{tag}>{inner}</{tag}>"
+
+
 SYLLABLES = "ba re mi no tu la che ster ing on er th ou vi do pa ne su ri go".split()
 
 
@@ -296,6 +314,8 @@ def invented(rng: random.Random, n: int) -> str:
 
 def invented_article(rng: random.Random) -> list[tuple[str, str]]:
     """Blocks (tag, text) of an article: a heading, paragraphs long and short, now and then lists, quotations, tables' rows and lines of code."""
+    if rng.random() < 0.2:  # a page of one or two blocks
+        return [("p", invented(rng, rng.choice((5, 10, 20, 40, 80)))) for _ in range(rng.randint(1, 2))]
     out = [(rng.choice(("h1", "h1", "h2")), invented(rng, rng.randint(2, 9)).rstrip("."))] if rng.random() < 0.85 else []
     for _ in range(rng.randint(2, 8)):
         out.append(("p", invented(rng, rng.choice((3, 8, 20, 40, 80)))))
@@ -320,24 +340,34 @@ def other_layout(main: list[tuple[str, str]], noise: list[str], rng: random.Rand
     tag = rng.choice(("article", "main", "div", "div", "section", "td"))
     name = rng.choice(MAIN_NAMES.split(";"))
     mark = "" if tag in ("article", "main") and rng.random() < 0.6 else rng.choice((f' class="{name}"', f' id="{name}"'))
-    bare = rng.random() < 0.25  # paragraphs that are divs or parted by line breaks alone
+    plain = rng.random() < PLAIN  # the article stands in the body by itself, or in an element without a name
+    calm = 0.4 if plain else 1.0
+    bare = rng.random() < (0.5 if plain else 0.25)  # paragraphs that are divs or parted by line breaks alone
     wrap = {"li": "<ul><li>{}</li></ul>", "td": "<table><tr><td>{}</td></tr></table>"}
     inner = [wrap.get(t, f"<{t}>{{}}</{t}>" if not bare or t != "p" else "<div>{}</div>").format(_inline(html.escape(x), rng)) for t, x in main]
     if rng.random() < 0.15:  # a section for some of the blocks
         at = rng.randrange(len(inner) + 1)
         inner[at:] = [f"<{rng.choice(('section', 'div'))}>", *inner[at:], "</section></div>"]
     for kind in ("ad", "share", "side", "note", "talk", "form"):
-        if rng.random() < 0.2:
+        if rng.random() < 0.2 * calm:
             inner.insert(len(inner) if kind in ("talk", "share") else rng.randint(0, len(inner)), _shape(some(), kind, rng))
-    before = [_shape(some(), k, rng) for k in ("head", "menu", "note", "ad", "form", "side") if rng.random() < 0.5]
-    after = [_shape(some(), k, rng) for k in ("ad", "share", "talk", "side", "form", "note", "menu", "foot") if rng.random() < 0.5]
-    body = f"<{tag}{mark}>{''.join(inner)}</{tag}>"
+    before = [_shape(some(), k, rng) for k in ("head", "menu", "note", "ad", "form", "side") if rng.random() < 0.5 * calm]
+    after = [_shape(some(), k, rng) for k in ("ad", "share", "talk", "side", "form", "note", "menu", "foot") if rng.random() < 0.5 * calm]
+    if plain:
+        before += [_unnamed(k, rng) for k in ("head", "menu", "share") if rng.random() < 0.3]
+        after = [_unnamed(k, rng) for k in ("share", "menu", "foot") if rng.random() < 0.3] + after
+    if plain and len(main) == 1 and rng.random() < 0.3:
+        inner = [html.escape(main[0][1])]  # text without any element
+    if plain:
+        tag, mark = rng.choice(("", "", "", "div", "section", "center")), ""
+    body = f"<{tag}{mark}>{''.join(inner)}</{tag}>" if tag else "".join(inner)
     body = f"<table><tr>{body}</tr></table>" if tag == "td" else body
     if rng.random() < 0.3:
         body = f'<div class="{rng.choice(("wrapper", "container", "page", "row", "site"))}">{body}</div>'
     if rng.random() < 0.3:  # side columns inside the same wrapper
         body = f'<div id="{rng.choice(("wrapper", "container", "columns", "layout", "content-wrapper"))}">{_shape(some(), "side", rng)}{body}{_shape(some(), "side", rng)}</div>'
-    return f"<html><body>{''.join(before)}{body}{''.join(after)}</body></html>", len(main)
+    whole = f"{''.join(before)}{body}{''.join(after)}"
+    return whole if plain and rng.random() < 0.3 else f"<html><body>{whole}</body></html>", len(main)
 
 
 def training_set(pages: list[str], copies: int = COPIES, seed: int = 1) -> list[tuple[list[list[str]], list[bool]]]:

@@ -224,14 +224,22 @@ def test_line_dedup(docs):
     for i, t in sorted({(no_id(r[0]), r[1]) for r in rows()}, key=lambda x: (x[0], x[1] or "")):
         lines = [] if t is None else t.split("\n")
         gone = set()
-        for p in range(len(lines) - 2):
+        for p in range(max(1, len(lines) - 2) if t else 0):
             w = tuple(lines[p : p + 3])
-            gone |= {p, p + 1, p + 2} if w in seen else set()
+            gone |= set(range(p, p + len(w))) if w in seen else set()
             seen.add(w)
         want += [(i, len(lines), sorted(gone), "\n".join(x for p, x in enumerate(lines) if p not in gone))] * sum(1 for r in rows() if (no_id(r[0]), r[1]) == (i, t))
     assert got == sorted(want)
 
 
+def test_line_dedup_of_short_texts(spark):
+    """A text of one or two lines goes if an earlier text is the same as a whole, not if an earlier one only holds its lines."""
+    texts = ["a\nb\nc", "a\nb", "a", "a\nb", "a", "", "", None, None, "b\nc", "a\nb\n", "x " * 200_000, "x " * 200_000, "a\n"]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, removed int")
+    got = {r.doc_id: list(r.removed) for r in line_dedup.remove_repeated_lines(docs).collect()}
+    assert {i: x for i, x in got.items() if x} == {3: [0, 1], 4: [0], 12: [0]} and len(got) == len(texts)
+
+
 # --- 4 ---
 
 
@@ -287,6 +295,28 @@ def test_html_of_broken_markup():
     assert texts("<p>if <math><mi>x</mi><mo>&lt;</mo><mn>2</mn></math> then <svg><title>no</title><text>yes</text></svg> <object>it</object>") == ["if x<2 then yes it"]
 
 
+def test_html_of_short_and_bare_pages():
+    """Pages of a block or two, without wrappers or names, and what looks like something else at first sight."""
+    first = "The old bridge over the river was closed for repairs on Monday, and drivers were told to take the longer road through the valley."
+    second = "Officials said that the work would last about three weeks if the weather stays dry, but they gave no firm date for the reopening."
+    law = "Copyright law was changed by parliament on Tuesday, which surprised many of the publishers."
+    chinese = "这座古老的桥梁横跨河流，周一因维修而关闭，司机们被告知要绕行穿过山谷的较长道路。官员们表示，如果天气保持干燥，工程将持续约三周。"
+    menu, foot = "<ul class='menu'><li><a href='/'>Home</a></li><li><a href='/a'>About</a></li></ul>", "<div class='footer'>© 2020 All rights reserved</div>"
+    pages = [
+        (f"<p>{first}</p><p>{second}</p>", [first, second]),
+        (f"<html><body>{menu}<div>{first}</div><div>{second}</div>{foot}</body></html>", [first, second]),
+        (f"{first} {second}", [f"{first} {second}"]),
+        (f"<html><body><p>{chinese}</p></body></html>", [chinese]),
+        ("<article><p>Tom &amp; Ann say caf&eacute; prices rose by 5 &lt; 6 percent.</p></article>", ["Tom & Ann say café prices rose by 5 < 6 percent."]),
+        (f"<html><body><article><p>{law}</p><p>{second}</p></article></body></html>", [law, second]),
+        (f"<html><body><nav><a href='/'>Home</a></nav><div class='post'><p>{first}</p></div></body></html>", [first]),
+    ]
+    rng = random.Random(3)
+    for field in (html_extract.train(html_extract.invented_set()), html_extract.train(html_extract.invented_set() + html_extract.training_set([site(rng) for _ in range(200)]))):
+        for page, want in pages:
+            assert html_extract.main_text(page, field).split("\n") == want
+
+
 def test_html_labelled_by_hand(spark):
     """Blocks of unlike layouts that no generator made, by the field that knows no table, and by one that a table of one layout has adapted."""
     from labelled_pages import PAGES
@@ -468,6 +498,17 @@ def test_mixed_rows(docs):
     assert 0 < n <= 2 * docs.count()
 
 
+def test_mixed_judges_each_row(spark):
+    """Of rows that share an id, or have none, each comes as often as its own words are taken."""
+    rng = random.Random(12)
+    table = [(rng.choice((1, 2, None)), prose(rng, 400), f"s{i % 2}") for i in range(40)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string")
+    mix = mixing.mixture(docs)
+    words = mix.pieces.groupBy("src", "start", "size", "epoch").agg(F.sum("words").alias("w")).where("2 * w >= size").groupBy("src", "start").count()
+    want = sum(r["count"] for r in words.collect())
+    assert mixing.mixed(docs).count() == want
+
+
 # --- 7 ---
 
 
@@ -694,6 +735,27 @@ def test_decontamination_of_random_items(spark):
     assert sum(d == i for d, i in got) > 50
 
 
+def test_decontamination_of_common_openings(spark, monkeypatch):
+    """Items and documents that share an opening make no pairs by it; keys lose no match, whatever windows are common."""
+    rng = random.Random(17)
+    opening = "which of the following statements about the given passage is most likely to be"
+    items = [(i, f"{opening} {prose(rng, 20)}".lower()) for i in range(40)] + [(100 + i, f"{opening} {prose(rng, 3)}".lower()) for i in range(5)]
+    texts = [(i, f"{prose(rng, 10)} {opening} {prose(rng, 10)}") for i in range(40)] + [(100 + i, f"{prose(rng, 5)} {t} {prose(rng, 5)}") for i, t in items[::3]]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string")
+    want = {(d, i): m for d, t in texts for i, m in matches([(i, x.encode()) for i, x in items], t.encode()).items()}
+    for together in (32, 1):
+        monkeypatch.setattr(decontaminate, "TOGETHER", together)
+        got = {(r.doc_id, r.item_id): (r.n_windows, r.covered, r.n_slots, r.reparameterised) for r in decontaminate.contaminated(docs, bench).collect()}
+        assert got == want and len(want) > 15
+    known = decontaminate.Words()
+    for _, text in items[:40]:
+        item = decontaminate.Item(text.encode(), 8, known)
+        often = {h: 1 for _, hashes, _ in item.entries() for h in hashes.view("int64").tolist()}
+        shared = decontaminate.Item(opening.encode(), 8, known)
+        common = {h for _, hashes, _ in shared.entries() for h in hashes.view("int64").tolist()}
+        assert common and not common & set(item.keys({h: 1000 if h in common else n for h, n in often.items()}, 0.5))
+
+
 def test_decontamination_by_joins_alone(spark, monkeypatch):
     """A benchmark too large to broadcast, and a bitmap that is nearly full, change nothing."""
     rng = random.Random(8)

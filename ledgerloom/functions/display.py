@@ -35,6 +35,12 @@ def byte_size(n: Column | str) -> Column:
     return F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, over(1024.0, "KB")).when(n < 1 << 30, over(1048576.0, "MB")).otherwise(over(1073741824.0, "GB"))
 
 
+def kb_or_mb(n: Column | str) -> Column:
+    """A number of bytes in KB below a MB, in MB from there on."""
+    n = _c(n)
+    return F.when(n < 1 << 20, F.format_string("%.2f KB", n.cast("double") / 1024.0)).otherwise(F.format_string("%.2f MB", n.cast("double") / 1048576.0))
+
+
 def utc_time(seconds: Column | str) -> Column:
     """Unix seconds as `YYYY-MM-DD HH:MM:SS UTC`; the session's time zone must be UTC."""
     return F.concat(F.date_format(F.timestamp_seconds(_c(seconds)), "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"))

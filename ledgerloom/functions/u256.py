@@ -177,18 +177,18 @@ def u256_to_dec(x: Column | str) -> Column:
     x = _c(x)
     narrow, value = _narrow(x)
     long = F.ltrim(_wide(x), F.lit("0"))
-    return F.when(x.isNull(), F.lit(None)).when(narrow, value.cast("string")).otherwise(long)
+    return F.when(narrow, value.cast("string")).when(x.isNotNull(), long)
 
 
 def _fixed_text(x: Column, unit: int, digits: int, name: str) -> Column:
     """Bytes over 10^unit with so many digits after the point, rounded half up, and a name."""
     half = 10 ** (unit - digits) // 2
     narrow, value = _narrow(x)
-    text = F.when(narrow, (value + F.lit(half).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string")).otherwise(_wide(x, (half % _GROUP, half // _GROUP)))
+    text = F.when(narrow, (value + F.lit(half).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string")).when(x.isNotNull(), _wide(x, (half % _GROUP, half // _GROUP)))
     padded = F.lpad(text, 81, "0")
     whole = F.ltrim(F.substring(padded, 1, 80 - unit), F.lit("0"))
-    said = F.concat(whole, F.substring(padded, 81 - unit, 1), F.lit("."), F.substring(padded, 82 - unit, digits), F.lit(f" {name}"))
-    return F.when(x.isNotNull(), said)
+    # under no condition, so that the text is made once for its parts
+    return F.concat(whole, F.substring(padded, 81 - unit, 1), F.lit("."), F.substring(padded, 82 - unit, digits), F.lit(f" {name}"))
 
 
 def format_ether(x: Column | str) -> Column:

@@ -22,8 +22,8 @@ def to_bytes(column: Column | str) -> Column:
     c = F.col(column) if isinstance(column, str) else column
     text = F.coalesce(c, F.lit(""))
     digits = F.when(F.startswith(text, F.lit("0x")), F.substring(text, 3, 2**31 - 1)).otherwise(text)
-    raw = F.unhex(digits)  # null for bad digits
-    return F.when((F.length(digits) % 2 == 0) & raw.isNotNull(), raw).otherwise(F.raise_error(F.concat(F.lit("bad hex: "), c)).cast("binary"))
+    raw = F.when(F.length(text) % 2 == 0, F.unhex(digits))  # null for bad digits; 0x leaves odd lengths odd
+    return F.coalesce(raw, F.raise_error(F.concat(F.lit("bad hex: "), c)).cast("binary"))
 
 
 def or_null(b: Column) -> Column:
@@ -96,7 +96,7 @@ def overpriced(export: DataFrame) -> DataFrame:
 
 def logs(export: DataFrame, events: DataFrame) -> DataFrame:
     """The logs table of an export. Topics that are absent leave no gap; amounts are those of fungible token transfers."""
-    topics = F.filter(F.array(*[to_bytes(f"topic{i}") for i in range(4)]), lambda t: F.length(t) > 0)
+    topics = F.array_remove(F.array(*[to_bytes(f"topic{i}") for i in range(4)]), F.lit(b""))
     df = export.select("block_number", F.col("transaction_index").alias("tx_index"), "log_index", to_bytes("address").alias("address"), topics.alias("__topics"), to_bytes("data").alias("data"))
     df = df.select("block_number", "tx_index", "log_index", "address", *[F.get("__topics", i).alias(f"topic{i}") for i in range(4)], "data")
     return with_event(df, events).withColumn("erc20_amount", erc20_amount(F.col("signature"), F.col("data"))).select(*schema.LOGS.fieldNames())

@@ -31,7 +31,13 @@ class Tables(NamedTuple):
     events: DataFrame
 
 
+#: The JVM leaves methods over 8,000 bytes uncompiled. Spark then takes the operators of a stage one by one, with code in small methods.
+HUGE_METHOD = "spark.sql.codegen.hugeMethodLimit"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    if int(spark.conf.get(HUGE_METHOD)) > 8000:
+        spark.conf.set(HUGE_METHOD, 8000)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -69,12 +75,12 @@ def exports(spark: SparkSession, sf_dir: str) -> Exports:
         (21_000 + (F.col("o_orderkey") % 479) * 1000).alias("gas_used"), price.cast("string").alias("gas_price"), F.when(priority != "4-NOT SPECIFIED", F.left(priority, F.lit(1))).alias("transaction_type"),
         F.lit("1000000000").alias("max_priority_fee_per_gas"), (2 * price).cast("string").alias("max_fee_per_gas"), (F.col("o_orderstatus") != "F").alias("success"),
     )
-    word = lambda c: F.lower(F.hex(from_long(c)))
+    word = lambda c: F.hex(from_long(c))
     kind, line = F.col("l_returnflag"), read(spark, sf_dir, "lineitem")
     order = ["tx_index", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
     lines = line.join(o.select("o_orderkey", "o_custkey", "block_number", "tx_index"), line["l_orderkey"] == F.col("o_orderkey"))
     lines = lines.withColumn("log_index", (F.row_number().over(Window.partitionBy("block_number").orderBy(*order)) - 1).cast("long"))
-    words = F.concat(F.lower(F.hex(mul_longs(cents("l_extendedprice"), F.lit(10**12)))), word(F.round("l_quantity").cast("long")), word(F.round(F.col("l_discount") * 10_000).cast("long")), word(F.round(F.col("l_tax") * 10_000).cast("long")))
+    words = F.concat(F.hex(mul_longs(cents("l_extendedprice"), F.lit(10**12))), word(F.round("l_quantity").cast("long")), word(F.round(F.col("l_discount") * 10_000).cast("long")), word(F.round(F.col("l_tax") * 10_000).cast("long")))
     padded = lambda prefix, c: _x(F.concat(F.lit("0" * 24), F.left(h(prefix, F.col(c)), F.lit(40))))
     topic0 = F.when(kind == "R", F.lit(TRANSFER)).when(kind == "A", F.lit(SWAP)).otherwise(h("n", F.lit("")))
     logs = lines.select(

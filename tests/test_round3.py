@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from ledgerloom import queries, schema, views
+from ledgerloom.operators import ingest
 
 
 @pytest.mark.parametrize("name", ["i9_store_stats", "i9_store_stats_sql"])
@@ -15,3 +17,23 @@ def test_size_of_a_store_is_in_kb_or_mb(spark, monkeypatch, name, n, size):
     t = views.tables(spark, "/root/testdata/sf0.001")
     monkeypatch.setattr(views, "tables", lambda *_: t._replace(logs=logs))
     assert queries.QUERIES[name](spark, "").first()["db_size"] == size
+
+
+def test_log_parsing_and_texts_stay_compiled(spark):
+    """Methods over 8,000 bytes would run uncompiled, lambdas are interpreted; a text is made once for its parts."""
+    was = spark.conf.get(views.HUGE_METHOD)
+    try:
+        spark.conf.set(views.HUGE_METHOD, 65535)
+        plan = queries.QUERIES["a2_logs_export"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert int(spark.conf.get(views.HUGE_METHOD)) <= 8000
+        assert "lambdafunction" not in plan and "filter(array" not in plan
+    finally:
+        spark.conf.set(views.HUGE_METHOD, was)
+
+
+def test_bytes_from_hex_of_odd_or_bad_text(spark):
+    df = spark.createDataFrame([("0xAb01",), ("ab01",), ("0x",), ("",), (None,)], "x string")
+    assert [r[0] for r in df.select(F.hex(ingest.to_bytes("x"))).collect()] == ["AB01", "AB01", "", "", ""]
+    for bad in ("0xabc", "abc", "0xzz", "zz"):
+        with pytest.raises(PySparkException):
+            spark.createDataFrame([(bad,)], "x string").select(ingest.to_bytes("x")).collect()

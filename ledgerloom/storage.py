@@ -106,7 +106,7 @@ class BucketTable:
     def _write(self, rows: DataFrame, chain: int, gen: Column, mode: str) -> None:
         bucket = F.floor(F.col("block_number") / BUCKET)
         placed = rows.select(*self.kinds.fieldNames(), F.lit(chain).alias("chain_id"), bucket.alias("bucket")).withColumn("gen", gen)
-        placed.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("chain_id", "bucket", "gen").parquet(self.folder)
+        placed.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("chain_id", "bucket", "gen").parquet(self.folder)
 
     def append(self, state: dict, rows: DataFrame, chain: int, r: tuple[int, int]) -> None:
         """Add rows, of blocks in r, to the generations that count."""

@@ -53,9 +53,20 @@ class LedgerStore:
         if not fs.exists(path):
             self.spark.createDataFrame([(self.chain, first, last, new, cached)], PROGRESS.removesuffix(", batch long")).coalesce(1).write.mode("overwrite").json(at)
 
-    def append(self, name: str, rows: DataFrame, r: Range) -> None:
-        """Add the rows whose key isn't there; rows: of blocks in r."""
-        self._table(name).append(self.versions.read()[1], ingest.new_rows(rows, self.table(name, r), name), self.chain, r)
+    def append(self, name: str, rows: DataFrame, r: Range, reread: bool = False) -> None:
+        """Add the rows whose key isn't there; rows: of blocks in r.
+
+        reread: rows are of files and may be read twice. Their keys alone are shuffled first: where all are new and different, as
+        they mostly are, or none is new, whole rows needn't be."""
+        there, key = self.table(name, r), schema.KEYS[name]
+        fresh = ingest.new_rows(rows, there, name)
+        if reread:
+            if there.isEmpty():
+                if rows.groupBy(*key).count().where("count > 1").isEmpty():
+                    fresh = rows
+            elif rows.select(*key).join(there.select(*key), key, "left_anti").isEmpty():
+                return
+        self._table(name).append(self.versions.read()[1], fresh, self.chain, r)
 
     def _every(self, state: dict) -> list[BucketTable]:
         events = [self.events.bucketed(name.removeprefix("events/"), state) for name in state.get("tables", {})]
@@ -129,11 +140,11 @@ def index_blocks(store: LedgerStore, exports: str, fresh_blocks: DataFrame, meth
     wanted = fresh_blocks.select("block_number").distinct()
     cached = store.table("blocks", r).join(wanted, "block_number", "left_semi").count()
     some = lambda dataset: read_range(spark, exports, dataset, low, high, network).join(wanted, "block_number", "left_semi")
-    store.append("logs", ingest.logs(some("logs"), events), r)
+    store.append("logs", ingest.logs(some("logs"), events), r, reread=True)
     for t in tables:
         if t.applies_to(store.chain) and store.events.sync(t, store.table("logs"), store.chain) == "unchanged":  # a table of another declaration raises
             store.events.append(t, store.table("logs", r), r, store.chain)
-    store.append("transactions", ingest.transactions(some("transactions"), methods), r)
+    store.append("transactions", ingest.transactions(some("transactions"), methods), r, reread=True)
     store.append("blocks", ingest.blocks(fresh_blocks), r)
     return low, high, total - cached, cached
 

@@ -57,19 +57,24 @@ def block_number() -> Column:
     return F.lit(1_000_000).cast("long") + F.datediff("o_orderdate", F.lit("1995-01-01").cast("date"))
 
 
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("block_number").orderBy("o_orderkey")) - 1
-    return read(spark, sf_dir, "orders").withColumn("block_number", block_number()).withColumn("tx_index", place.cast("long"))
-
-
-def exports(spark: SparkSession, sf_dir: str) -> Exports:
-    o = _orders(spark, sf_dir)
+def _orders(spark: SparkSession, sf_dir: str, size: int | None = None) -> DataFrame:
+    o, key = read(spark, sf_dir, "orders").withColumn("block_number", block_number()), ["block_number"]
+    if size is not None:
+        o, key = o.withColumn("k", F.floor(F.col("block_number") / size)).repartition("k"), ["k", "block_number"]
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("o_orderkey")) - 1
+    return o.withColumn("tx_index", place.cast("long"))
+
+
+def exports(spark: SparkSession, sf_dir: str, size: int | None = None) -> Exports:
+    """size: rows of that many blocks come together, with k, the number of their part, so that files of them need no shuffle of the text."""
+    part = [] if size is None else ["k"]
+    o = _orders(spark, sf_dir, size)
     price, priority = F.lit(10**9) + cents("o_totalprice"), F.col("o_orderpriority")
     data = F.lit("")
     for p, s in SELECTORS.items():
         data = F.when(priority == p, F.lit(s)).otherwise(data)
     tx = o.select(
-        "block_number", F.col("tx_index").alias("transaction_index"), _x(h("t", F.col("o_orderkey"))).alias("transaction_hash"), (F.col("o_orderkey") % 1000).alias("nonce"),
+        *part, "block_number", F.col("tx_index").alias("transaction_index"), _x(h("t", F.col("o_orderkey"))).alias("transaction_hash"), (F.col("o_orderkey") % 1000).alias("nonce"),
         _x(F.left(h("c", F.col("o_custkey")), F.lit(40))).alias("from_address"), F.when(priority != "5-LOW", _x(F.left(h("p", F.col("o_orderkey") % 97), F.lit(40)))).alias("to_address"),
         F.concat(cents("o_totalprice").cast("string"), F.lit("0" * 16)).alias("value_string"), _x(data).alias("input"), F.lit(500_000).cast("long").alias("gas_limit"),
         (21_000 + (F.col("o_orderkey") % 479) * 1000).alias("gas_used"), price.cast("string").alias("gas_price"), F.when(priority != "4-NOT SPECIFIED", F.left(priority, F.lit(1))).alias("transaction_type"),
@@ -78,19 +83,20 @@ def exports(spark: SparkSession, sf_dir: str) -> Exports:
     word = lambda c: F.hex(from_long(c))
     kind, line = F.col("l_returnflag"), read(spark, sf_dir, "lineitem")
     order = ["tx_index", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-    lines = line.join(o.select("o_orderkey", "o_custkey", "block_number", "tx_index"), line["l_orderkey"] == F.col("o_orderkey"))
-    lines = lines.withColumn("log_index", (F.row_number().over(Window.partitionBy("block_number").orderBy(*order)) - 1).cast("long"))
+    lines = line.join(o.select(*part, "o_orderkey", "o_custkey", "block_number", "tx_index"), line["l_orderkey"] == F.col("o_orderkey")).drop("l_orderkey", "o_orderkey")
+    lines = lines if size is None else lines.repartition("k")
+    lines = lines.withColumn("log_index", (F.row_number().over(Window.partitionBy(*part, "block_number").orderBy(*order)) - 1).cast("long"))
     words = F.concat(F.hex(mul_longs(cents("l_extendedprice"), F.lit(10**12))), word(F.round("l_quantity").cast("long")), word(F.round(F.col("l_discount") * 10_000).cast("long")), word(F.round(F.col("l_tax") * 10_000).cast("long")))
     padded = lambda prefix, c: _x(F.concat(F.lit("0" * 24), F.left(h(prefix, F.col(c)), F.lit(40))))
     topic0 = F.when(kind == "R", F.lit(TRANSFER)).when(kind == "A", F.lit(SWAP)).otherwise(h("n", F.lit("")))
     logs = lines.select(
-        "block_number", F.col("tx_index").alias("transaction_index"), "log_index", _x(F.left(h("p", F.col("l_partkey") % 50), F.lit(40))).alias("address"), _x(topic0).alias("topic0"), padded("s", "l_suppkey").alias("topic1"), padded("c", "o_custkey").alias("topic2"),
+        *part, "block_number", F.col("tx_index").alias("transaction_index"), "log_index", _x(F.left(h("p", F.col("l_partkey") % 50), F.lit(40))).alias("address"), _x(topic0).alias("topic0"), padded("s", "l_suppkey").alias("topic1"), padded("c", "o_custkey").alias("topic2"),
         F.lit(None).cast("string").alias("topic3"), _x(F.when((kind == "R") & (F.col("l_linestatus") == "O"), F.lit("")).otherwise(words)).alias("data"),
     )
     n = F.col("block_number")
-    blocks = o.groupBy("block_number").agg(F.sum(21_000 + (F.col("o_orderkey") % 479) * 1000).alias("gas_used"), F.unix_timestamp(F.min("o_orderdate")).alias("timestamp"))
+    blocks = o.groupBy(*part, "block_number").agg(F.sum(21_000 + (F.col("o_orderkey") % 479) * 1000).alias("gas_used"), F.unix_timestamp(F.min("o_orderdate")).alias("timestamp"))
     fee = F.when(n % 5 != 0, F.lit(10**9) + (n % 1000) * 1_000_000).cast("string")
-    blocks = blocks.select(_x(h("b", n)).alias("block_hash"), _x(F.left(h("m", n % 7), F.lit(40))).alias("author"), "block_number", "gas_used", "timestamp", fee.alias("base_fee_per_gas"))
+    blocks = blocks.select(*part, _x(h("b", n)).alias("block_hash"), _x(F.left(h("m", n % 7), F.lit(40))).alias("author"), "block_number", "gas_used", "timestamp", fee.alias("base_fee_per_gas"))
     return Exports(tx, logs, blocks)
 
 

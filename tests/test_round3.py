@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom import queries, schema, views
 from ledgerloom.operators import ingest
+from ledgerloom.operators.coverage import Range
+from ledgerloom.streaming.live import LedgerStore
 
 
 @pytest.mark.parametrize("name", ["i9_store_stats", "i9_store_stats_sql"])
@@ -37,3 +39,13 @@ def test_bytes_from_hex_of_odd_or_bad_text(spark):
     for bad in ("0xabc", "abc", "0xzz", "zz"):
         with pytest.raises(PySparkException):
             spark.createDataFrame([(bad,)], "x string").select(ingest.to_bytes("x")).collect()
+
+
+def test_append_of_rows_that_may_be_read_twice(spark, tmp_path):
+    """New and different rows, repeated ones, known ones, and some of each; files come from rows that meet by their part already."""
+    store, r = LedgerStore(spark, str(tmp_path / "store")), Range(0, 9)
+    block = lambda *ns: spark.createDataFrame([(n, b"h", b"m", 1, n, None) for n in ns], schema.BLOCKS)
+    for given, want in ((block(1, 1, 2), [1, 2]), (block(1, 2, 2), [1, 2]), (block(2, 3, 3), [1, 2, 3])):
+        store.append("blocks", given, r, reread=True)
+        assert sorted(x.block_number for x in store.table("blocks").collect()) == want
+    assert "k" in views.exports(spark, "/root/testdata/sf0.001", 250).logs.columns

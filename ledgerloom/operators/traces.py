@@ -46,11 +46,12 @@ def flatten(trees: DataFrame) -> DataFrame:
 
 def direct_payments(calls: DataFrame, transactions: DataFrame, blocks: DataFrame) -> DataFrame:
     """tx_hash, payment of each traced transaction: the value of its first call to the block's producer that has one, else zero."""
-    traced = calls.select("tx_hash").distinct()
-    known = transactions.select("tx_hash", "block_number").join(blocks.select("block_number", "miner").where("miner IS NOT NULL"), "block_number").join(traced, "tx_hash")
-    paid = calls.where("value IS NOT NULL").select("tx_hash", "seq", "to_address", "value")
-    first = paid.join(known, "tx_hash").where("to_address = miner").groupBy("tx_hash").agg(F.min_by("value", "seq").alias("__value"))
-    return known.join(first, "tx_hash", "left").select("tx_hash", F.coalesce("__value", F.lit(ZERO)).alias("payment"))
+    miners = blocks.select("block_number", "miner").where("miner IS NOT NULL")
+    known = transactions.select("tx_hash", "block_number").join(miners, "block_number").select("tx_hash", "miner")
+    paid = F.col("value").isNotNull()  # other calls only tell that their transaction is traced
+    made = calls.select("tx_hash", *[F.when(paid, F.col(c)).alias(c) for c in ("seq", "to_address", "value")])
+    at = F.when(F.col("to_address") == F.col("miner"), F.col("seq"))
+    return made.join(known, "tx_hash").groupBy("tx_hash").agg(F.coalesce(F.min_by("value", at), F.lit(ZERO)).alias("payment"))
 
 
 def backfill(transactions: DataFrame, payments: DataFrame) -> DataFrame:

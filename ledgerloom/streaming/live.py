@@ -13,6 +13,9 @@ from ledgerloom.operators.coverage import Range, cutoff
 from ledgerloom.sources.exports import NAME, manifest, read_export, read_range
 from ledgerloom.storage import BUCKET, BucketTable, Versions
 
+#: Transactions that one task of a backfill fills.
+FILL_ROWS = 100_000
+
 PROGRESS = "chain_id int, first long, last long, new_blocks long, cached_blocks long, batch long"
 
 
@@ -105,19 +108,26 @@ class LedgerStore:
     def backfill(self, payments: DataFrame, r: Range) -> list[int]:
         """Fill coinbase_transfer of transactions in a block range where it is null and a payment (tx_hash, payment) is known.
 
-        Only buckets with such rows are written anew, and they change at once. Returns these buckets."""
+        Only buckets with such rows are written anew, and they change at once. Payments are computed once and kept until these are there; rows
+        that have a value aren't shuffled. Returns these buckets."""
         number, state = self.versions.read()
         t = self._table("transactions")
         bucket = F.floor(F.col("block_number") / BUCKET).alias("bucket")
-        unknown = t.read(state, r, self.chain).where("coinbase_transfer IS NULL").join(payments.where("payment IS NOT NULL"), "tx_hash", "left_semi")
-        touched = sorted(x.bucket for x in unknown.select(bucket).distinct().collect())  # a row a bucket
-        if touched:
-            rows = t.read(state, (touched[0] * BUCKET, (touched[-1] + 1) * BUCKET - 1), self.chain).where(F.floor(F.col("block_number") / BUCKET).isin(touched))
-            known = payments.join(t.read(state, r, self.chain).select("tx_hash"), "tx_hash", "left_semi")
-            t.write(traces.backfill(rows, known), self.chain, number + 1)
-            after = t.moved(state, self.chain, touched, number + 1)
-            self.versions.commit(number + 1, after)
-            t.sweep(after)
+        unknown = t.read(state, r, self.chain).where("coinbase_transfer IS NULL").select("tx_hash", bucket)
+        found = payments.where("payment IS NOT NULL").select("tx_hash", "payment").join(unknown, "tx_hash").persist()
+        try:
+            touched = sorted(x.bucket for x in found.select("bucket").distinct().collect())  # a row a bucket
+            if touched:
+                rows = t.read(state, (touched[0] * BUCKET, (touched[-1] + 1) * BUCKET - 1), self.chain).where(bucket.isin(touched))
+                empty = rows.where("coinbase_transfer IS NULL")
+                parts = 1 + empty.count() // FILL_ROWS  # what is kept has partitions of its own, which AQE leaves as they are: each would make a file a bucket
+                filled = traces.backfill(empty, found.repartition(parts, "tx_hash"))
+                t.write(rows.where("coinbase_transfer IS NOT NULL").unionByName(filled), self.chain, number + 1)
+                after = t.moved(state, self.chain, touched, number + 1)
+                self.versions.commit(number + 1, after)
+                t.sweep(after)
+        finally:
+            found.unpersist()
         return touched
 
     def rebuild_events(self, tables: list[ev.EventTable]) -> None:

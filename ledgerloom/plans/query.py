@@ -120,16 +120,21 @@ def whole_sql(parts: list[str]) -> str:
     return f"unhex({' || '.join(reversed(digits))})"
 
 
+def _limb_sql(digits: str, i: int) -> str:
+    """One of the 24-bit limbs of a number in hex."""
+    return f"CAST(conv(substring(lpad({digits}, {6 * u.SUM_LIMBS}, '0'), {6 * (u.SUM_LIMBS - i) - 5}, 6), 16, 10) AS BIGINT)"
+
+
 def _limbs_sql(x: str) -> list[str]:
-    """The 24-bit limbs of an integer or bytes; a negative integer raises."""
+    """The 24-bit limbs of an integer, which fills three of them, or bytes; a negative integer raises."""
     sign = f"IF(typeof({x}) <> 'binary' AND left(CAST({x} AS STRING), 1) = '-', CAST(raise_error('a negative number is no unsigned integer') AS BIGINT), 0L)"
-    limb = lambda i: f"CAST(conv(substring(lpad(hex({x}), {6 * u.SUM_LIMBS}, '0'), {6 * (u.SUM_LIMBS - i) - 5}, 6), 16, 10) AS BIGINT)"
-    return [limb(i) + (f" + {sign}" if not i else "") for i in range(u.SUM_LIMBS)]
+    limbs = [_limb_sql(f"hex({x})", i) for i in range(u.SUM_LIMBS)]
+    return [f"{limbs[0]} + {sign}", *limbs[1:3], *(f"IF({_integers_sql(x)}, 0L, {limb})" for limb in limbs[3:])]
 
 
-def _integers_sql(a: str, b: str) -> str:
-    """Whether both are integers, which is settled before the query runs, so that the other branch leaves the plan."""
-    return " AND ".join(f"typeof({x}) IN ('tinyint', 'smallint', 'int', 'bigint')" for x in (a, b))
+def _integers_sql(*operands: str) -> str:
+    """Whether all are integers, which is settled before the query runs, so that the other branch leaves the plan."""
+    return " AND ".join(f"typeof({x}) IN ('tinyint', 'smallint', 'int', 'bigint')" for x in operands)
 
 
 def _product_sql(a: str, b: str) -> list[str]:
@@ -207,9 +212,9 @@ class Rewriter:
             first = self.argument(arg)
             checked = f"IF(typeof({first}) <> 'binary' AND left(CAST({first} AS STRING), 1) = '-', CAST(raise_error('a negative number is no unsigned integer') AS STRING), hex({first}))"
             zero = f"array({', '.join(['0L'] * u.SUM_LIMBS)})"
-            add = f"zip_with(a, array({', '.join(f"CAST(conv(substring(lpad(x, {6 * u.SUM_LIMBS}, '0'), {6 * (u.SUM_LIMBS - i) - 5}, 6), 16, 10) AS BIGINT)" for i in range(u.SUM_LIMBS))}), (p, q) -> p + q)"
-            values = f"aggregate(collect_set({checked}){tail}, {zero}, (a, x) -> {add})"
-            return f"IF(count({first}){tail} > 0, {whole_sql([f'get({values}, {i})' for i in range(u.SUM_LIMBS)])}, NULL)"
+            add = f"zip_with(a, array({', '.join(_limb_sql('x', i) for i in range(u.SUM_LIMBS))}), (p, q) -> p + q)"
+            whole = whole_sql([f"get(v, {i})" for i in range(u.SUM_LIMBS)])  # of a name, since the fold would be made for each place that it stands at
+            return f"IF(count({first}){tail} > 0, aggregate(collect_set({checked}){tail}, {zero}, (a, x) -> {add}, v -> {whole}), NULL)"
         if arg.getClass().getSimpleName() == "UnresolvedFunction" and _span(arg) in self.calls and self.calls[_span(arg)][0] == "u256_mul":
             ends = _list(arg.arguments())
             if len(ends) == 2:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ledgerloom import schema
 from ledgerloom.operators.coverage import Range, in_range
+from ledgerloom.operators.ingest import add_new
 from ledgerloom.storage import BucketTable, Versions
 
 TYPES = ("address", "uint256", "bytes")
@@ -228,4 +229,4 @@ class EventStore:
         """Add the rows of a range of a chain's logs that aren't there."""
         state = self.versions.read()[1]
         t = self.bucketed(table)
-        t.append(state, populate(logs, table, t.read(state, r, chain), r), chain, r)
+        add_new(event_rows(logs, table, r), t.read(state, r, chain), ["block_number", "log_index"], lambda fresh: t.append(state, fresh, chain, r))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,3 +128,44 @@ def new_rows(incoming: DataFrame, existing: DataFrame | None, table: str) -> Dat
         return once
     # a key's block tells its bucket, so only buckets that incoming touches are read
     return once.join(existing.select(*key), key, "left_anti").select(*incoming.columns)
+
+
+def _verdicts(incoming: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:
+    """For each block of incoming: whether its rows are all new and different, whether none is new, whether one has a key that is in another block too."""
+    both = lambda *c: incoming.select(*c, F.lit(True).alias("__new")).unionAll(existing.dropna(subset=key).select(*c, F.lit(False).alias("__new")))
+    if "block_number" not in key:  # binary keys are shuffled as hashes; two with one hash cost a look at whole rows
+        hashed = both(F.xxhash64(*key).alias("__key"), "block_number").groupBy("__key")
+        keys = hashed.agg(F.count_if("__new").alias("__n"), F.count_if(~F.col("__new")).alias("__old"), F.min("block_number").alias("block_number"), F.max("block_number").alias("__last")).where("__n > 0")
+        whole, none, stray = (F.max("__n") == 1) & (F.max("__old") == 0), F.min("__old") > 0, F.max(F.col("block_number") < F.col("__last"))
+    else:  # numbers within blocks are shuffled as bitmaps
+        number = next((F.col(c) for c in key if c != "block_number"), F.lit(0)).cast("long")
+        bit, new = F.col("__bit"), F.col("__new")
+        rows = both("block_number", F.bitmap_bucket_number(number).alias("__bucket"), F.bitmap_bit_position(number).alias("__bit"))
+        bits = lambda c: F.bitmap_count(F.bitmap_construct_agg(c))
+        counts = [F.count_if(new).alias("__n"), F.count_if(bit.isNull()).alias("__null"), bits(F.when(new, bit)).alias("__in"), bits(F.when(~new, bit)).alias("__old"), bits(bit).alias("__both")]
+        keys = rows.groupBy("block_number", "__bucket").agg(*counts)
+        n, null, distinct, old, together = (F.sum(c) for c in ("__n", "__null", "__in", "__old", "__both"))
+        whole, none, stray = (distinct == n) & (together == distinct + old), (together == old) & (null == 0), F.lit(False)
+        return keys.groupBy("block_number").agg(n.alias("__n"), whole.alias("__whole"), none.alias("__none"), stray.alias("__stray")).where("__n > 0")
+    return keys.groupBy("block_number").agg(whole.alias("__whole"), none.alias("__none"), stray.alias("__stray"))
+
+
+def add_new(incoming: DataFrame, existing: DataFrame, key: list[str], add: Callable[[DataFrame], None]) -> None:
+    """Call add() with the rows of incoming whose key isn't in existing, one a key, if there are any; incoming is read twice.
+
+    Keys alone are shuffled first, for verdicts on blocks. A block whose rows are all new and different is taken as it comes, one without a new
+    row is left out; only what is left goes through a shuffle whole, as does everything if a key is in two blocks."""
+    blocks = _verdicts(incoming, existing, key).persist()  # a row a block
+    try:
+        n, whole, none, stray = blocks.agg(F.count("*"), F.count_if("__whole"), F.count_if("__none"), F.max("__stray")).first()
+        of = lambda df, which: df.join(blocks.where(which).select("block_number"), "block_number", "left_semi").select(*df.columns)
+        rest = lambda new, old: new.dropDuplicates(key).join(old.select(*key), key, "left_anti").select(*incoming.columns)
+        if stray:
+            add(rest(incoming, existing))
+        elif whole == n > 0:
+            add(incoming)
+        elif none < n:
+            fresh, mixed = of(incoming, "__whole"), "NOT __whole AND NOT __none"
+            add(fresh if whole + none == n else fresh.unionByName(rest(of(incoming, mixed), of(existing, mixed))))
+    finally:
+        blocks.unpersist()

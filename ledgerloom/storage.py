@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Blocks of one bucket of the stored tables.
 BUCKET = 1000
+#: Buckets whose files a task writes side by side. Rows of any more are sorted by bucket first; without it all are, and whole files spill.
+WRITERS, OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters", 4
 
 
 class Versions:
@@ -106,7 +108,13 @@ class BucketTable:
     def _write(self, rows: DataFrame, chain: int, gen: Column, mode: str) -> None:
         bucket = F.floor(F.col("block_number") / BUCKET)
         placed = rows.select(*self.kinds.fieldNames(), F.lit(chain).alias("chain_id"), bucket.alias("bucket")).withColumn("gen", gen)
-        placed.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("chain_id", "bucket", "gen").parquet(self.folder)
+        conf = rows.sparkSession.conf
+        was = conf.get(WRITERS)
+        conf.set(WRITERS, OPEN_FILES)
+        try:
+            placed.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("chain_id", "bucket", "gen").parquet(self.folder)
+        finally:
+            conf.set(WRITERS, was)
 
     def append(self, state: dict, rows: DataFrame, chain: int, r: tuple[int, int]) -> None:
         """Add rows, of blocks in r, to the generations that count."""

@@ -59,17 +59,14 @@ class LedgerStore:
     def append(self, name: str, rows: DataFrame, r: Range, reread: bool = False) -> None:
         """Add the rows whose key isn't there; rows: of blocks in r.
 
-        reread: rows are of files and may be read twice. Their keys alone are shuffled first: where all are new and different, as
-        they mostly are, or none is new, whole rows needn't be."""
-        there, key = self.table(name, r), schema.KEYS[name]
-        fresh = ingest.new_rows(rows, there, name)
+        reread: rows are of files and may be read twice. Their keys alone are shuffled first: whole rows are, but of blocks
+        of which some rows are there and others aren't, or come twice."""
+        there, table = self.table(name, r), self._table(name)
+        add = lambda fresh: table.append(self.versions.read()[1], fresh, self.chain, r)
         if reread:
-            if there.isEmpty():
-                if rows.groupBy(*key).count().where("count > 1").isEmpty():
-                    fresh = rows
-            elif rows.select(*key).join(there.select(*key), key, "left_anti").isEmpty():
-                return
-        self._table(name).append(self.versions.read()[1], fresh, self.chain, r)
+            ingest.add_new(rows, there, schema.KEYS[name], add)
+        else:
+            add(ingest.new_rows(rows, there, name))
 
     def _every(self, state: dict) -> list[BucketTable]:
         events = [self.events.bucketed(name.removeprefix("events/"), state) for name in state.get("tables", {})]
